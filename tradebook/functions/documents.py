@@ -17,18 +17,19 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+# Type names of parsed JSON values.
+_KINDS = {
+    "STRING": "text", "BOOLEAN": "boolean", "VOID": "null", "ARRAY": "array", "OBJECT": "object",
+    "TINYINT": "number", "SMALLINT": "number", "INT": "number", "BIGINT": "number",
+    "DECIMAL": "number", "FLOAT": "number", "DOUBLE": "number",
+}
+_FALSY = r'^(null|false|""|-?0(\.0+)?([eE][+-]?[0-9]+)?)$'
+
+
 def kind_of(value: Column) -> Column:
     """One of text, number, boolean, array, object, null; null for an absent value."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(shape == "STRING", "text")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "VOID", "null")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.try_element_at(kinds, F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
 
 def text_of(value: Column) -> Column:
@@ -37,24 +38,20 @@ def text_of(value: Column) -> Column:
 
 def is_truthy(value: Column) -> Column:
     """False for absent, null, false, 0 and the empty text; `{}` and `[]` count as present."""
-    kind = kind_of(value)
-    return F.coalesce(
-        F.when(kind == "text", text_of(value) != "")
-        .when(kind == "number", F.try_variant_get(value, "$", "double") != 0)
-        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "null", F.lit(False))
-        .otherwise(kind.isNotNull()),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(value).rlike(_FALSY), F.lit(False))
+
+
+def is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def truthy_non_text(value: Column) -> Column:
     """A present value that text functions cannot be applied to."""
-    return is_truthy(value) & (kind_of(value) != "text")
+    return is_truthy(value) & ~is_text(value)
 
 
 def text_or_blank(value: Column) -> Column:
-    return F.when(kind_of(value) == "text", text_of(value)).otherwise(F.lit(""))
+    return F.when(is_text(value), text_of(value)).otherwise(F.lit(""))
 
 
 # ---- lists of name/value pairs ---------------------------------------------------------------
@@ -83,7 +80,9 @@ def number_text(value: Column) -> Column:
 def positive_price_text(price: Column) -> Column:
     """Text of a JSON number above zero; empty for anything else, quoted numbers included."""
     amount = F.when(kind_of(price) == "number", F.try_variant_get(price, "$", "double"))
-    return F.when(amount > 0, number_text(amount)).otherwise(F.lit(""))
+    # The amount is bound to a variable, since its text is put together from several of its forms.
+    texts = F.transform(F.array(amount), lambda a: F.when(a > 0, number_text(a)))
+    return F.coalesce(texts[0], F.lit(""))
 
 
 # ---- small rules on decoded fields -----------------------------------------------------------

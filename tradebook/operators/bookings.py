@@ -51,7 +51,12 @@ def _message(kind: str, booking_id: Column, date: Column, fitters: Column) -> Co
 def booking_transitions(
     before: DataFrame, after: DataFrame, kinds: tuple[str, ...] = BOOKED_KINDS
 ) -> DataFrame:
-    """Messages that a save gives rise to, ready for `build_outbox`.
+    """Messages that saves give rise to, from the jobs before and after."""
+    return new_bookings(_pairs(before, after), kinds)
+
+
+def new_bookings(pairs: DataFrame, kinds: tuple[str, ...] = BOOKED_KINDS) -> DataFrame:
+    """Messages that each save `(id, customer_id, was, now)` gives rise to, for `build_outbox`.
 
     A survey or installation counts when it is fully booked now and was not before; a service
     booking is compared with the earlier booking of the same id, if there was one. Whatever
@@ -96,7 +101,7 @@ def booking_transitions(
         ))
 
     found = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return _pairs(before, after).select(
+    return pairs.select(
         F.col("id").alias("job_id"), "customer_id", F.explode(F.array_compact(found)).alias("_m")
     ).select(
         "job_id", "_m.booking_id", "_m.kind", "customer_id", "_m.message_date", "_m.message_fitters"

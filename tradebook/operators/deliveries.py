@@ -11,6 +11,7 @@ from ..functions.documents import (
     truthy_non_text,
 )
 from ..functions.text import join_nonempty, norm_key, parse_fee, text_excerpt, trimmed
+from .once import once
 
 # Property names of the project payload.
 REFERENCE, NAME, EMAIL, PHONE = "Reference", "Name", "Email", "Phone"
@@ -26,13 +27,12 @@ PROJECT_FIELDS = (
 def lenient_payload_parse(deliveries: DataFrame) -> DataFrame:
     """Add `payload` (JSON text): the body itself if it is JSON whatever its declared type, else
     a wrapper with the beginning of the text."""
-    document = parsed(F.col("raw_text"))
     wrapper = F.to_json(F.struct(
         F.lit(True).alias("_nonJsonBody"),
         F.coalesce("content_type", F.lit("")).alias("contentType"),
         text_excerpt(F.coalesce("raw_text", F.lit(""))).alias("rawText"),
     ))
-    return deliveries.withColumn("is_json", document.isNotNull()).withColumn(
+    return once(deliveries, {"is_json": parsed(F.col("raw_text")).isNotNull()}).withColumn(
         "payload", F.when(F.col("is_json"), F.col("raw_text")).otherwise(wrapper)
     )
 
@@ -62,7 +62,8 @@ def _properties(payload: Column) -> Column:
 
 def project_payload_gate(captured: DataFrame) -> DataFrame:
     """Captures that carry a project: its property list is an array, be it empty."""
-    return captured.filter(F.col("is_json") & _properties(parsed(F.col("payload"))).isNotNull())
+    items = _properties(parsed(F.col("payload")))
+    return captured.filter("is_json").filter(items.isNotNull())
 
 
 def extract_project_fields(captured: DataFrame, keep: tuple = ("seq", "received_at")) -> DataFrame:
@@ -71,47 +72,51 @@ def extract_project_fields(captured: DataFrame, keep: tuple = ("seq", "received_
     `error` names a value that is no text where a text is needed; such an event stays captured
     and is not applied.
     """
-    def member(name: str) -> Column:
-        return F.try_variant_get(F.col("_v"), f"$.json.{name}", "variant")
-
-    pairs = F.transform(_properties(F.col("_v")), lambda p: F.struct(
+    kept = list(keep)
+    document = once(captured.filter("is_json"), {"_v": parsed(F.col("payload"))}, kept)
+    gated = once(document, {"_items": _properties(F.col("_v"))}).filter(
+        F.col("_items").isNotNull()
+    )
+    pairs = F.transform(F.col("_items"), lambda p: F.struct(
         F.try_variant_get(p, "$.name", "string").alias("name"),
         F.try_variant_get(p, "$.value", "variant").alias("value"),
     ))
+
+    def member(name: str) -> Column:
+        return F.try_variant_get(F.col("_v"), f"$.json.{name}", "variant")
+
     texts = {"_ref": REFERENCE, "_name": NAME, "_email": EMAIL, "_phone": PHONE, "_fee": FEE}
-    values = captured.withColumn("_v", parsed(F.col("payload"))).filter(
-        F.col("is_json") & _properties(F.col("_v")).isNotNull()
-    ).withColumn("_pairs", pairs).select(
-        *keep,
-        *[kv_pivot(F.col("_pairs"), name).alias(column) for column, name in texts.items()],
-        kv_pivot(F.col("_pairs"), ADDRESS).alias("_address"),
-        kv_pivot(F.col("_pairs"), POSTCODE).alias("_postcode"),
-        member("price").alias("_price"), member("statusName").alias("_status"),
-        member("modifiedDate").alias("_modified"),
+    others = {"_address": ADDRESS, "_postcode": POSTCODE}
+    values = once(
+        once(gated, {"_pairs": pairs}, [*kept, "_v"]),
+        {
+            **{c: kv_pivot(F.col("_pairs"), name) for c, name in {**texts, **others}.items()},
+            "_price": member("price"), "_status": member("statusName"),
+            "_modified": member("modifiedDate"),
+        }, kept,
     )
 
     def present_text(value: Column) -> Column:
         return F.when(is_truthy(value), text_of(value))
 
-    must_be_text = {**{c: n for c, n in texts.items()}, "_status": "statusName"}
+    def text(column: str) -> Column:
+        return trimmed(text_or_blank(F.col(column)))
+
     error = F.concat_ws(", ", *[
         F.when(truthy_non_text(F.col(c)), F.concat(F.lit(n), F.lit(" is a "), kind_of(F.col(c))))
-        for c, n in must_be_text.items()
+        for c, n in {**texts, "_status": "statusName"}.items()
     ])
-    return values.select(
-        *keep,
-        trimmed(text_or_blank(F.col("_ref"))).alias("reference"),
-        trimmed(text_or_blank(F.col("_name"))).alias("name"),
-        trimmed(text_or_blank(F.col("_email"))).alias("email"),
-        trimmed(text_or_blank(F.col("_phone"))).alias("phone"),
-        join_nonempty(", ", present_text(F.col("_address")), present_text(F.col("_postcode")))
-        .alias("address"),
-        positive_price_text(F.col("_price")).alias("quote_value"),
-        parse_fee(text_or_blank(F.col("_fee"))).alias("installation_value"),
-        trimmed(text_or_blank(F.col("_status"))).alias("ext_status"),
-        F.coalesce(present_text(F.col("_modified")), F.lit("")).alias("modified"),
-        F.nullif(error, F.lit("")).alias("error"),
-    )
+    return once(values, {
+        "reference": text("_ref"), "name": text("_name"), "email": text("_email"),
+        "phone": text("_phone"),
+        "address": join_nonempty(
+            ", ", present_text(F.col("_address")), present_text(F.col("_postcode"))),
+        "quote_value": positive_price_text(F.col("_price")),
+        "installation_value": parse_fee(text_or_blank(F.col("_fee"))),
+        "ext_status": text("_status"),
+        "modified": F.coalesce(present_text(F.col("_modified")), F.lit("")),
+        "error": F.nullif(error, F.lit("")),
+    }, kept)
 
 
 def project_events(captured: DataFrame) -> DataFrame:

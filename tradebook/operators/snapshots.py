@@ -17,6 +17,7 @@ from ..functions.documents import (
 from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS
 from . import reminders as R
+from .once import once
 from .prefix import chunk_of, chunked_rank
 
 # Where the sent mark of a kind lives; service kinds mark bookings instead.
@@ -190,14 +191,14 @@ def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
     )
     mark = _sent_mark(sent_on)
     doc = F.col("_doc")
-    joined = jobs.join(per_job, "id", "left").withColumn(
-        "_doc", F.when(F.col("_s").isNotNull(), parsed(F.col("data_json")))
-    )
-    # One projection per path, so that no step repeats the expression of the one before.
+    kept = [*jobs.columns, "_s"]
+    joined = once(jobs.join(per_job, "id", "left"), {
+        "_doc": F.when(F.col("_s").isNotNull(), parsed(F.col("data_json")))
+    })
     for kind, path in MARK_PATHS.items():
-        joined = joined.withColumn(
-            "_doc", F.when(F.col(f"_s._{kind}"), with_path(doc, path, mark)).otherwise(doc)
-        )
+        joined = once(joined, {
+            "_doc": F.when(F.col(f"_s._{kind}"), with_path(doc, path, mark)).otherwise(doc)
+        }, kept)
 
     def marked(booking: Column) -> Column:
         booking_id = F.coalesce(text_of(F.try_variant_get(booking, "$.id", "variant")), F.lit(""))
@@ -210,14 +211,14 @@ def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
     touched = F.lit(False)
     for kind in BOOKING_MARKS:
         touched = touched | (F.size(F.col(f"_s._{kind}")) > 0)
-    bookings = F.try_variant_get(doc, "$.tabs.serviceCall.bookings", "array<variant>")
     with_bookings = F.when(
-        touched & bookings.isNotNull(),
+        touched & F.col("_bookings").isNotNull(),
         with_path(doc, ["tabs", "serviceCall", "bookings"],
-                  F.to_variant_object(F.transform(bookings, marked))),
+                  F.to_variant_object(F.transform("_bookings", marked))),
     ).otherwise(doc)
-    return (
-        joined.withColumn("_doc", with_bookings)
-        .withColumn("data_json", F.coalesce(F.to_json(doc), F.col("data_json")))
-        .select(*jobs.columns)
-    )
+    listed = once(joined, {
+        "_bookings": F.try_variant_get(doc, "$.tabs.serviceCall.bookings", "array<variant>")
+    })
+    return once(listed, {"_doc": with_bookings}, jobs.columns).withColumn(
+        "data_json", F.coalesce(F.to_json(doc), F.col("data_json"))
+    ).select(*jobs.columns)

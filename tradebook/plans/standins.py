@@ -1,7 +1,8 @@
 """The given tables seen as CRM tables.
 
 The flat columns are written once, as SQL both engines read; Spark packs them into JSON documents
-row by row (nothing is collected across rows), and the check reads them as they are.
+row by row (nothing is collected across rows), and the check reads them as they are. The documents
+are made by `once`, so that an operator sees them as it would see scanned columns.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.once import once
 from ..schemas import LINK
 
 # Run date on which every kind of reminder is due for some job at every scale.
@@ -161,8 +163,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "phone", "address", "sector", F.col("link_ref").alias(LINK.ref),
         F.col("link_modified").alias(LINK.modified), F.lit("kept").alias("unmodelled"),
     )
-    return flat_customers(spark, sf_dir).select(
-        "id", "tenant_id", "name", "stage", F.to_json(doc).alias("data_json"), "created_at",
+    return once(flat_customers(spark, sf_dir), {"data_json": F.to_json(doc)}).select(
+        "id", "tenant_id", "name", "stage", "data_json", "created_at",
         F.col("created_at").alias("updated_at"),
     )
 
@@ -230,9 +232,9 @@ def jobs(spark: SparkSession, sf_dir: str, before: bool = False) -> DataFrame:
         F.col("link_ref").alias(LINK.ref), F.col("link_modified").alias(LINK.modified),
         F.lit("kept").alias("unmodelled"), _job_tabs(before).alias("tabs"),
     )
-    return flat_jobs(spark, sf_dir).select(
-        "id", "tenant_id", "customer_id", "title", "status", F.to_json(doc).alias("data_json"),
-        "created_at", F.col("created_at").alias("updated_at"),
+    return once(flat_jobs(spark, sf_dir), {"data_json": F.to_json(doc)}).select(
+        "id", "tenant_id", "customer_id", "title", "status", "data_json", "created_at",
+        F.col("created_at").alias("updated_at"),
     )
 
 
@@ -269,7 +271,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("price_quoted"), project(F.col("price").cast("string")))
         .otherwise(project(F.col("price")))
     )
-    return flat.select("seq", "tenant_id", "received_at", "content_type", raw.alias("raw_text"))
+    return once(flat, {"raw_text": raw}, ["seq", "tenant_id", "received_at", "content_type"])
 
 
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
