@@ -186,31 +186,30 @@ def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
     # Distinct first: what is left of a job is at most its kinds and the bookings in its document.
     per_job = (
         sent.select("job_id", "booking_id", "kind").distinct()
-        .groupBy(F.col("job_id").alias("id")).agg(*flags)
-        .select("id", F.struct(*[f"_{k}" for k in (*MARK_PATHS, *BOOKING_MARKS)]).alias("_s"))
+        .groupBy(F.col("job_id").alias("id")).agg(F.lit(True).alias("_any"), *flags)
     )
     mark = _sent_mark(sent_on)
     doc = F.col("_doc")
-    kept = [*jobs.columns, "_s"]
+    kept = [*jobs.columns, *[f"_{k}" for k in (*MARK_PATHS, *BOOKING_MARKS)]]
     joined = once(jobs.join(per_job, "id", "left"), {
-        "_doc": F.when(F.col("_s").isNotNull(), parsed(F.col("data_json")))
-    })
+        "_doc": F.when(F.col("_any"), parsed(F.col("data_json")))
+    }, kept)
     for kind, path in MARK_PATHS.items():
         joined = once(joined, {
-            "_doc": F.when(F.col(f"_s._{kind}"), with_path(doc, path, mark)).otherwise(doc)
+            "_doc": F.when(F.col(f"_{kind}"), with_path(doc, path, mark)).otherwise(doc)
         }, kept)
 
     def marked(booking: Column) -> Column:
         booking_id = F.coalesce(text_of(F.try_variant_get(booking, "$.id", "variant")), F.lit(""))
         for kind, field in BOOKING_MARKS.items():
             booking = F.when(
-                F.array_contains(F.col(f"_s._{kind}"), booking_id), with_fields(booking, {field: mark})
+                F.array_contains(F.col(f"_{kind}"), booking_id), with_fields(booking, {field: mark})
             ).otherwise(booking)
         return booking
 
     touched = F.lit(False)
     for kind in BOOKING_MARKS:
-        touched = touched | (F.size(F.col(f"_s._{kind}")) > 0)
+        touched = touched | (F.size(F.col(f"_{kind}")) > 0)
     with_bookings = F.when(
         touched & F.col("_bookings").isNotNull(),
         with_path(doc, ["tabs", "serviceCall", "bookings"],

@@ -30,7 +30,9 @@ select seq, tenant_id, epoch_us(received_at) as received_us, body <> 'text' as i
 def stream_capture(spark, sf):
     folder = scratch_dir(spark, "capture")
     for part in halves(S.deliveries(spark, sf)):
-        part.write.mode("append").json(f"{folder}/landing")
+        part.write.mode("append").option(
+            "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+        ).json(f"{folder}/landing")
         ST.stream_capture(
             spark, f"{folder}/landing", f"{folder}/captured", f"{folder}/checkpoint"
         ).awaitTermination()

@@ -202,7 +202,7 @@ select id, case when tenant_id = 1 then 'sent' else week_mark end as week,
   case when tenant_id = 3 then 'sent' else install_booked end as booked,
   case when tenant_id = 4 then 'sent' else survey_sent end as survey,
   case when tenant_id = 5 then 'sent' else survey_reminder end as survey_reminder,
-  case when tenant_id = 3 then '15/03/1999' when install_booked is not null then '' end as booked_on,
+  case when tenant_id = 3 then '24/06/1999' when install_booked is not null then '' end as booked_on,
   survey_date, 'kept' as unmodelled
 from job
 """)
@@ -230,7 +230,7 @@ def mark_sent_nested(spark, sf):
 @query("mark_sent_array", """
 select job_id, cast(pos as int) as pos, booking_id, date,
   case when booking_id = 'b0' then 'sent' else booked_mark end as booked,
-  case when booking_id = 'b0' then '15/03/1999' when booked_mark is not null then '' end as booked_on,
+  case when booking_id = 'b0' then '24/06/1999' when booked_mark is not null then '' end as booked_on,
   case when booking_id = 'b1' then 'sent' else reminder_mark end as reminded
 from booking
 """)

@@ -14,7 +14,7 @@ from ..operators.once import once
 from ..schemas import LINK
 
 # Run date on which every kind of reminder is due for some job at every scale.
-RUN_DATE = "1999-03-15"
+RUN_DATE = "1999-06-24"
 NOW = "2024-02-01 00:00:00"
 
 CUSTOMER_SQL = """
@@ -296,7 +296,7 @@ def manual_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One array document per tenant; every supplier stands for a tenant."""
     entry = (
         "named_struct('id', concat('m', i), 'supplier', s_name, 'date', "
-        "cast(date'1999-03-10' + cast((s_suppkey + 5 * i) % 30 as int) as string), "
+        "cast(date'1999-06-15' + cast((s_suppkey + 5 * i) % 30 as int) as string), "
         "'reference', concat('PO-', s_suppkey, '-', i))"
     )
     count = "cast(s_suppkey % 4 as int)"
@@ -333,7 +333,7 @@ booking as (select id as job_id, cast(i as bigint) as pos, {columns}
   from (select *, unnest(range(n_bookings)) as i from job)),
 ev as ({EVENT_SQL.format(**CHECK_TERMS)}), sett as ({SETTINGS_SQL}),
 morder as (select s_suppkey as tenant_id, i as pos, concat('m', i) as id, s_name as supplier,
-    cast(date '1999-03-10' + cast((s_suppkey + 5 * i) % 30 as int) as string) as date,
+    cast(date '1999-06-15' + cast((s_suppkey + 5 * i) % 30 as int) as string) as date,
     concat('PO-', s_suppkey, '-', i) as reference
   from (select *, unnest(range(s_suppkey % 4)) as i from supplier))
 """
