@@ -47,7 +47,12 @@ def is_text(value: Column) -> Column:
 
 def truthy_non_text(value: Column) -> Column:
     """A present value that text functions cannot be applied to."""
-    return is_truthy(value) & ~is_text(value)
+    return F.when(is_text(value), F.lit(False)).otherwise(is_truthy(value))
+
+
+def present_text(value: Column) -> Column:
+    """Text of a truthy value, null for any other."""
+    return F.when(is_text(value) | is_truthy(value), blank_to_null(text_of(value)))
 
 
 def text_or_blank(value: Column) -> Column:
@@ -56,9 +61,15 @@ def text_or_blank(value: Column) -> Column:
 
 # ---- lists of name/value pairs ---------------------------------------------------------------
 
+def first_of(names: Column, values: Column, name: str) -> Column:
+    """The value at the first place of `name`, null where there is none."""
+    at = F.nullif(F.array_position(names, F.lit(name)), F.lit(0))
+    return F.try_element_at(values, at.cast("int"))
+
+
 def kv_pivot(pairs: Column, name: str) -> Column:
-    """Value of the last pair called `name`, null where there is none."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["name"] == name), F.lit(-1))["value"]
+    """Value of the last pair called `name`."""
+    return first_of(F.reverse(pairs["name"]), F.reverse(pairs["value"]), name)
 
 
 # ---- numbers ---------------------------------------------------------------------------------
@@ -66,6 +77,7 @@ def kv_pivot(pairs: Column, name: str) -> Column:
 def number_text(value: Column) -> Column:
     """Shortest decimal text of a double, without exponent in the usual range."""
     java = value.cast("string")
+    whole = F.regexp_replace(java, r"\.0$", "")
     plain = F.when(
         F.abs(value) >= 1, java.try_cast("decimal(38,16)").cast("string")
     ).otherwise(F.format_string("%s", java.try_cast("decimal(38,30)")))
@@ -73,8 +85,12 @@ def number_text(value: Column) -> Column:
     scientific = F.regexp_replace(
         F.regexp_replace(F.lower(java), r"\.0e", "e"), r"e(\d)", "e+$1"
     )
-    usual = (value == 0) | ((F.abs(value) >= 1e-6) & (F.abs(value) < 1e21))
-    return F.when(usual, F.coalesce(stripped, scientific)).otherwise(scientific)
+    usual = (F.abs(value) >= 1e-6) & (F.abs(value) < 1e21)
+    return (
+        F.when(~java.contains("E"), whole)
+        .when(usual, F.coalesce(stripped, scientific))
+        .otherwise(scientific)
+    )
 
 
 def positive_price_text(price: Column) -> Column:

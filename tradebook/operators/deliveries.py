@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.documents import (
-    is_truthy, kind_of, kv_pivot, parsed, positive_price_text, text_of, text_or_blank,
-    truthy_non_text,
+    first_of, kind_of, parsed, positive_price_text, present_text, text_or_blank, truthy_non_text,
 )
 from ..functions.text import join_nonempty, norm_key, parse_fee, text_excerpt, trimmed
 from .once import once
@@ -77,27 +76,24 @@ def extract_project_fields(captured: DataFrame, keep: tuple = ("seq", "received_
     gated = once(document, {"_items": _properties(F.col("_v"))}).filter(
         F.col("_items").isNotNull()
     )
-    pairs = F.transform(F.col("_items"), lambda p: F.struct(
-        F.try_variant_get(p, "$.name", "string").alias("name"),
-        F.try_variant_get(p, "$.value", "variant").alias("value"),
-    ))
+    # Last pair first, so that the first position of a name is the one that counts.
+    latest_first = F.reverse("_items")
+    listed = once(gated, {
+        "_names": F.transform(latest_first, lambda p: F.try_variant_get(p, "$.name", "string")),
+        "_values": F.transform(latest_first, lambda p: F.try_variant_get(p, "$.value", "variant")),
+    }, [*kept, "_v"])
 
     def member(name: str) -> Column:
         return F.try_variant_get(F.col("_v"), f"$.json.{name}", "variant")
 
     texts = {"_ref": REFERENCE, "_name": NAME, "_email": EMAIL, "_phone": PHONE, "_fee": FEE}
     others = {"_address": ADDRESS, "_postcode": POSTCODE}
-    values = once(
-        once(gated, {"_pairs": pairs}, [*kept, "_v"]),
-        {
-            **{c: kv_pivot(F.col("_pairs"), name) for c, name in {**texts, **others}.items()},
-            "_price": member("price"), "_status": member("statusName"),
-            "_modified": member("modifiedDate"),
-        }, kept,
-    )
-
-    def present_text(value: Column) -> Column:
-        return F.when(is_truthy(value), text_of(value))
+    values = once(listed, {
+        **{c: first_of(F.col("_names"), F.col("_values"), name)
+           for c, name in {**texts, **others}.items()},
+        "_price": member("price"), "_status": member("statusName"),
+        "_modified": member("modifiedDate"),
+    }, kept)
 
     def text(column: str) -> Column:
         return trimmed(text_or_blank(F.col(column)))

@@ -140,12 +140,15 @@ def build_outbox(
     address replaces the recipients. With `prune_customers` the customers are first cut down to
     those asked for, which pays when `due` is a written table much smaller than the customers.
     """
-    joined = _with_customers(due, customers, tenant_id, test_email, prune_customers)
-    ready = template_lookup(
-        settings_join(joined.filter(F.col("reason").isNull()), settings), templates
-    )
+    joined = template_lookup(
+        settings_join(
+            _with_customers(due, customers, tenant_id, test_email, prune_customers), settings
+        ), templates,
+    ).withColumn("reason", F.coalesce("reason", F.when(
+        F.col("subject").isNull() | F.col("body").isNull(), "template incomplete"
+    )))
     values = _values(long_date(F.col("message_date")), F.col("message_fitters"), default_company)
-    outbox = ready.select(
+    outbox = joined.filter(F.col("reason").isNull()).select(
         "job_id", "booking_id", "kind", "to", bcc_of_template(F.col("bcc")).alias("bcc"),
         fill_template(F.col("subject"), values).alias("subject"),
         fill_template(F.col("body"), values).alias("body"),
