@@ -268,12 +268,12 @@ def validate_send_request_refused(spark, sf):
 select id, stage from cust where stage in ('Quoted', 'Deal Won')
 """)
 def filter_by_stage(spark, sf):
-    return E.filter_by(S.customers(spark, sf), "stage", ["Quoted", "Deal Won"]).select("id", "stage")
+    return E.filter_by(S.bare_customers(spark, sf), "stage", ["Quoted", "Deal Won"]).select("id", "stage")
 
 
 @query("filter_by_stage_status_jobs", "select id, status from job where status = 'Book Survey'")
 def filter_by_status(spark, sf):
-    return E.filter_by(S.jobs(spark, sf), "status", ["Book Survey"]).select("id", "status")
+    return E.filter_by(S.bare_jobs(spark, sf), "status", ["Book Survey"]).select("id", "status")
 
 
 @query("link_fields", "select id, link_ref as ref, link_modified as modified from job")

@@ -19,7 +19,7 @@ select tenant_id, id, row_number() over (partition by tenant_id order by created
   as position from cust
 """)
 def list_entities(spark, sf):
-    return E.rank_entities(S.customers(spark, sf)).select("tenant_id", "id", "position")
+    return E.rank_entities(S.bare_customers(spark, sf)).select("tenant_id", "id", "position")
 
 
 @query("list_entities_jobs", """
@@ -27,12 +27,12 @@ select tenant_id, id, row_number() over (partition by tenant_id order by created
   as position from job
 """)
 def list_jobs(spark, sf):
-    return E.rank_entities(S.jobs(spark, sf)).select("tenant_id", "id", "position")
+    return E.rank_entities(S.bare_jobs(spark, sf)).select("tenant_id", "id", "position")
 
 
 @query("list_entities_of_tenant", "select id, title, status from job where tenant_id = 2")
 def list_of_tenant(spark, sf):
-    return E.list_entities(S.jobs(spark, sf), 2).select("id", "title", "status")
+    return E.list_entities(S.bare_jobs(spark, sf), 2).select("id", "title", "status")
 
 
 @query("get_entity", f"""
@@ -42,7 +42,7 @@ from req left join cust on cust.id = req.id and cust.tenant_id = req.tenant_id
 """)
 def get_entity(spark, sf):
     requests = S._flat(spark, sf, "customer", GET_REQUESTS.replace("from customer", "\nfrom customer"))
-    return E.get_entities(S.customers(spark, sf), requests).select(
+    return E.get_entities(S.bare_customers(spark, sf), requests).select(
         "id", "tenant_id", "name", "found"
     )
 
@@ -106,7 +106,7 @@ select t.tenant_id, s.tenant_id is not null as has_settings, s.company_name
 from (select distinct tenant_id from cust) t left join sett s on s.tenant_id = t.tenant_id
 """)
 def get_singleton(spark, sf):
-    tenants = S.customers(spark, sf).select("tenant_id").distinct()
+    tenants = S.bare_customers(spark, sf).select("tenant_id").distinct()
     doc = F.from_json("doc", SETTINGS_DOC)
     return E.get_singleton(tenants, S.settings(spark, sf), None).select(
         "tenant_id", F.col("doc").isNotNull().alias("has_settings"),
@@ -119,7 +119,7 @@ select c.id as tenant_id, count(m.id) as entries from cust c left join morder m
   on m.tenant_id = c.id group by c.id
 """)
 def get_singleton_list(spark, sf):
-    tenants = S.customers(spark, sf).select(F.col("id").alias("tenant_id"))
+    tenants = S.bare_customers(spark, sf).select(F.col("id").alias("tenant_id"))
     return E.get_singleton(tenants, S.manual_orders(spark, sf), "[]").select(
         "tenant_id", F.size(F.from_json("doc", MANUAL_ORDERS_DOC)).cast("long").alias("entries")
     )

@@ -72,7 +72,7 @@ select c.id, c.name, count(j.id) as jobs, count(j.id) filter (where j.status <>
 from cust c left join job j on j.customer_id = c.id group by 1, 2
 """)
 def customer_job_counts(spark, sf):
-    return REP.customer_job_counts(S.jobs(spark, sf), S.customers(spark, sf))
+    return REP.customer_job_counts(S.bare_jobs(spark, sf), S.bare_customers(spark, sf))
 
 
 def traders(spark, sf):
@@ -182,12 +182,12 @@ def site_visits(spark, sf):
 
 @query("cards_by_stage", "select tenant_id, stage, count(*) as cards from cust group by 1, 2")
 def cards_by_stage(spark, sf):
-    return REP.cards_by_stage(S.customers(spark, sf), "stage")
+    return REP.cards_by_stage(S.bare_customers(spark, sf), "stage")
 
 
 @query("cards_by_status", "select tenant_id, status, count(*) as cards from job group by 1, 2")
 def cards_by_status(spark, sf):
-    return REP.cards_by_stage(S.jobs(spark, sf), "status")
+    return REP.cards_by_stage(S.bare_jobs(spark, sf), "status")
 
 
 @query("email_status_report", """

@@ -102,7 +102,7 @@ def replace_not_found(spark, sf):
 def grouped_jobs(spark, sf):
     """Jobs held by the first of every three customers, so that the others are free to go."""
     holder = F.col("customer_id") - F.col("customer_id") % 3
-    return S.jobs(spark, sf).withColumn("customer_id", holder)
+    return S.bare_jobs(spark, sf).withColumn("customer_id", holder)
 
 
 HELD = "select distinct customer_id - customer_id % 3 from job"
@@ -110,7 +110,7 @@ HELD = "select distinct customer_id - customer_id % 3 from job"
 
 @query("delete_customers_restrict", f"select id, name from cust where id in ({HELD})")
 def delete_customers_restrict(spark, sf):
-    customers = S.customers(spark, sf)
+    customers = S.bare_customers(spark, sf)
     left, _ = W.delete_customers_restrict(
         customers, grouped_jobs(spark, sf), customers.select("id", "tenant_id")
     )
@@ -119,7 +119,7 @@ def delete_customers_restrict(spark, sf):
 
 @query("delete_customers_restrict_blocked", f"select id, tenant_id from cust where id in ({HELD})")
 def delete_customers_blocked(spark, sf):
-    customers = S.customers(spark, sf)
+    customers = S.bare_customers(spark, sf)
     _, blocked = W.delete_customers_restrict(
         customers, grouped_jobs(spark, sf), customers.select("id", "tenant_id")
     )
@@ -128,7 +128,7 @@ def delete_customers_blocked(spark, sf):
 
 @query("delete_jobs", "select id, status from job where status <> 'Job Completed'")
 def delete_jobs(spark, sf):
-    jobs = S.jobs(spark, sf)
+    jobs = S.bare_jobs(spark, sf)
     asked = E.filter_by(jobs, "status", ["Job Completed"]).select("id", "tenant_id")
     unknown = asked.select((-F.col("id") - 1).alias("id"), "tenant_id")
     return W.delete_jobs(jobs, asked.unionByName(unknown)).select("id", "status")
@@ -136,7 +136,7 @@ def delete_jobs(spark, sf):
 
 @query("fk_check_jobs", "select id, customer_id from job where customer_id < 0")
 def fk_check_jobs(spark, sf):
-    return W.fk_check_jobs(S.jobs(spark, sf), S.customers(spark, sf)).select("id", "customer_id")
+    return W.fk_check_jobs(S.bare_jobs(spark, sf), S.bare_customers(spark, sf)).select("id", "customer_id")
 
 
 @query("upsert_singleton", """

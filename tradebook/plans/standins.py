@@ -142,7 +142,11 @@ from nation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; one in fewer files than there are cores is spread over the cores, since a
+    small file is read by one task and everything up to the next shuffle would run there."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _flat(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
@@ -157,6 +161,17 @@ def flat_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir, "orders", JOB_SQL)
 
 
+def bare_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without their documents, for what reads the table columns only."""
+    return flat_customers(spark, sf_dir).select("id", "tenant_id", "name", "stage", "created_at")
+
+
+def bare_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_jobs(spark, sf_dir).select(
+        "id", "tenant_id", "customer_id", "title", "status", "created_at"
+    )
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.struct(
         F.col("doc_name").alias("name"), F.col("doc_stage").alias("stage"), "email", "email2",
