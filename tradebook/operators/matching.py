@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import fields_of, is_truthy, parsed, text_of
 from ..functions.text import blank_to_null, norm_key
 from ..schemas import LINK, LinkFields
 from .prefix import CHUNK_BITS, prefix_fold
 
 
-def _text_field(column: str, name: str) -> Column:
-    value = fields_of(parsed(F.col(column)))[name]
-    return F.when(is_truthy(value), text_of(value)).otherwise(F.lit(""))
-
-
 def job_keys(jobs: DataFrame, link: LinkFields = LINK) -> DataFrame:
     """What matching needs from a job: link key, customer and the stored modification text."""
-    doc = F.from_json("data_json", link.job_doc())
-    return jobs.select("id", "customer_id", "title", doc.alias("_d")).select(
+    doc = F.from_json("data_json", f"{link.ref} string, {link.modified} string")
+    return jobs.select("id", "customer_id", doc.alias("_d")).select(
         F.col("id").alias("job_id"), "customer_id",
         norm_key(F.col(f"_d.{link.ref}")).alias("ref_key"),
         blank_to_null(F.col(f"_d.{link.modified}")).alias("stored"),
@@ -28,7 +22,9 @@ def job_keys(jobs: DataFrame, link: LinkFields = LINK) -> DataFrame:
 
 def customer_keys(customers: DataFrame, link: LinkFields = LINK) -> DataFrame:
     """What matching needs from a customer; the name is the column's."""
-    doc = F.from_json("data_json", link.customer_doc())
+    doc = F.from_json(
+        "data_json", f"email string, phone string, {link.ref} string, {link.modified} string"
+    )
     return customers.select("id", "name", doc.alias("_d")).select(
         F.col("id").alias("customer_id"), "name",
         norm_key(F.col("_d.email")).alias("email_key"),
@@ -40,8 +36,10 @@ def customer_keys(customers: DataFrame, link: LinkFields = LINK) -> DataFrame:
 
 def first_match(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """One row per key: the fields of the row with the lowest `order`."""
-    first = F.min_by(F.struct(*fields), order).alias("_first")
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, "_first.*")
+    keyed = df.filter(F.col(key).isNotNull()).groupBy(key)
+    if fields == [order]:
+        return keyed.agg(F.min(order).alias(order))
+    return keyed.agg(F.min_by(F.struct(*fields), order).alias("_first")).select(key, "_first.*")
 
 
 def links_by_reference(jobs: DataFrame, customers: DataFrame) -> DataFrame:

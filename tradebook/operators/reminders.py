@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import days_until
+from ..functions.dates import as_date, days_until
 from ..functions.documents import default_on_flag, is_booked, is_sent
-from ..functions.text import blank_to_null, join_names
+from ..functions.text import join_names
 from ..schemas import TABS
 
 # Message kinds and the days before the event on which a reminder is due.
@@ -18,6 +20,7 @@ DUE_DAYS = {INSTALL_WEEK: (1, 7), INSTALL_DAY: (0, 1), SURVEY_DAY: (0, 1), SERVI
 REMINDERS = tuple(DUE_DAYS)
 SERVICE_KINDS = (SERVICE_BOOKED, SERVICE_DAY)
 REQUEST_KINDS = {"week": INSTALL_WEEK, "day": INSTALL_DAY}
+MONTH = "yyyy-MM"
 
 
 def job_tabs() -> Column:
@@ -34,24 +37,17 @@ def first_booking(bookings: Column, booking_id: Column) -> Column:
     return F.try_element_at(F.filter(bookings, lambda b: same_id(b["id"], booking_id)), F.lit(1))
 
 
-def _due(kind: str, date: Column, run_date: str) -> Column:
-    first, last = DUE_DAYS[kind]
-    return F.coalesce(days_until(date, run_date).between(first, last), F.lit(False))
-
-
-def _reminder(kind: str, date: Column, run_date: str, booking: Column, at: Column, by: Column) -> Column:
+def _reminder(kind: str, date: Column, booking: Column, at: Column, by: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("kind"), booking.alias("booking_id"), date.alias("event_date"),
-        days_until(date, run_date).alias("days_until"), at.alias("message_date"),
-        by.alias("message_fitters"),
+        at.alias("message_date"), by.alias("message_fitters"),
     )
 
 
-def due_reminders(jobs: DataFrame, run_date: str, kinds: tuple[str, ...] = REMINDERS) -> DataFrame:
-    """One row per reminder due on the run date and not yet sent.
-
-    A missed day is made up on the next run, since a window of days is tested and not one day.
-    """
+def _open_reminders(
+    jobs: DataFrame, kinds: tuple[str, ...], in_time: Callable[[str, Column], Column]
+) -> DataFrame:
+    """One row per reminder not yet sent whose date passes `in_time(kind, date)`."""
     tabs = F.col("_tabs")
     install, survey, service = tabs["installation"], tabs["survey"], tabs["serviceCall"]
     no_booking = F.lit(None).cast("string")
@@ -59,31 +55,30 @@ def due_reminders(jobs: DataFrame, run_date: str, kinds: tuple[str, ...] = REMIN
 
     for kind, mark in ((INSTALL_WEEK, "week"), (INSTALL_DAY, "day")):
         if kind in kinds:
-            due = _due(kind, install["date"], run_date) & ~is_sent(install["emailReminders"][mark])
-            parts.append(F.array(F.when(due, _reminder(
-                kind, install["date"], run_date, no_booking, install["date"],
-                join_names(install["fitters"]),
+            wanted = in_time(kind, install["date"]) & ~is_sent(install["emailReminders"][mark])
+            parts.append(F.array(F.when(wanted, _reminder(
+                kind, install["date"], no_booking, install["date"], join_names(install["fitters"]),
             ))))
     if SURVEY_DAY in kinds:
-        due = (
-            _due(SURVEY_DAY, survey["date"], run_date)
+        wanted = (
+            in_time(SURVEY_DAY, survey["date"])
             & is_booked(survey["date"], survey["fitter"])
             & default_on_flag(survey["notifyEnabled"])
             & ~is_sent(survey["reminderSent"])
         )
-        parts.append(F.array(F.when(due, _reminder(
-            SURVEY_DAY, survey["date"], run_date, no_booking, survey["date"], survey["fitter"],
+        parts.append(F.array(F.when(wanted, _reminder(
+            SURVEY_DAY, survey["date"], no_booking, survey["date"], survey["fitter"],
         ))))
     if SERVICE_DAY in kinds:
         bookings = service["bookings"]
-        due_bookings = F.filter(bookings, lambda b: (
-            _due(SERVICE_DAY, b["date"], run_date)
+        wanted_bookings = F.filter(bookings, lambda b: (
+            in_time(SERVICE_DAY, b["date"])
             & is_booked(b["date"], b["fitter"])
             & default_on_flag(service["notifyEnabled"])
             & ~is_sent(b["reminderSent"])
         ))
-        parts.append(F.coalesce(F.transform(due_bookings, lambda b: _reminder(
-            SERVICE_DAY, b["date"], run_date, b["id"],
+        parts.append(F.coalesce(F.transform(wanted_bookings, lambda b: _reminder(
+            SERVICE_DAY, b["date"], b["id"],
             first_booking(bookings, b["id"])["date"], first_booking(bookings, b["id"])["fitter"],
         )), F.array()))
 
@@ -92,12 +87,61 @@ def due_reminders(jobs: DataFrame, run_date: str, kinds: tuple[str, ...] = REMIN
         jobs.select(F.col("id").alias("job_id"), "customer_id", job_tabs().alias("_tabs"))
         .select("job_id", "customer_id", F.explode(F.array_compact(found)).alias("_r"))
         .select(
-            "job_id", "_r.booking_id", "_r.kind", "_r.event_date", "_r.days_until", "customer_id",
+            "job_id", "_r.booking_id", "_r.kind", "_r.event_date", "customer_id",
             "_r.message_date", "_r.message_fitters",
         )
     )
 
 
+def due_reminders(jobs: DataFrame, run_date: str, kinds: tuple[str, ...] = REMINDERS) -> DataFrame:
+    """One row per reminder due on the run date and not yet sent, in one pass over the documents.
+
+    A missed day is made up on the next run, since a window of days is tested and not one day.
+    """
+    def in_time(kind: str, date: Column) -> Column:
+        return F.coalesce(days_until(date, run_date).between(*DUE_DAYS[kind]), F.lit(False))
+
+    return _open_reminders(jobs, kinds, in_time).withColumn(
+        "days_until", days_until(F.col("event_date"), run_date)
+    )
+
+
+def reminder_schedule(jobs: DataFrame) -> DataFrame:
+    """All reminders not yet sent, whenever they fall due, with the date as a real column.
+
+    Written by `event_month` this spares the daily run from parsing every document: see
+    `due_from_schedule`. It is to be renewed for the jobs that were saved.
+    """
+    def dated(_: str, date: Column) -> Column:
+        return as_date(date).isNotNull()
+
+    day = as_date(F.col("event_date"))
+    return _open_reminders(jobs, REMINDERS, dated).withColumns(
+        {"event_day": day, "event_month": F.date_format(day, MONTH)}
+    )
+
+
+def due_from_schedule(
+    schedule: DataFrame, run_date: str, kinds: tuple[str, ...] = REMINDERS
+) -> DataFrame:
+    """Due reminders from a written schedule; only the one or two months concerned are read."""
+    day = F.lit(run_date).cast("date")
+    first = F.date_add(day, min(d for d, _ in DUE_DAYS.values()))
+    last = F.date_add(day, max(d for _, d in DUE_DAYS.values()))
+    left = F.datediff("event_day", day)
+    due = F.lit(False)
+    for kind in kinds:
+        due = due | ((F.col("kind") == kind) & left.between(*DUE_DAYS[kind]))
+    return (
+        schedule.filter(F.col("event_month").between(
+            F.date_format(first, MONTH), F.date_format(last, MONTH)))
+        .filter(F.col("event_day").between(first, last))
+        .filter(due)
+        .withColumn("days_until", left)
+        .drop("event_day", "event_month")
+    )
+
+
 def valid_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manual send requests `(job_id, reminder_key)`: the usable ones, and those refused."""
     usable = F.coalesce(
@@ -167,6 +211,3 @@ def booking_lookup(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, Dat
         looked.filter(F.col("reason").isNotNull()).drop("date", "fitter"),
     )
 
-
-def has_text(text: Column) -> Column:
-    return blank_to_null(text).isNotNull()

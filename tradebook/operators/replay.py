@@ -196,16 +196,25 @@ def replay(
     """
     spark = events.sparkSession
     with_checkpoints(spark)
+    # The events are few against the tables or read many times over, so they are written once, and
+    # the tables are cut down to the keys the events name before anything is shuffled.
+    events = events.checkpoint()
+    refs = events.select("ref_key").filter(F.col("ref_key").isNotNull()).distinct()
     people = customer_keys(customers, link)
-    links = links_by_reference(job_keys(jobs, link), people)
+    links = links_by_reference(
+        job_keys(jobs, link).join(refs, "ref_key", "left_semi"),
+        people.join(refs, "ref_key", "left_semi"),
+    ).checkpoint()
 
     # -- which events apply, and whom they patch
     keyed = events.filter(F.col("ref_key").isNotNull()).join(links, "ref_key", "left")
     folded = prefix_fold(keyed, ["ref_key"], "seq", {
         "_seen": ("max", blank_to_null(F.col("modified"))), "_before": ("sum", F.lit(1)),
     }, bits)
-    present = people.select(F.col("customer_id").alias("linked_customer"),
-                            F.col("customer_id").alias("patched"))
+    owners = links.select(F.col("linked_customer").alias("id")).distinct()
+    present = customers.select("id").join(owners, "id", "left_semi").select(
+        F.col("id").alias("linked_customer"), F.col("id").alias("patched")
+    )
     marked = (
         folded.withColumn("is_first", F.col("_before") == 0)
         .withColumn("applied", ~is_stale(F.col("modified"), F.greatest("_seen", "stored")))

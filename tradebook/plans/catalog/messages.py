@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from ...operators import bookings as B, outbox as O, reminders as R
+from ...session import scratch_dir
 from .. import daily, standins as S
 from ..registry import query
-from ...session import scratch_dir
 from .functions import REQUEST_SQL, send_requests
 
 _FITTERS = "case n_fitters when 0 then '' when 1 then fitter_a else concat(fitter_a, ', ', fitter_b) end"
@@ -145,6 +145,16 @@ def _register_booked():
             ).select(*shown.split(", "))
 
 
+@query("due_from_schedule", DUE + "select job_id, booking_id, kind, event_date, days_until from due")
+def due_from_schedule(spark, sf):
+    """The same reminders from a schedule written by day."""
+    folder = scratch_dir(spark, "schedule")
+    daily.write_schedule(S.jobs(spark, sf), folder)
+    return R.due_from_schedule(spark.read.parquet(folder), S.RUN_DATE).select(
+        "job_id", "booking_id", "kind", "event_date", "days_until"
+    )
+
+
 _register_due()
 _register_booked()
 

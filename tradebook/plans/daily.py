@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import snapshots as W
 from ..operators.bookings import booking_transitions
 from ..operators.outbox import DEFAULT_COMPANY, build_outbox, default_templates, reconcile_send_results
-from ..operators.reminders import due_reminders
+from ..operators.reminders import due_reminders, reminder_schedule
 from ..sources.tables import write_table
 
 
+def write_schedule(jobs: DataFrame, folder: str) -> None:
+    """The reminder schedule by month; small months share a task and large ones are split."""
+    schedule = reminder_schedule(jobs).hint("rebalance", "event_month")
+    write_table(schedule.sortWithinPartitions("event_month", "event_day"), folder, ("event_month",))
+
+
 def daily_reminder_run(
     spark: SparkSession, jobs: DataFrame, customers: DataFrame, settings: DataFrame, run_date: str,
     out_dir: str, default_company: str = DEFAULT_COMPANY,

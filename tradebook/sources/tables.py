@@ -65,12 +65,13 @@ class ChangingTable:
         }
         if not later:
             return base
-        changes = None
-        for number, path in sorted(later.items()):
-            part = read_table(self.spark, path, self.schema).withColumn("_batch", F.lit(number))
-            changes = part if changes is None else changes.unionByName(part)
+        changes = (
+            self.spark.read.schema(f"{self.schema}, batch int")
+            .option("basePath", f"{self.folder}/changes")
+            .parquet(*[path for _, path in sorted(later.items())])
+        )
         latest = changes.groupBy("id").agg(
-            F.max_by(F.struct(*base.columns), "_batch").alias("_row")
+            F.max_by(F.struct(*base.columns), "batch").alias("_row")
         ).select("_row.*")
         return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 

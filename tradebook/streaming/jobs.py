@@ -71,7 +71,7 @@ def apply_batch(
 def stream_apply(
     spark: SparkSession, captured_dir: str, tables_dir: str, checkpoint: str,
     continuous: str | None = None, max_files: int = 1000, link: LinkFields = LINK,
-    bits: int = CHUNK_BITS,
+    bits: int = CHUNK_BITS, compact_every: int = 50,
 ) -> StreamingQuery:
     """Apply every captured project to the tables under `tables_dir`, batch by batch.
 
@@ -85,6 +85,9 @@ def stream_apply(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         apply_batch(batch.sparkSession, batch, tables_dir, batch_id, link, bits)
+        if (batch_id + 1) % compact_every == 0:
+            for changing in crm_tables(batch.sparkSession, tables_dir):
+                changing.compact()
 
     writer = captured.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _trigger(writer, continuous).start()
