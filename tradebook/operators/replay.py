@@ -73,10 +73,16 @@ def _blocks(start: str, end: str, top: int) -> Column:
 
 
 def _intervals(facts: DataFrame, top: int, bits: int) -> DataFrame:
-    """Facts `(is_new, num, pos, key)` with the position `until` which each holds."""
+    """Facts `(is_new, num, field, pos, key)` with the position `until` which each holds.
+
+    Most patches repeat what is known already, so only those that change a key are kept.
+    """
     group = [*ENTITY, "field"]
+    changes = prefix_fold(facts, group, "pos", {"_was": ("last", F.col("key"))}, bits).filter(
+        ~F.col("key").eqNullSafe(F.col("_was"))
+    )
     backwards = prefix_fold(
-        facts.withColumn("_back", -F.col("pos")), group, "_back",
+        changes.drop("_was").withColumn("_back", -F.col("pos")), group, "_back",
         {"until": ("last", F.col("pos"))}, bits,
     )
     return backwards.withColumn("until", F.coalesce("until", F.lit(2**top).cast("long")))
