@@ -31,7 +31,7 @@ from ..functions.documents import (
 )
 from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS, LINK, LinkFields
-from ..session import with_checkpoints
+from ..sources.tables import stored
 from .matching import (
     customer_keys, fold_sparse_updates, is_stale, job_keys, links_by_reference,
 )
@@ -125,23 +125,28 @@ def _targets(
     marked: DataFrame, firsts: DataFrame, people: DataFrame, top: int, bits: int
 ) -> tuple[DataFrame, int]:
     """For each new reference the customer found (null: it makes one), and the rounds needed."""
-    queries = _key_facts(firsts, F.col("first_seq"))
+    queries = stored(_key_facts(firsts, F.col("first_seq")), "queries")
     wanted = queries.select("key").distinct()
     # A customer's first state matters only where its key is asked for: nothing ends by it.
     base = _key_facts(
         people.select(F.lit(0).alias("is_new"), F.col("customer_id").alias("num"),
                       "email_key", "phone_key"), F.lit(0),
-    ).join(wanted, "key", "left_semi").checkpoint()
+    ).join(wanted, "key", "left_semi")
     later = marked.filter(F.col("applied") & ~(F.col("linked").isNull() & F.col("is_first")))
     settled = _key_facts(
         later.filter(F.col("patched").isNotNull()).select(
             F.lit(0).alias("is_new"), F.col("patched").alias("num"), "seq", "email_key", "phone_key"
         ), F.col("seq") + 1,
     )
-    open_patches = _key_facts(
+    known = stored(base.unionByName(settled), "known")
+    open_patches = stored(_key_facts(
         later.filter(F.col("linked").isNull()).select("ref_key", "seq", "email_key", "phone_key"),
         F.col("seq") + 1,
-    )
+    ), "open")
+    made = stored(_key_facts(
+        firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"),
+                      "email_key", "phone_key"), F.col("num") + 1,
+    ), "made")
 
     targets = firsts.select(
         "ref_key", "first_seq", F.lit(None).cast("struct<is_new: int, num: bigint>").alias("found"),
@@ -154,18 +159,17 @@ def _targets(
             "ref_key", F.coalesce("found.is_new", F.lit(1)).alias("is_new"),
             F.coalesce("found.num", "first_seq").alias("num"),
         )
-        made = _key_facts(
-            firsts.join(targets.filter(F.col("found").isNull()).select("ref_key"), "ref_key")
-            .select(F.lit(1).alias("is_new"), F.col("first_seq").alias("num"), "email_key",
-                    "phone_key"),
-            F.col("num") + 1,
-        )
-        facts = base.unionByName(settled).unionByName(made).unionByName(
-            open_patches.join(entities, "ref_key").drop("ref_key")
+        makers = targets.filter(F.col("found").isNull()).select("ref_key")
+        # Written, since the folds below read them several times over.
+        facts = stored(
+            known.unionByName(made.join(makers, "ref_key", "left_semi").drop("ref_key"))
+            .unionByName(open_patches.join(entities, "ref_key").drop("ref_key")), "facts",
         )
         held = _intervals(facts, top, bits).join(wanted, "key", "left_semi")
         found = _find(queries, held, top)
-        new = firsts.select("ref_key", "first_seq").join(found, "ref_key", "left").checkpoint()
+        new = stored(
+            firsts.select("ref_key", "first_seq").join(found, "ref_key", "left"), "targets"
+        )
         changed = new.join(
             targets.select("ref_key", F.col("found").alias("_old")), "ref_key"
         ).filter(~F.col("found").eqNullSafe(F.col("_old")))
@@ -198,19 +202,18 @@ def replay(
 ) -> Replayed:
     """Apply `project_events` to the tables in the order of `seq` (whole, unique, not negative).
 
-    Runs jobs of its own: the marked events and the targets of each round are checkpointed.
+    Runs jobs of its own: the marked events and the targets of each round are written to the shared
+    folder.
     """
-    spark = events.sparkSession
-    with_checkpoints(spark)
     # The events are few against the tables or read many times over, so they are written once, and
     # the tables are cut down to the keys the events name before anything is shuffled.
-    events = events.checkpoint()
+    events = stored(events, "events")
     refs = events.select("ref_key").filter(F.col("ref_key").isNotNull()).distinct()
     people = customer_keys(customers, link)
-    links = links_by_reference(
+    links = stored(links_by_reference(
         job_keys(jobs, link).join(refs, "ref_key", "left_semi"),
         people.join(refs, "ref_key", "left_semi"),
-    ).checkpoint()
+    ), "links")
 
     # -- which events apply, and whom they patch
     keyed = events.filter(F.col("ref_key").isNotNull()).join(links, "ref_key", "left")
@@ -221,12 +224,11 @@ def replay(
     present = customers.select("id").join(owners, "id", "left_semi").select(
         F.col("id").alias("linked_customer"), F.col("id").alias("patched")
     )
-    marked = (
+    marked = stored(
         folded.withColumn("is_first", F.col("_before") == 0)
         .withColumn("applied", ~is_stale(F.col("modified"), F.greatest("_seen", "stored")))
         .drop("_seen", "_before")
-        .join(present, "linked_customer", "left")
-        .checkpoint()
+        .join(present, "linked_customer", "left"), "marked",
     )
     last_seq = marked.agg(F.max("seq")).first()[0] or 0
     top = int(last_seq + 2).bit_length()
@@ -249,12 +251,12 @@ def replay(
         makers.select(F.struct(F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
                       .alias("found"), F.col("made_customer").alias("_owner")), "found", "left",
     ).withColumn("owner", F.coalesce("_owner", "found.num"))
-    resolved = makers.select(
+    resolved = stored(makers.select(
         "ref_key", F.lit("customer").alias("new_kind"), F.lit(None).cast("long").alias("made_job"),
         F.col("made_customer").alias("owner"), F.lit(None).cast("string").alias("matched_by"),
     ).unionByName(holders.select(
         "ref_key", F.lit("job").alias("new_kind"), "made_job", "owner", "matched_by"
-    )).checkpoint()
+    )), "resolved")
 
     full = marked.join(resolved, "ref_key", "left").withColumn(
         "target", F.coalesce("linked", "new_kind")

@@ -39,10 +39,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder path under the shared one."""
     return f"{shared_dir(spark)}/tradebook/{label}-{uuid.uuid4().hex}"
-
-
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint` usable; keeps a checkpoint folder that is already set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))

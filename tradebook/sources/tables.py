@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 FIRST = -1
 
 
@@ -23,6 +25,17 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, and later readers take only the columns they need and know
+    the size, so that small tables are broadcast.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _complete(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
     """Numbered sub-folders that were written to the end."""
     jvm = spark._jvm
