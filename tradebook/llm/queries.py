@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import token_files
+from . import substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -20,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES["op1_substring_dedup"] = op1_substring_dedup
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenise(read(spark, sf_dir, "documents"), TOKENIZER)
 
