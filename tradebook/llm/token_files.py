@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 2
 SEQUENCE = 2048
 BATCH = 256
 # Pieces a worker remembers; when there are more, it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # Text per shard, in bytes.
 SHARD_BYTES = 16_000_000
 
@@ -63,62 +64,79 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self._forget()
 
     def _learn(self, pieces: list[str]) -> None:
-        for piece, encoded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, at = encoded.ids, len(self.known)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
-            if at >= len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.known[piece], self.starts[at], self.sizes[at] = at, self.used, len(ids)
-            self.used += len(ids)
+        """Encode pieces not seen before and append their ids."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        at = len(self.known)
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.ids)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Rows of the pieces among those known; learns what is new."""
+        new = [p for p in pieces if p not in self.known]
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self._forget()
+                new = pieces
+            self._learn(list(dict.fromkeys(new)))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _pieces(self, text: str) -> list[str]:
         """Parts of the text that encode on their own."""
         if any(s in text for s in self.special):
             return [text]
         words = text.split(" ")
-        if "" not in words and not any(w[0].isspace() for w in words if not w[0].isascii() or w[0] < "!"):
-            return [words[0], *[" " + w for w in words[1:]]]
         pieces = [words[0]]
         for w in words[1:]:
-            if w and not w[0].isspace():
-                pieces.append(" " + w)
-            else:
+            if not w or w[0].isspace():
                 pieces[-1] += " " + w
-        return [p for p in pieces if p]
+            else:
+                pieces.append(" " + w)
+        return pieces
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and the number of ids of each text."""
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                own = self._pieces(text)
-                counts[i] = len(own)
-                pieces += own
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known, self.used = {}, 0
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            self._learn(new)
-        at = np.array([self.known[p] for p in distinct], np.int64)[np.asarray(coded.indices)] if pieces else np.zeros(0, np.int64)
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        code = np.asarray(coded.indices)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        offsets -= offsets[0]
+        odd = pc.or_(pc.equal(words, ""), pc.utf8_is_space(pc.utf8_slice_codeunits(words, 0, 1)))
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(words, special))
+        odd = odd.to_numpy(zero_copy_only=False)
+        odd_texts = np.unique(np.searchsorted(offsets, np.flatnonzero(odd[code]), side="right") - 1).tolist()
+        own = [self._pieces(texts[i].as_py() or "") for i in odd_texts]
+        blank = pc.binary_join_element_wise("", words, " ").to_pylist()
+        every = [*blank, *words.take(coded.indices.take(pa.array(offsets[:-1]))).to_pylist(), *chain.from_iterable(own)]
+        place = self._places(every)
+        at = place[code]
+        at[offsets[:-1]] = place[len(words) : len(words) + len(texts)]
+        counts = np.diff(offsets)
+        if odd_texts:
+            parts, before, used = [], 0, len(words) + len(texts)
+            for i, pieces in zip(odd_texts, own, strict=True):
+                parts += [at[before : offsets[i]], place[used : used + len(pieces)]]
+                before, used, counts[i] = offsets[i + 1], used + len(pieces), len(pieces)
+            at = np.concatenate([*parts, at[before:]])
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
         until = np.concatenate(([0], ends))[np.cumsum(counts)]
-        ids = np.insert(flat, until, END_ID)
-        return ids, np.diff(until, prepend=0) + 1
+        return np.insert(flat, until, END_ID), np.diff(until, prepend=0) + 1
 
 
 class SequenceWriter:
@@ -207,8 +225,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, order: list[str]
 
         def write(out) -> None:
             writer = SequenceWriter(out, dtype, length)
-            for batch in (b for whole in _chain(first, batches) for b in slices(whole)):
-                ids, counts = encoder.encode(batch["text"].to_pylist())
+            for batch in (b for whole in chain([first], batches) for b in slices(whole, size=2_000_000)):
+                ids, counts = encoder.encode(batch["text"])
                 writer.add(ids)
                 ids_of.append(batch["doc_id"])
                 sizes.append(counts)
@@ -225,11 +243,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, order: list[str]
     return written(dealt.mapInArrow(encode, "shard long, n_docs long, n_tokens long"), "shards")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
-
-
 def _write_index(out, index: pa.RecordBatch) -> None:
     with ipc.new_file(out, index.schema) as writer:
         writer.write_batch(index)
