@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import substring_dedup, token_files
+from . import decontamination, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +27,39 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+QUERIES["op7_decontamination"] = op7_decontamination
+CHECKS["op7_decontamination"] = """
+with w as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as a
+    from documents),
+b as (
+    select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as a
+    from benchmark),
+wins as (
+    select distinct item_id, least(len(a), 10) as k, array_to_string(a[i + 1 : i + least(len(a), 10)], ' ') as phrase
+    from (select item_id, a, unnest(range(greatest(len(a) - 9, 1))) as i from b where len(a) > 0)),
+sizes as (select distinct k from wins),
+places as (
+    select doc_id, k, i, array_to_string(a[i + 1 : i + k], ' ') as phrase
+    from (select doc_id, a, k, unnest(range(len(a) - k + 1)) as i from w, sizes where len(a) >= k)),
+found as (select doc_id, i, p.k, item_id from places p join wins using (phrase)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
+items as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+    from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select doc_id, coalesce(len(a), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hits using (doc_id) left join items using (doc_id)
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenise(read(spark, sf_dir, "documents"), TOKENIZER)
 
