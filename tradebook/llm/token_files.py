@@ -17,8 +17,10 @@ give no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,7 +38,7 @@ END_ID = 2
 SEQUENCE = 2048
 BATCH = 256
 # Pieces a worker remembers; when there are more, it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 # Text per shard, in bytes.
 SHARD_BYTES = 16_000_000
 
@@ -139,6 +141,13 @@ class PieceEncoder:
         return np.insert(flat, until, END_ID), np.diff(until, prepend=0) + 1
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """A worker's encoder, kept over its tasks. Tasks are the unit of parallel work, so the library gets one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceEncoder(path)
+
+
 class SequenceWriter:
     """Cuts a stream of ids into full sequences and writes them in batches."""
 
@@ -219,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, order: list[str]
         shard = TaskContext.get().partitionId()
         fs, base = open_place(folder)
         fs.create_dir(base, recursive=True)
-        encoder = PieceEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         dtype = np.dtype(np.uint16 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         ids_of, sizes = [], []
 
