@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import decontamination, substring_dedup, token_files
+from . import decontamination, near_duplicates, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +27,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+QUERIES["op2_near_duplicates"] = op2_near_duplicates
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.drop("items")

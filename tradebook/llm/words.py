@@ -73,9 +73,13 @@ class Words:
         return first + np.arange(total)
 
 
-def words_of(texts: list[str | None], lower: bool = False) -> Words:
-    """Words are runs of bytes other than ASCII white space; `lower` folds A-Z."""
-    split = [(t.encode("utf-8", "surrogatepass").lower() if lower else t.encode("utf-8", "surrogatepass")).split() if t else [] for t in texts]
+def words_of(texts: list[str | None], lower: bool = False, table: bytes | None = None) -> Words:
+    """Words are runs of bytes other than ASCII white space; `lower` folds A-Z, `table` maps all bytes."""
+    split = []
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass") if text else b""
+        raw = raw.lower() if lower else raw.translate(table) if table else raw
+        split.append(raw.split())
     offsets = np.zeros(len(split) + 1, np.int64)
     np.cumsum([len(s) for s in split], out=offsets[1:])
     data = np.frombuffer(b"".join(b" ".join(s) + b" " for s in split if s), np.uint8)
