@@ -40,7 +40,7 @@ def words(text: str) -> Column:
 
 @dataclass
 class Index:
-    """Written postings (row, doc_id, term, pos), the benchmark's terms (term, word, n) and their number."""
+    """Written postings (row, doc_id, text_hash, term, pos), the benchmark's terms (term, word, n) and their number."""
 
     postings: DataFrame
     terms: DataFrame
@@ -55,10 +55,10 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     )
     n_terms = vocabulary.count()
     known = vocabulary.unionByName(docs.sparkSession.createDataFrame([(LENGTH, -1)], "word string, term long"))
-    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words("text").alias("w"))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), words("text").alias("w"))
     # The posting of the length stands behind the last word, so its position is the number of words.
-    placed = split.select("row", "doc_id", F.posexplode(F.concat("w", F.array(F.lit(LENGTH)))).alias("pos", "word"))
-    postings = written(placed.join(small(known, n_terms), "word").select("row", "doc_id", "term", "pos"), "postings")
+    placed = split.select("row", "doc_id", "text_hash", F.posexplode(F.concat("w", F.array(F.lit(LENGTH)))).alias("pos", "word"))
+    postings = written(placed.join(small(known, n_terms), "word").select("row", "doc_id", "text_hash", "term", "pos"), "postings")
     counts = postings.filter("term >= 0").groupBy("term").agg(F.count("*").alias("n"))
     terms = written(vocabulary.join(counts, "term", "left").select("term", "word", F.coalesce("n", F.lit(0)).alias("n")), "term-counts")
     return Index(postings, terms, n_terms)
@@ -126,7 +126,7 @@ def matches(index: Index, ranked: DataFrame, slack: int = 0) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, slack: int = 0) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, text_hash.
 
     With a slack above 0, the words from a match's start to its end count as hit.
     """
@@ -147,10 +147,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, slack: int
         .groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     marked = written(hits.join(named, "row", "left"), "hits")
-    lengths = index.postings.filter("term = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    lengths = index.postings.filter("term = -1").select("row", "doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
     names = F.coalesce("items", F.array().cast("array<string>"))
     return lengths.join(marked, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), names.alias("items"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), names.alias("items"), "text_hash",
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import decontamination, near_duplicates, substring_dedup, token_files
+from . import decontamination, mixing, near_duplicates, quality, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -34,9 +34,48 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_near_duplicates"] = op2_near_duplicates
 
 
+# Target weights, in shares.
+SHARES = {"src0": 5, "src1": 3, "src2": 2, **{f"src{i}": 1 for i in range(3, 20)}}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read(spark, sf_dir, "documents"), SHARES).drop("text_hash")
+
+
+QUERIES["op6_mixing"] = op6_mixing
+CHECKS["op6_mixing"] = f"""
+with recursive shares(g, a) as (values {", ".join(f"('{g}', {a})" for g, a in [*SHARES.items(), (mixing.OTHER, 1)])}),
+total as (select sum(a) as p from shares),
+state(t, pick, done) as (
+    select 0, cast(null as varchar), cast([] as varchar[])
+    union all
+    select t + 1, g, list_append(done, g) from (
+        select t, done, g, row_number() over (order by ceil((k + 1) * p / a), g) as nth
+        from (select t, done, g, a, len(list_filter(done, x -> x = g)) as k from state, shares) s, total
+        where t < p and k < a and floor(k * p / a) <= t)
+    where nth = 1),
+slots as (select t - 1 as slot_at, pick as g, row_number() over (partition by pick order by t) - 1 as nth from state where t > 0),
+docs as (
+    select doc_id, source, coalesce(g, '{mixing.OTHER}') as mix_group from documents left join shares on source = g),
+ranked as (
+    select *, row_number() over (partition by mix_group order by doc_id) - 1 as rank from docs),
+blocks as (select *, rank // {mixing.BLOCK} as block, rank % {mixing.BLOCK} as place from ranked)
+select doc_id, source, mix_group, block, cast((block // a) * p + slot_at as bigint) as slot, place
+from blocks join shares on shares.g = mix_group join slots on slots.g = mix_group and nth = block % a, total
+"""
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scores.withColumn("kept", quality.accepted(scores["p_quality"], scores["p_toxic"]))
+
+
+QUERIES["op8_quality"] = op8_quality
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.drop("items")
+    return found.drop("items", "text_hash")
 
 
 QUERIES["op7_decontamination"] = op7_decontamination
