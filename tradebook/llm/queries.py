@@ -51,7 +51,7 @@ state(t, pick, done) as (
     union all
     select t + 1, g, list_append(done, g) from (
         select t, done, g, row_number() over (order by ceil((k + 1) * p / a), g) as nth
-        from (select t, done, g, a, len(list_filter(done, x -> x = g)) as k from state, shares) s, total
+        from (select t, done, g, a, len(list_filter(done, lambda x: x = g)) as k from state, shares) s, total
         where t < p and k < a and floor(k * p / a) <= t)
     where nth = 1),
 slots as (select t - 1 as slot_at, pick as g, row_number() over (partition by pick order by t) - 1 as nth from state where t > 0),

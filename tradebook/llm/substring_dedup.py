@@ -35,6 +35,8 @@ M = 4
 BUCKET_WORDS = 400_000
 MIN_BUCKETS = 256
 SLICE = 8_000_000
+# Groups that known repeats are spread over.
+KNOWN = 1024
 LAST_ID = (1 << 63) - 1
 
 PARTS = "bucket int, texts binary, docs binary, ties binary, firsts binary"
@@ -98,10 +100,10 @@ def heavy_minimisers(docs: DataFrame, k: int) -> tuple[int, np.ndarray]:
 
 
 def pack(docs: DataFrame, k: int, buckets: int, heavy: np.ndarray) -> DataFrame:
-    """Super-k-mers by bucket (PARTS), and repeats known within a slice (bucket -1, RUNS in its arrays)."""
+    """Super-k-mers by bucket (PARTS), and repeats known within a slice (buckets below 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=4)
         for batch in (b for whole in batches for b in slices(whole, size=SLICE)):
             words = words_of(batch["text"].to_pylist())
             at, least = _minimisers(words, k)
@@ -133,7 +135,7 @@ def pack(docs: DataFrame, k: int, buckets: int, heavy: np.ndarray) -> DataFrame:
                     keep.append(i)
             texts = list(seen)
             if repeat:
-                yield _part([-1], [b""], [(doc[repeat], tie[repeat], np.stack([start[repeat], n[repeat]], 1))])
+                yield _part([-1 - int(doc[repeat[0]]) % KNOWN], [b""], [(doc[repeat], tie[repeat], np.stack([start[repeat], n[repeat]], 1))])
             keep = np.array(keep)
             by = np.argsort(bucket[keep], kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[keep][by], prepend=-1, append=-1))
@@ -161,7 +163,9 @@ def _part(names: list[int], blobs: list[bytes], arrays: list[tuple]) -> pa.Recor
 def repeats_in_bucket(k: int):
     """For one bucket's super-k-mers: runs of windows whose words also occur earlier."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return known_repeats(table)
         texts = [t for blob in table["texts"].to_pylist() for t in zstandard.decompress(blob).split(b"\n")]
         doc, tie, first = (
             np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("docs", "<i8"), ("ties", "<i8"), ("firsts", "<i4"))
@@ -201,14 +205,13 @@ def repeats_in_bucket(k: int):
     return run
 
 
-def known_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            pairs = np.frombuffer(row["firsts"], "<i4").reshape(-1, 2)
-            yield pa.record_batch({
-                "doc": np.frombuffer(row["docs"], "<i8"), "tie": np.frombuffer(row["ties"], "<i8"),
-                "first": np.ascontiguousarray(pairs[:, 0]), "n": np.ascontiguousarray(pairs[:, 1]),
-            })
+def known_repeats(table: pa.Table) -> pa.Table:
+    pairs = np.frombuffer(b"".join(table["firsts"].to_pylist()), "<i4").reshape(-1, 2)
+    return pa.table({
+        "doc": np.frombuffer(b"".join(table["docs"].to_pylist()), "<i8"),
+        "tie": np.frombuffer(b"".join(table["ties"].to_pylist()), "<i8"),
+        "first": np.ascontiguousarray(pairs[:, 0]), "n": np.ascontiguousarray(pairs[:, 1]),
+    })
 
 
 def kept_words(text: str | None, runs: list[dict] | None, k: int) -> tuple[list[bytes], int]:
@@ -229,10 +232,8 @@ def substring_dedup(docs: DataFrame, k: int = K) -> DataFrame:
     spark = pin(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     buckets, heavy = heavy_minimisers(docs, k)
-    parts = written(pack(docs, k, buckets, heavy), "super-k-mers")
     runs = (
-        parts.filter("bucket >= 0").groupBy("bucket").applyInArrow(repeats_in_bucket(k), RUNS)
-        .union(parts.filter("bucket = -1").mapInArrow(known_repeats, RUNS))
+        pack(docs, k, buckets, heavy).groupBy("bucket").applyInArrow(repeats_in_bucket(k), RUNS)
         .groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
     )
     runs = written(runs, "repeats")
