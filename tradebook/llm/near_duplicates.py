@@ -10,11 +10,11 @@ before the time by which all components are expected to be filled are made; a do
 filled by then goes on to twice that time.
 
 Signatures are cut into bands; a band's hash is a bucket. Copies (equal normalised words) are one
-node. Buckets are worked off in rounds: in each, a bucket's first nodes not used so far (1, then 2, 4,
-... of them) are compared with all its nodes of another component, exactly, on the whole multisets;
-links join components; a bucket whose nodes are all in one component is finished. So every pair that
-shares a bucket is linked, joined through others, or compared and found too far apart, and no round
-emits a group's pairs with one another.
+node. Every bucket's smallest node is compared with all its others, exactly, on the whole multisets.
+Buckets whose nodes are not one component by then are cut into blocks of about `BLOCK` nodes, and a
+task compares two blocks and gives back a tree of links for each component it finds. So every pair
+that shares a bucket is joined or compared, no task gets more than two blocks, and no group's pairs
+are ever rows.
 
 Rules: null and blank texts have no shingles and are each a class of their own; rows with equal
 doc_id are separate texts that share the id; a null doc_id takes part, and is larger than any other;
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import components, pin, small, written
 from .words import SLICE_BYTES, Words, mix, slices, words_of
@@ -38,6 +38,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 25
 ROWS = 5
+# Nodes per block of a bucket, and shingles per matrix product.
+BLOCK = 400
+COLUMNS = 4096
 LAST_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -181,6 +184,49 @@ def _overlaps(threshold: float):
     return run
 
 
+def compare_blocks(threshold: float):
+    """For the nodes of one block, or of two, of a bucket: links that join what is similar enough.
+
+    Overlaps come from products of 0/1 matrices over the shingles that at least two texts have, a
+    repeated shingle counting as so many different ones. All pairs are compared, but only a tree of
+    each component is given back.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        node, own = table["node"].to_numpy(), table["own"].to_numpy()
+        texts = [zstandard.decompress(t).decode("utf-8", "surrogatepass") for t in table["packed"].to_pylist()]
+        n = len(node)
+        text, shingle, count = multisets(words_of(texts))
+        total = np.bincount(text, count, n)
+        row = np.repeat(text, count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        _, column, size = np.unique(mix(np.repeat(shingle, count) + nth.astype(_U)), return_inverse=True, return_counts=True)
+        common = size >= 2
+        place = np.cumsum(common) - 1
+        inside = common[column]
+        row, column = row[inside], place[column[inside]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((n, n), np.float32)
+        for at in range(0, int(common.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[row[a:b], column[a:b] - at] = 1
+            shared += part @ part.T
+        linked = shared >= threshold * (total[:, None] + total[None, :] - shared)
+        if key[1].as_py() != key[2].as_py():
+            linked &= own[:, None] != own[None, :]
+        np.fill_diagonal(linked, True)
+        label, before = np.arange(n), None
+        while before is None or (label != before).any():
+            before = label
+            label = np.where(linked, label[None, :], n).min(1)
+        joined = np.flatnonzero(label != np.arange(n))
+        return pa.table({"a": node[label[joined]], "b": node[joined]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id), text_hash.
 
@@ -207,42 +253,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
         chosen.select("node", "text").mapInArrow(squeeze, "node long, packed binary").dropDuplicates(["node"]), "texts"
     )
 
-    labels = wanted.select("node", F.col("node").alias("label"))
-    links = None
-    seeds = 1
-    while True:
-        placed = members.join(labels, "node")
-        mixed = written(
-            placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .filter("lo <> hi").select("bucket"), "mixed",
-        )
-        members = written(members.join(mixed, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        first = Window.partitionBy("bucket").orderBy("node")
-        heads = written(
-            members.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= seeds)
-            .join(labels, "node").select("bucket", F.col("node").alias("head"), F.col("label").alias("head_label")), "heads",
-        )
-        pairs = (
-            members.join(heads, "bucket").join(labels, "node").filter("label <> head_label and node > head")
-            .select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-        )
-        pairs = written(pairs, "pairs")
-        linked = written(
-            pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("ta")), "a")
-            .join(packed.select(F.col("node").alias("b"), F.col("packed").alias("tb")), "b")
-            .select("a", "b", "ta", "tb").mapInArrow(_overlaps(threshold), "a long, b long"), "links",
-        )
-        links = linked if links is None else links.unionByName(linked)
-        joined = components(links)
-        labels = written(
-            wanted.select("node").join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels"
-        )
-        # Heads have met every member of another component; they leave their buckets.
-        used = heads.select("bucket", F.col("head").alias("node"))
-        members = written(members.join(used, ["bucket", "node"], "left_anti"), "members")
-        seeds *= 2
+    # First every bucket's smallest node against its others: most buckets are one component then.
+    heads = written(members.groupBy("bucket").agg(F.min("node").alias("head")), "heads")
+    pairs = written(
+        members.join(heads, "bucket").filter("node > head")
+        .select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs",
+    )
+    links = written(
+        pairs.join(packed.select(F.col("node").alias("a"), F.col("packed").alias("ta")), "a")
+        .join(packed.select(F.col("node").alias("b"), F.col("packed").alias("tb")), "b")
+        .select("a", "b", "ta", "tb").mapInArrow(_overlaps(threshold), "a long, b long"), "links",
+    )
+    labels = components(links)
+
+    # Then all that is left in buckets of several components, in pairs of blocks.
+    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = written(
+        placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+        .filter("lo <> hi").select("bucket", F.ceil((F.col("n") - 1) / BLOCK).alias("blocks")), "mixed",
+    )
+    used = heads.select("bucket", F.col("head").alias("node"))
+    left = members.join(used, ["bucket", "node"], "left_anti").join(mixed, "bucket").withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("blocks"))
+    )
+    dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node"
+    )
+    more = dealt.join(packed, "node").groupBy("bucket", "p", "q").applyInArrow(compare_blocks(threshold), "a long, b long")
+    labels = components(written(links.unionByName(more), "all-links"))
 
     of_node = nodes.select("node", "copy", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = written(of_node.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
