@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import decontamination, mixing, near_duplicates, quality, substring_dedup, token_files
+from . import decontamination, mixing, near_duplicates, quality, substring_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -34,6 +34,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_near_duplicates"] = op2_near_duplicates
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).drop("url")
+
+
+QUERIES["op3_warc"] = op3_warc
+
+
 # Target weights, in shares.
 SHARES = {"src0": 5, "src1": 3, "src2": 2, **{f"src{i}": 1 for i in range(3, 20)}}
 
