@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import decontamination, mixing, near_duplicates, quality, substring_dedup, token_files, warc
+from . import chats, decontamination, mixing, near_duplicates, quality, substring_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -118,3 +118,26 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_token_files"] = op9_token_files
+
+
+def op5_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chats(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op5_chats"] = op5_chats
+CHECKS["op5_chats"] = f"""
+with turns as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as position
+    from turns),
+whole as (
+    select conv_id, count(*) as length, list(struct_pack(r := role, t := text) order by position) as turns
+    from placed group by conv_id),
+prefixes as (select distinct length, turns[1:n] as turns from (select length, turns, unnest(range(1, length)) as n from whole)),
+kept as (
+    select min(conv_id) as conv_id from whole
+    where turns not in (select turns from prefixes) group by turns)
+select conv_id, (position - 1) // {chats.PART} as part, count(*) as n_turns,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by position) as text
+from placed where conv_id in (select conv_id from kept) group by all
+"""
