@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import chats, decontamination, mixing, near_duplicates, quality, substring_dedup, token_files, warc
+from . import chats, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -141,3 +141,10 @@ select conv_id, (position - 1) // {chats.PART} as part, count(*) as n_turns,
     string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by position) as text
 from placed where conv_id in (select conv_id from kept) group by all
 """
+
+
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.embedding_links(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_embedding_links"] = op10_embedding_links
