@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import chats, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, token_files, warc
+from . import chats, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, surrogates, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -148,3 +148,10 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_embedding_links"] = op10_embedding_links
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_surrogates"] = op4_surrogates
