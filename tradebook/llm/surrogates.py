@@ -67,7 +67,7 @@ SYLLABLES = {
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.\w{2,}")
 _SECRET = re.compile(r"(?<![^\W_])(?:token|api[_-]?key|secret|password|passwd|TOKEN|API[_-]?KEY|SECRET|PASSWORD)\W{1,4}([A-Za-z0-9_/+-]{8,})")
 _HEX = re.compile(r"(?<!\w)(?:[0-9a-f]{24,}|[0-9A-F]{24,})(?!\w)")
-_PHONE = re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w.])\+[0-9][[0-9] .-]{6,14}[0-9](?!\w)")
+_PHONE = re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?!\w)|(?<![\w.])\+[0-9][0-9 .-]{6,14}[0-9](?!\w)")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])")
 _CARD = re.compile(r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w)")
 _NAME = re.compile(rf"(?<!\w)({_TITLE})\.? ((?:[^\W\d_a-zа-яα-ω][^\W\d_]+)(?: [^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
