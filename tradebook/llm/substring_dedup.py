@@ -34,7 +34,7 @@ M = 4
 # Words of the corpus per bucket, and the least number of buckets.
 BUCKET_WORDS = 400_000
 MIN_BUCKETS = 256
-SLICE = 8_000_000
+SLICE = 4_000_000
 # Groups that known repeats are spread over.
 KNOWN = 1024
 LAST_ID = (1 << 63) - 1

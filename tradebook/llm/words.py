@@ -12,7 +12,7 @@ import pyarrow.compute
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,3 +96,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
