@@ -124,15 +124,15 @@ def pack(docs: DataFrame, k: int, buckets: int, heavy: np.ndarray) -> DataFrame:
             order = np.lexsort((start, tie, doc))
             raw = words.data.tobytes()
             begin, end = words.starts[a].tolist(), words.ends[a + n + k - 2].tolist()
-            seen: dict[bytes, None] = {}
+            seen: dict[bytes, int] = {}
             keep, repeat = [], []
             for i in order.tolist():
                 text = raw[begin[i] : end[i]]
-                if text in seen:
-                    repeat.append(i)
-                else:
-                    seen[text] = None
+                first_seen = seen.setdefault(text, i)
+                if first_seen == i:
                     keep.append(i)
+                elif (doc[i], tie[i], start[i]) != (doc[first_seen], tie[first_seen], start[first_seen]):
+                    repeat.append(i)
             texts = list(seen)
             if repeat:
                 yield _part([-1 - int(doc[repeat[0]]) % KNOWN], [b""], [(doc[repeat], tie[repeat], np.stack([start[repeat], n[repeat]], 1))])
@@ -191,7 +191,9 @@ def repeats_in_bucket(k: int):
             same = np.ones(len(others), bool)
             for j in range(k):
                 same &= code[at[order[others]] + j] == code[at[head[others]] + j]
-            removed[order[others[same]]] = True
+            # A row that repeats the head's own place is the same document once more, no repeat of its words.
+            twin = (start[order] == start[head]) & (doc[owner[order]] == doc[owner[head]]) & (tie[owner[order]] == tie[owner[head]])
+            removed[order[others[same & ~twin[others]]]] = True
             left = order[others[~same]]  # different words with one hash: once more among themselves
         hit = np.flatnonzero(removed)
         join = np.zeros(len(hit), bool)
