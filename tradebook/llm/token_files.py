@@ -38,7 +38,7 @@ END_ID = 2
 SEQUENCE = 2048
 BATCH = 256
 # Pieces a worker remembers; when there are more, it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 # Text per shard, in bytes.
 SHARD_BYTES = 16_000_000
 
