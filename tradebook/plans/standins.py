@@ -142,11 +142,8 @@ from nation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; one in fewer files than there are cores is spread over the cores, since a
-    small file is read by one task and everything up to the next shuffle would run there."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    """A given table, read as it is; a small file is read by one task up to the first shuffle."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _flat(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
