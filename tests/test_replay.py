@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tradebook import schemas
 from tradebook.operators import replay as RP
 from tradebook.operators.deliveries import capture_raw_event, project_events
+from tradebook.operators.matching import classify_event, customer_keys, job_keys
 from tradebook.schemas import LINK
 
 NOW = "2024-02-01 00:00:00"
@@ -118,11 +119,12 @@ def draw(seed, n_events, n_refs, n_people):
 
 
 def frames(spark, events, jobs, customers):
-    from tradebook.functions.text import norm_key
+    from tradebook.functions.text import tenant_key
 
-    ev = spark.createDataFrame([tuple(e.values()) for e in events], EVENT)
+    ev = spark.createDataFrame([tuple(e.values()) for e in events], EVENT).withColumn(
+        "tenant_id", F.lit(1).cast("long"))
     for key, field in (("ref_key", "reference"), ("email_key", "email"), ("phone_key", "phone")):
-        ev = ev.withColumn(key, norm_key(F.col(field)))
+        ev = ev.withColumn(key, tenant_key(F.col("tenant_id"), F.col(field)))
     at = F.lit("2020-01-01 00:00:00").cast("timestamp")
     j = spark.createDataFrame(
         [(x["id"], 1, x["customerId"], x["title"], "Book Survey",
@@ -186,3 +188,30 @@ def test_duplicate_delivery_is_stale(spark):
     assert (made.id, made.name, made.stage) == (1, "R-1", "Quoted")
     assert json.loads(made.data_json)["tabs"]["installation"]["emailReminders"]["week"] == {
         "status": "pending", "sentAt": ""}
+
+
+def test_tenants_do_not_match(spark):
+    """Two tenants share reference, e-mail and phone."""
+    def body(reference):
+        pairs = [("Reference", reference), ("Email", "x@t"), ("Phone", "1")]
+        return json.dumps({"json": {"infoProperties": [{"name": n, "value": v} for n, v in pairs]}})
+
+    _, jobs, customers = frames(
+        spark, [], [{"id": 1, "customerId": 1, "title": "J", LINK.ref: "R-9", LINK.modified: ""}],
+        [{"id": 1, "name": "A", "stage": "Quoted", "email": "x@t", "phone": "1", LINK.ref: "",
+          LINK.modified: ""}])
+    rows = spark.createDataFrame(
+        [(0, 2, None, "", body("R-9")), (1, 1, None, "", body("R-9")), (2, 2, None, "", body("R-10")),
+         (3, 1, None, "", body("R-10"))], schemas.DELIVERIES)
+    events = project_events(capture_raw_event(rows))
+    each = classify_event(events, job_keys(jobs), customer_keys(customers)).collect()
+    assert sorted((r.seq, r.action, r.customer_id) for r in each) == [
+        (0, "created-customer", None), (1, "updated-job", None), (2, "created-customer", None),
+        (3, "created-job", 1)]
+    out = RP.replay(events, jobs, customers, F.lit(NOW).cast("timestamp"))
+    assert sorted((r.seq, r.action, r.job_id, r.customer_id) for r in out.actions.collect()) == [
+        (0, "created-customer", None, 2), (1, "updated-job", 1, None), (2, "created-job", 2, 2),
+        (3, "created-job", 3, 1)]
+    assert sorted((r.id, r.tenant_id, r.customer_id) for r in out.jobs.collect()) == [
+        (1, 1, 1), (2, 2, 2), (3, 1, 1)]
+    assert sorted((r.id, r.tenant_id) for r in out.customers.collect()) == [(1, 1), (2, 2)]

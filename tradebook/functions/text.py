@@ -31,6 +31,11 @@ def norm_key(text: Column) -> Column:
     return blank_to_null(norm_text(text))
 
 
+def tenant_key(tenant: Column, text: Column) -> Column:
+    """`norm_key` within a tenant; null where the text gives no key."""
+    return F.concat(F.coalesce(tenant.cast("string"), F.lit("")), F.lit(":"), norm_key(text))
+
+
 def first_nonempty(*texts: Column) -> Column:
     return F.coalesce(*[blank_to_null(t) for t in texts], F.lit(""))
 

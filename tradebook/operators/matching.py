@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, norm_key
+from ..functions.text import blank_to_null, tenant_key
 from ..schemas import LINK, LinkFields
 from .prefix import CHUNK_BITS, prefix_fold
 
 
 def job_keys(jobs: DataFrame, link: LinkFields = LINK) -> DataFrame:
-    """What matching needs from a job: link key, customer and the stored modification text."""
+    """What matching needs from a job: link key, customer and the stored modification text.
+
+    The keys hold the tenant, so records of different tenants never match.
+    """
     doc = F.from_json("data_json", f"{link.ref} string, {link.modified} string")
-    return jobs.select("id", "customer_id", doc.alias("_d")).select(
+    return jobs.select("id", "tenant_id", "customer_id", doc.alias("_d")).select(
         F.col("id").alias("job_id"), "customer_id",
-        norm_key(F.col(f"_d.{link.ref}")).alias("ref_key"),
+        tenant_key(F.col("tenant_id"), F.col(f"_d.{link.ref}")).alias("ref_key"),
         blank_to_null(F.col(f"_d.{link.modified}")).alias("stored"),
     )
 
@@ -25,11 +28,11 @@ def customer_keys(customers: DataFrame, link: LinkFields = LINK) -> DataFrame:
     doc = F.from_json(
         "data_json", f"email string, phone string, {link.ref} string, {link.modified} string"
     )
-    return customers.select("id", "name", doc.alias("_d")).select(
+    return customers.select("id", "tenant_id", "name", doc.alias("_d")).select(
         F.col("id").alias("customer_id"), "name",
-        norm_key(F.col("_d.email")).alias("email_key"),
-        norm_key(F.col("_d.phone")).alias("phone_key"),
-        norm_key(F.col(f"_d.{link.ref}")).alias("ref_key"),
+        tenant_key(F.col("tenant_id"), F.col("_d.email")).alias("email_key"),
+        tenant_key(F.col("tenant_id"), F.col("_d.phone")).alias("phone_key"),
+        tenant_key(F.col("tenant_id"), F.col(f"_d.{link.ref}")).alias("ref_key"),
         blank_to_null(F.col(f"_d.{link.modified}")).alias("stored"),
     )
 

@@ -33,7 +33,7 @@ from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS, LINK, LinkFields
 from ..sources.tables import stored
 from .matching import (
-    customer_keys, fold_sparse_updates, is_stale, job_keys, links_by_reference,
+    customer_keys, fold_sparse_updates, is_stale, job_keys, links_by_reference, spread_null,
 )
 from .prefix import CHUNK_BITS, prefix_fold
 from .snapshots import ordinal
@@ -202,6 +202,8 @@ def replay(
 ) -> Replayed:
     """Apply `project_events` to the tables in the order of `seq` (whole, unique, not negative).
 
+    Keys hold the tenant, and new records belong to the tenant of the event that makes them.
+
     Runs jobs of its own: the marked events and the targets of each round are written to the shared
     folder.
     """
@@ -221,14 +223,19 @@ def replay(
         "_seen": ("max", blank_to_null(F.col("modified"))), "_before": ("sum", F.lit(1)),
     }, bits)
     owners = links.select(F.col("linked_customer").alias("id")).distinct()
-    present = customers.select("id").join(owners, "id", "left_semi").select(
-        F.col("id").alias("linked_customer"), F.col("id").alias("patched")
+    present = customers.select("id", "tenant_id").join(owners, "id", "left_semi").select(
+        F.concat(F.lit("="), "id").alias("_k"), F.col("id").alias("_owner"),
+        F.col("tenant_id").alias("_owner_tenant"),
     )
+    # A job may name a customer of another tenant; that one is left alone.
+    own = F.col("_owner_tenant").eqNullSafe(F.col("tenant_id"))
     marked = stored(
         folded.withColumn("is_first", F.col("_before") == 0)
         .withColumn("applied", ~is_stale(F.col("modified"), F.greatest("_seen", "stored")))
         .drop("_seen", "_before")
-        .join(present, "linked_customer", "left"), "marked",
+        .withColumn("_k", spread_null(F.col("linked_customer").cast("string"), F.col("seq")))
+        .join(present, "_k", "left").withColumn("patched", F.when(own, F.col("_owner")))
+        .drop("_k", "_owner", "_owner_tenant"), "marked",
     )
     last_seq = marked.agg(F.max("seq")).first()[0] or 0
     top = int(last_seq + 2).bit_length()
@@ -346,7 +353,9 @@ def _job_rows(
 
     fresh = on_jobs.filter(F.col("linked").isNull())
     folded = fold_sparse_updates(fresh, "ref_key", "seq", list(DEAL)).select("ref_key", deal)
-    born = fresh.filter(F.col("starts")).select("ref_key", "job", "customer", "name", "reference")
+    born = fresh.filter(F.col("starts")).select(
+        "ref_key", "tenant_id", "job", "customer", "name", "reference"
+    )
     title = first_nonempty(F.col("owner_name"), F.col("name"), F.col("reference"))
     text = {k: F.coalesce(v, F.lit("")) for k, v in _deal_texts(link).items()}
     doc = F.to_variant_object(F.create_map(*[c for k, v in {
@@ -356,12 +365,10 @@ def _job_rows(
         **{k: _variant(v) for k, v in text.items()},
         "wonAt": _variant(_iso(now)), "tabs": F.parse_json(F.lit(EMPTY_TABS)),
     }.items() for c in (F.lit(k), v)]))
-    owner_tenant = customers.select(F.col("id").alias("customer"), "tenant_id")
     inserted = (
         born.join(folded, "ref_key").join(_titles(full, customers, bits), "ref_key", "left")
-        .join(owner_tenant, "customer", "left")
         .select(
-            F.col("job").alias("id"), F.coalesce("tenant_id", F.lit(1)).cast("long").alias("tenant_id"),
+            F.col("job").alias("id"), "tenant_id",
             F.col("customer").alias("customer_id"), title.alias("title"),
             F.lit(DEFAULT_STATUS).alias("status"), F.to_json(doc).alias("data_json"),
             now.alias("created_at"), now.alias("updated_at"),
@@ -398,7 +405,7 @@ def _customer_rows(
     }).select(*customers.columns)
 
     born = full.filter(F.col("starts") & (F.col("target") == "customer")).select(
-        F.col("customer").alias("id"), "reference",
+        F.col("customer").alias("id"), "tenant_id", "reference",
         derive_stage(F.col("quote_value")).alias("stage"),
     )
     name = first_nonempty(F.col("_f.name"), F.col("reference"))
@@ -411,7 +418,7 @@ def _customer_rows(
         "tabs": F.parse_json(F.lit(EMPTY_TABS)),
     }.items() for c in (F.lit(k), v)]))
     inserted = born.join(changes, "id").select(
-        "id", F.lit(1).cast("long").alias("tenant_id"), name.alias("name"), "stage",
+        "id", "tenant_id", name.alias("name"), "stage",
         F.to_json(doc).alias("data_json"), now.alias("created_at"), now.alias("updated_at"),
     )
     return updated.unionByName(inserted.select(*customers.columns))

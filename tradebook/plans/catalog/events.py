@@ -10,12 +10,12 @@ from ..registry import query
 from .functions import PROJECT_EVENTS
 
 LINKS = PROJECT_EVENTS + """
-, jl as (select lower(link_ref) as ref_key, min(id) as job_id, arg_min(customer_id, id) as job_owner,
+, jl as (select tenant_id || ':' || lower(link_ref) as ref_key, min(id) as job_id, arg_min(customer_id, id) as job_owner,
     nullif(arg_min(link_modified, id), '') as job_stored from job where link_ref <> '' group by 1)
-, cl as (select lower(link_ref) as ref_key, min(id) as cust_id,
+, cl as (select tenant_id || ':' || lower(link_ref) as ref_key, min(id) as cust_id,
     nullif(arg_min(link_modified, id), '') as cust_stored from cust where link_ref <> '' group by 1)
-, be as (select lower(email) as email_key, min(id) as id from cust where email <> '' group by 1)
-, bp as (select phone as phone_key, min(id) as id from cust group by 1)
+, be as (select tenant_id || ':' || lower(email) as email_key, min(id) as id from cust where email <> '' group by 1)
+, bp as (select tenant_id || ':' || phone as phone_key, min(id) as id from cust group by 1)
 , cls as (
   select pe.*, jl.job_id, jl.job_owner, case when jl.job_id is null then cl.cust_id end as cust_id,
     coalesce(be.id, bp.id) as found, case when be.id is not null then 'email'
@@ -115,7 +115,7 @@ def apply_action_summary(spark, sf):
 
 
 @query("first_match", """
-select lower(email) as email_key, min(id) as customer_id, arg_min(name, id) as name
+select tenant_id || ':' || lower(email) as email_key, min(id) as customer_id, arg_min(name, id) as name
 from cust where email <> '' group by 1
 """)
 def first_match(spark, sf):

@@ -21,8 +21,9 @@ PROJECT_EVENTS = """
     replace(regexp_extract(raw_fee, '£\\s*([0-9,]+(?:[.][0-9]+)?)', 1), ',', '')
       as installation_value,
     raw_status as ext_status, raw_modified as modified,
-    nullif(lower(trim(raw_reference)), '') as ref_key, nullif(lower(trim(raw_email)), '') as email_key,
-    nullif(lower(trim(raw_phone)), '') as phone_key, received_at, tenant_id
+    tenant_id || ':' || nullif(lower(trim(raw_reference)), '') as ref_key,
+    tenant_id || ':' || nullif(lower(trim(raw_email)), '') as email_key,
+    tenant_id || ':' || nullif(lower(trim(raw_phone)), '') as phone_key, received_at, tenant_id
   from ev where body = 'project')
 """
 
@@ -51,17 +52,20 @@ def norm_text(spark, sf):
     )
 
 
-@query("kv_pivot", "select seq, raw_reference as ref, raw_phone as phone from ev where body = 'project'")
+@query("kv_pivot", """
+select seq, case body when 'project' then raw_reference else cast(user_id + 1 as varchar) end as ref,
+  case body when 'project' then raw_phone end as phone
+from ev where body in ('project', 'numeric')
+""")
 def kv_pivot(spark, sf):
     pairs = F.from_json(
-        "payload", "json struct<infoProperties: array<struct<name: string, value: string>>, "
-                   "price: string>"
+        "payload", "json struct<infoProperties: array<struct<name: string, value: string>>>"
     )["json"]
     props = F.col("_p.infoProperties")
     return D.project_payload_gate(captured(spark, sf)).withColumn("_p", pairs).select(
         "seq", DOC.kv_pivot(props, "Reference").alias("ref"),
-        DOC.kv_pivot(props, "Phone").alias("phone"), F.col("_p.price").alias("price"),
-    ).filter(F.col("price").isNotNull()).drop("price")
+        DOC.kv_pivot(props, "Phone").alias("phone"),
+    )
 
 
 @query("extract_project_fields", PROJECT_EVENTS + """
@@ -74,19 +78,21 @@ def extract_project_fields(spark, sf):
     return D.extract_project_fields(captured(spark, sf), keep=("seq",))
 
 
-@query("parse_fee", PROJECT_EVENTS + "select seq, installation_value as fee from pe")
+@query("parse_fee", """
+select seq, replace(regexp_extract(raw_fee, '£\\s*([0-9,]+(?:[.][0-9]+)?)', 1), ',', '') as fee from ev
+""")
 def parse_fee(spark, sf):
-    return flat_events(spark, sf).filter(F.col("body") == "project").select(
-        "seq", T.parse_fee(F.col("raw_fee")).alias("fee")
-    )
+    return flat_events(spark, sf).select("seq", T.parse_fee(F.col("raw_fee")).alias("fee"))
 
 
-@query("positive_price_text", PROJECT_EVENTS + "select seq, quote_value as price from pe")
+@query("positive_price_text", PROJECT_EVENTS + """
+select seq, coalesce(quote_value, '') as price from ev left join pe using (seq)
+""")
 def positive_price_text(spark, sf):
     price = F.try_variant_get(DOC.parsed(F.col("payload")), "$.json.price", "variant")
-    return captured(spark, sf).withColumn("_price", price).filter(
-        F.col("_price").isNotNull()
-    ).select("seq", DOC.positive_price_text(F.col("_price")).alias("price"))
+    return captured(spark, sf).withColumn("_price", price).select(
+        "seq", DOC.positive_price_text(F.col("_price")).alias("price")
+    )
 
 
 @query("join_nonempty", """

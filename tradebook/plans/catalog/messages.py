@@ -254,14 +254,15 @@ def template_lookup(spark, sf):
 
 
 @query("default_templates", DUE + TEMPLATES + """
-select t.kind, t.template_key, t.subject, md5(t.body) as body_md5, count(*) as due
-from due d join templ t on t.kind = d.kind group by all
+select t.kind, t.template_key, t.subject, md5(t.body) as body_md5, count(d.kind) as due
+from templ t left join due d on t.kind = d.kind group by all
 """)
 def default_templates(spark, sf):
     counts = due(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("due"))
-    return counts.join(F.broadcast(O.default_templates(spark)), "kind").select(
+    return O.default_templates(spark).join(counts, "kind", "left").select(
         "kind", "template_key", F.col("default_subject").alias("subject"),
-        F.md5(F.col("default_body").cast("binary")).alias("body_md5"), "due",
+        F.md5(F.col("default_body").cast("binary")).alias("body_md5"),
+        F.coalesce("due", F.lit(0)).alias("due"),
     )
 
 

@@ -40,11 +40,12 @@ def daily_reminder_run(
 
 
 def close_daily_run(
-    jobs: DataFrame, outbox: DataFrame, results: DataFrame, sent_on: Column
+    jobs: DataFrame, outbox: DataFrame, results: DataFrame, sent_on: Column,
+    now: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Jobs with the marks of what was sent, and the messages that stay due."""
     sent, failed = reconcile_send_results(outbox, results)
-    return W.mark_sent(jobs, sent, sent_on), failed
+    return W.mark_sent(jobs, sent, sent_on, now), failed
 
 
 def save_jobs(

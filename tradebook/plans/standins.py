@@ -119,7 +119,7 @@ select event_id as seq, cast(ts as timestamp) as received_at,
   case when event_type = 'error' then ''
        else lpad(cast({epoch} - cast(floor(value * 3600) as bigint) as string), 12, '0') end
        as raw_modified,
-  user_id, user_id % 5 as tenant_id
+  user_id, ({k} + user_id) % 5 as tenant_id
 from events
 """
 SPARK_TERMS = {
