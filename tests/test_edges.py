@@ -15,6 +15,7 @@ from tradebook.operators import entities as E
 from tradebook.operators import matching as M
 from tradebook.operators import outbox as O
 from tradebook.operators import reminders as R
+from tradebook.operators import reports as REP
 from tradebook.operators import snapshots as S
 from tradebook.schemas import LINK
 
@@ -114,6 +115,11 @@ def test_lenient_parse(spark):
     assert wrapped == {"_nonJsonBody": True, "contentType": "text/plain", "rawText": "x" * 2000}
 
 
+def test_capture_keeps_whole_texts(spark):
+    kept = D.capture_raw_event(deliveries(spark, ["x" * 3000, '{"a":1}'])).orderBy("seq").collect()
+    assert [r.raw_text for r in kept] == ["x" * 3000, None]
+
+
 def test_gate(spark):
     bodies = ['{"json":{"infoProperties":[]}}', '{"json":{"infoProperties":{}}}', '{"json":{}}',
               "null", "[1]", "5", "text", '{"json":{"infoProperties":"[]"}}', '{"json":null}']
@@ -204,6 +210,9 @@ def transitions(spark, was, now):
     ({"date": "d"}, {"date": "d", "fitter": "f"}, True),
     ({"date": "d", "fitter": "f"}, {"date": "e", "fitter": "f"}, False),
     ({}, {"date": "d", "fitter": "f", "emailSent": {"status": "pending"}}, False),
+    *[({}, {"date": "d", "fitter": "f", "emailSent": mark}, False)
+      for mark in (True, "sent", "false", [], {}, 1)],
+    *[({}, {"date": "d", "fitter": "f", "emailSent": mark}, True) for mark in (None, False, "", 0)],
     ({}, {"date": "d", "fitter": "f", "notifyEnabled": False}, False),
     ({}, {"date": "d", "fitter": ""}, False),
 ])
@@ -334,19 +343,21 @@ def test_identity(spark):
         spark, {"email": "", "phone": "1"}, {"email": "A@x ", "phone": "2"}, {"email": "a@X", "phone": "1"},
         {"email": " ", "phone": " "}))
     events = spark.createDataFrame(
-        [(1, "a@x", "1"), (2, "z@x", "1"), (3, None, None), (4, None, "2"), (5, "z@x", "9")],
+        [(1, "1:a@x", "1:1"), (2, "1:z@x", "1:1"), (3, None, None), (4, None, "1:2"),
+         (5, "1:z@x", "1:9"), (6, "2:a@x", "2:1")],
         "seq long, email_key string, phone_key string")
     got = {r.seq: (r.matched_customer, r.matched_by)
            for r in M.identity_match(events, people).collect()}
-    assert got == {1: (2, "email"), 2: (1, "phone"), 3: (None, None), 4: (2, "phone"), 5: (None, None)}
+    assert got == {1: (2, "email"), 2: (1, "phone"), 3: (None, None), 4: (2, "phone"), 5: (None, None),
+                   6: (None, None)}
 
 
 def test_link_order(spark):
     job = jobs(spark, {LINK.ref: "r-1", LINK.modified: "5"})
     people = customers(spark, {LINK.ref: "R-1"}, {LINK.ref: "R-2", LINK.modified: "5"})
     events = spark.createDataFrame(
-        [(1, "R-1", "r-1", "6"), (2, "R-1", "r-1", "5"), (3, "R-1", "r-1", ""), (4, "R-2", "r-2", "4"),
-         (5, "R-3", "r-3", "1"), (6, "", None, "1")],
+        [(1, "R-1", "1:r-1", "6"), (2, "R-1", "1:r-1", "5"), (3, "R-1", "1:r-1", ""),
+         (4, "R-2", "1:r-2", "4"), (5, "R-3", "1:r-3", "1"), (6, "", None, "1"), (7, "R-1", "2:r-1", "6")],
         "seq long, reference string, ref_key string, modified string",
     ).withColumn("email_key", F.lit(None).cast("string")).withColumn(
         "phone_key", F.lit(None).cast("string"))
@@ -354,7 +365,8 @@ def test_link_order(spark):
            for r in M.classify_event(events, M.job_keys(job), M.customer_keys(people)).collect()}
     assert got == {
         1: ("updated-job", 1, None), 2: ("skipped-stale", 1, None), 3: ("updated-job", 1, None),
-        4: ("skipped-stale", None, 2), 5: ("created-customer", None, None), 6: ("skipped", None, None)}
+        4: ("skipped-stale", None, 2), 5: ("created-customer", None, None), 6: ("skipped", None, None),
+        7: ("created-customer", None, None)}
 
 
 # ---- writes ----------------------------------------------------------------------------------
@@ -376,3 +388,52 @@ def test_delete_customers(spark):
     left, blocked = S.delete_customers_restrict(people, jobs(spark, {}, customer_id=1), asked)
     assert sorted(r.id for r in left.collect()) == [1, 3]
     assert [r.id for r in blocked.collect()] == [1]
+
+
+def test_delete_requests_of_other_tenants(spark):
+    people = customers(spark, {}, {})
+    asked = spark.createDataFrame([(1, 9), (2, 9)], "id long, tenant_id long")
+    left, blocked = S.delete_customers_restrict(people, jobs(spark, {}, customer_id=1), asked)
+    assert left.count() == 2 and blocked.isEmpty()
+
+
+def test_patch_refreshes_columns(spark):
+    people = customers(spark, {"name": "a", "k": 1}, {"name": "b"}, {"name": "c"})
+    patches = spark.createDataFrame([(1, "new"), (2, "")], "id long, name string")
+    now = F.lit("2026-05-05").cast("timestamp")
+    got = {r.id: (r.name, json.loads(r.data_json), str(r.updated_at)[:10])
+           for r in S.sparse_patch(people, patches, "id", ["name"], now).collect()}
+    assert got == {
+        1: ("new", {"name": "new", "k": 1}, "2026-05-05"),
+        2: ("column name", {"name": "b"}, "2026-05-05"),
+        3: ("column name", {"name": "c"}, "2026-01-01")}
+
+
+def test_marks_touch_only_their_jobs(spark):
+    before = jobs(spark, {"a": 1}, {"a": 2})
+    sent = spark.createDataFrame([(1, None, "survey_day")], "job_id long, booking_id string, kind string")
+    after = {r.id: r for r in S.mark_sent(
+        before, sent, F.lit(RUN).cast("date"), F.lit("2026-05-05").cast("timestamp")).collect()}
+    assert [str(after[i].updated_at)[:10] for i in (1, 2)] == ["2026-05-05", "2026-01-01"]
+    assert after[2] == before.filter("id = 2").first()
+
+
+def test_results_are_not_mixed(spark):
+    box = spark.createDataFrame([(1, None, "k", False)],
+                                "job_id long, booking_id string, kind string, is_test boolean")
+    results = spark.createDataFrame(
+        [(1, None, "k", "Failed", "bounced", 2), (1, None, "k", "Throttled", None, 1)],
+        "job_id long, booking_id string, kind string, status string, error string, at int")
+    pairs = [O.reconcile_send_results(box, results, at)[1].first() for at in (None, "at")]
+    assert [(r.status, r.error) for r in pairs] == [("Throttled", None), ("Failed", "bounced")]
+
+
+def test_calendar_goes_by_time(spark):
+    def visit(date, start):
+        return tabs(installation={"date": date, "fitters": ["F"], "startTime": start})
+
+    got = REP.booking_calendar(
+        jobs(spark, visit("2026-08-03", "10:30"), visit("2026-08-03T00:00:00", "9:30"),
+             visit("2026-08-03", "09:00"), visit("2026-08-03", "")), customers(spark, {})).collect()
+    assert sorted((r.seq_in_day, r.start) for r in got) == [
+        (1, ""), (2, "09:00"), (3, "9:30"), (4, "10:30")]

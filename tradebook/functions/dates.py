@@ -39,3 +39,9 @@ def is_working_day(text: Column) -> Column:
 def start_hour(text: Column) -> Column:
     """Hour of an `HH:MM` text, null where there is none."""
     return F.regexp_extract(F.coalesce(text, F.lit("")), r"^(\d{1,2}):\d{2}", 1).try_cast("int")
+
+
+def day_minute(text: Column) -> Column:
+    """Minute of the day of an `HH:MM` text, -1 where there is none."""
+    minute = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\d{1,2}:(\d{2})", 1).try_cast("int")
+    return F.coalesce(start_hour(text) * 60 + minute, F.lit(-1))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.documents import default_on_flag, is_booked, is_install_booked
+from ..functions.documents import default_on_flag, is_booked, is_install_booked, is_truthy
 from ..functions.text import join_names
-from .reminders import (
-    INSTALL_BOOKED, SERVICE_BOOKED, SURVEY_BOOKED, first_booking, job_tabs, same_id,
-)
+from ..schemas import BOOKED_TABS
+from .once import once
+from .reminders import INSTALL_BOOKED, SERVICE_BOOKED, SURVEY_BOOKED, first_booking, same_id
 
 BOOKED_KINDS = (SURVEY_BOOKED, INSTALL_BOOKED, SERVICE_BOOKED)
 
@@ -21,8 +21,19 @@ def last_booking(bookings: Column, booking_id: Column) -> Column:
 
 def _pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     """Both versions of each saved job; a job without an earlier version is no save."""
-    earlier = before.select("id", job_tabs().alias("was"))
-    return after.select("id", "customer_id", job_tabs().alias("now")).join(earlier, "id")
+    earlier = before.select("id", F.col("data_json").alias("_was"))
+    both = after.select("id", "customer_id", F.col("data_json").alias("_now")).join(earlier, "id")
+    return parsed_pairs(both, "_now", "_was")
+
+
+def parsed_pairs(saves: DataFrame, now: str, was: str) -> DataFrame:
+    """`(id, customer_id, was, now)` of saves with both documents as text, parsed after any join."""
+    return once(saves, {"was": booked_tabs(was), "now": booked_tabs(now)}, ["id", "customer_id"])
+
+
+def booked_tabs(data_json: str) -> Column:
+    """The tabs that hold bookings, with the sent marks as they are."""
+    return F.from_json(data_json, f"tabs {BOOKED_TABS}")["tabs"]
 
 
 def booking_before_after(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -59,8 +70,8 @@ def new_bookings(pairs: DataFrame, kinds: tuple[str, ...] = BOOKED_KINDS) -> Dat
     """Messages that each save `(id, customer_id, was, now)` gives rise to, for `build_outbox`.
 
     A survey or installation counts when it is fully booked now and was not before; a service
-    booking is compared with the earlier booking of the same id, if there was one. Whatever
-    mark the new document carries blocks the message.
+    booking is compared with the earlier booking of the same id, if there was one. Any
+    mark on the new document but null, false, 0 or an empty text blocks the message.
     """
     now, was = F.col("now"), F.col("was")
     no_id = F.lit(None).cast("string")
@@ -70,14 +81,14 @@ def new_bookings(pairs: DataFrame, kinds: tuple[str, ...] = BOOKED_KINDS) -> Dat
         s, p = now["survey"], was["survey"]
         fresh = (
             ~is_booked(p["date"], p["fitter"]) & is_booked(s["date"], s["fitter"])
-            & default_on_flag(s["notifyEnabled"]) & s["emailSent"].isNull()
+            & default_on_flag(s["notifyEnabled"]) & ~is_truthy(s["emailSent"])
         )
         parts.append(F.array(F.when(fresh, _message(SURVEY_BOOKED, no_id, s["date"], s["fitter"]))))
     if INSTALL_BOOKED in kinds:
         s, p = now["installation"], was["installation"]
         fresh = (
             ~is_install_booked(p["date"], p["fitters"]) & is_install_booked(s["date"], s["fitters"])
-            & default_on_flag(s["notifyEnabled"]) & s["bookedEmailSent"].isNull()
+            & default_on_flag(s["notifyEnabled"]) & ~is_truthy(s["bookedEmailSent"])
         )
         parts.append(F.array(F.when(
             fresh, _message(INSTALL_BOOKED, no_id, s["date"], join_names(s["fitters"]))
@@ -89,7 +100,7 @@ def new_bookings(pairs: DataFrame, kinds: tuple[str, ...] = BOOKED_KINDS) -> Dat
             earlier = last_booking(p["bookings"], b["id"])
             return (
                 default_on_flag(s["notifyEnabled"]) & is_booked(b["date"], b["fitter"])
-                & b["emailSent"].isNull() & ~is_booked(earlier["date"], earlier["fitter"])
+                & ~is_truthy(b["emailSent"]) & ~is_booked(earlier["date"], earlier["fitter"])
             )
 
         def message(b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.documents import (
     first_of, kind_of, parsed, positive_price_text, present_text, text_or_blank, truthy_non_text,
 )
-from ..functions.text import join_nonempty, norm_key, parse_fee, text_excerpt, trimmed
+from ..functions.text import join_nonempty, parse_fee, tenant_key, text_excerpt, trimmed
 from .once import once
 
 # Property names of the project payload.
@@ -37,9 +37,13 @@ def lenient_payload_parse(deliveries: DataFrame) -> DataFrame:
 
 
 def capture_raw_event(deliveries: DataFrame) -> DataFrame:
-    """Rows of the append-only capture table; every delivery is kept, readable or not."""
+    """Rows of the append-only capture table; every delivery is kept, readable or not.
+
+    A body that is no JSON is kept whole in `raw_text`, its beginning also in the payload.
+    """
     return lenient_payload_parse(deliveries).select(
-        "seq", "tenant_id", "received_at", "content_type", "is_json", "payload"
+        "seq", "tenant_id", "received_at", "content_type", "is_json", "payload",
+        F.when(~F.col("is_json"), F.col("raw_text")).alias("raw_text"),
     )
 
 
@@ -116,8 +120,9 @@ def extract_project_fields(captured: DataFrame, keep: tuple = ("seq", "received_
 
 
 def project_events(captured: DataFrame) -> DataFrame:
-    """Extracted events that can be applied, with the keys they are matched by."""
-    return extract_project_fields(captured).filter(F.col("error").isNull()).drop("error").select(
-        "*", norm_key(F.col("reference")).alias("ref_key"),
-        norm_key(F.col("email")).alias("email_key"), norm_key(F.col("phone")).alias("phone_key"),
-    )
+    """Extracted events that can be applied, with the keys they are matched by within a tenant."""
+    fields = extract_project_fields(captured, keep=("seq", "tenant_id", "received_at"))
+    return fields.filter(F.col("error").isNull()).drop("error").select("*", *[
+        tenant_key(F.col("tenant_id"), F.col(field)).alias(key)
+        for key, field in (("ref_key", "reference"), ("email_key", "email"), ("phone_key", "phone"))
+    ])

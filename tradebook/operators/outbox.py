@@ -164,16 +164,21 @@ def _message_key() -> list[Column]:
     return [F.col("job_id"), F.coalesce("booking_id", F.lit("")).alias("_booking"), F.col("kind")]
 
 
-def reconcile_send_results(outbox: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reconcile_send_results(
+    outbox: DataFrame, results: DataFrame, position: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Messages that count as sent, and those that stay due with what went wrong.
 
-    Only the status `Succeeded` counts; test messages are never marked.
+    Only the status `Succeeded` counts; test messages are never marked. Of several failures the
+    latest by the `position` column is shown, without one the greatest (status, error).
     """
     key = ["job_id", "_booking", "kind"]
-    best = results.select(*_message_key(), "status", "error").groupBy(*key).agg(
-        F.max(F.col("status") == "Succeeded").alias("_ok"),
-        F.max("status").alias("status"), F.max("error").alias("error"),
-    )
+    at = F.lit(0) if position is None else F.col(position)
+    succeeded = F.coalesce(F.col("status") == "Succeeded", F.lit(False))
+    result = F.struct(succeeded.alias("ok"), at.alias("at"), "status", "error")
+    best = results.select(*_message_key(), result.alias("_r")).groupBy(*key).agg(
+        F.max("_r").alias("_r")
+    ).select(*key, F.col("_r.ok").alias("_ok"), "_r.status", "_r.error")
     live = outbox.filter(~F.col("is_test")).select(*_message_key(), "booking_id").distinct()
     matched = live.join(best, key, "left")
     ok = F.coalesce("_ok", F.lit(False))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import as_date, is_working_day, month_start, start_hour, week_start
+from ..functions.dates import as_date, day_minute, is_working_day, month_start, start_hour, week_start
 from ..functions.documents import is_booked, is_install_booked, is_sent
-from ..functions.text import norm_key
+from ..functions.text import norm_key, tenant_key
 from ..schemas import LINK, MANUAL_ORDERS_DOC, SECTORS, LinkFields
 from . import reminders as R
 from .prefix import chunk_of, chunked_rank
@@ -135,14 +135,14 @@ def calendar_entries(jobs: DataFrame) -> DataFrame:
 
 
 def booking_calendar(jobs: DataFrame, customers: DataFrame) -> DataFrame:
-    """The fitters' calendar with the place of each entry in its fitter's day."""
+    """The fitters' calendar with the place of each entry in its fitter's day, by time of day."""
     people = customers.select(
         F.col("id").alias("customer_id"), F.from_json("data_json", "name string, address string")
         .alias("_c"),
     )
     ranked = chunked_rank(
-        calendar_entries(jobs), ["fitter", "event_date"],
-        [[F.col("start"), F.col("kind"), chunk_of(F.col("job_id"))]],
+        calendar_entries(jobs).withColumn("_day", as_date(F.col("event_date"))), ["fitter", "_day"],
+        [[day_minute(F.col("start")), F.col("kind"), chunk_of(F.col("job_id"))]],
         [F.col("job_id"), F.col("pos")], "seq_in_day",
     )
     return ranked.join(people, "customer_id", "left").select(
@@ -250,8 +250,8 @@ def linked_records(df: DataFrame, link: LinkFields = LINK) -> DataFrame:
         "data_json", f"quoteValue string, installationValue string, {link.ref} string, "
                      f"{link.status} string, {link.modified} string"
     )
-    return df.select("id", doc.alias("_d")).select(
-        "id", norm_key(F.col(f"_d.{link.ref}")).alias("ref_key"),
+    return df.select("id", "tenant_id", doc.alias("_d")).select(
+        "id", tenant_key(F.col("tenant_id"), F.col(f"_d.{link.ref}")).alias("ref_key"),
         F.col("_d.quoteValue").alias("quote_value"),
         F.col("_d.installationValue").alias("installation_value"),
         F.col(f"_d.{link.status}").alias("ext_status"),

@@ -126,10 +126,14 @@ def replace_entities(
 def delete_customers_restrict(
     customers: DataFrame, jobs: DataFrame, requests: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Customers left after deleting those asked for, and the requests blocked by jobs."""
+    """Customers left after deleting those asked for, and the requests blocked by jobs.
+
+    A request that names no customer of its tenant does nothing and is not blocked.
+    """
+    named = requests.join(customers.select("id", "tenant_id"), ["id", "tenant_id"], "left_semi")
     in_use = jobs.select(F.col("customer_id").alias("id")).distinct()
-    blocked = requests.join(in_use, "id", "left_semi")
-    free = requests.join(in_use, "id", "left_anti")
+    blocked = named.join(in_use, "id", "left_semi")
+    free = named.join(in_use, "id", "left_anti")
     return customers.join(free, ["id", "tenant_id"], "left_anti"), blocked
 
 
@@ -153,15 +157,26 @@ def upsert_singleton(current: DataFrame, changes: DataFrame, position: str, now:
     )
 
 
-def sparse_patch(snapshot: DataFrame, patches: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Documents with the given text fields overwritten where the patch has a non-empty value."""
+def sparse_patch(
+    snapshot: DataFrame, patches: DataFrame, key: str, fields: list[str], now: Column | None = None
+) -> DataFrame:
+    """Documents with the given text fields overwritten where the patch has a non-empty value.
+
+    Table columns of the same names go with the document, and rows that have a patch are updated
+    at `now` (the current time).
+    """
     incoming = patches.select(key, F.struct(*fields).alias("_p"))
     patched = F.to_json(with_nonempty_fields(
         parsed(F.col("data_json")), {f: F.col(f"_p.{f}") for f in fields}
     ))
-    return snapshot.join(incoming, key, "left").withColumn(
-        "data_json", F.when(F.col("_p").isNotNull(), patched).otherwise(F.col("data_json"))
-    ).select(*snapshot.columns)
+    touched = F.col("_p").isNotNull()
+    moment = F.current_timestamp() if now is None else now
+    return snapshot.join(incoming, key, "left").withColumns({
+        "data_json": F.when(touched, patched).otherwise(F.col("data_json")),
+        "updated_at": F.when(touched, moment).otherwise(F.col("updated_at")),
+        **{f: F.coalesce(blank_to_null(F.col(f"_p.{f}")), F.col(f))
+           for f in fields if f in snapshot.columns},
+    }).select(*snapshot.columns)
 
 
 # ---- sent marks ------------------------------------------------------------------------------
@@ -171,11 +186,14 @@ def _sent_mark(day: Column) -> Column:
                                         short_date(day).alias("sentAt")))
 
 
-def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
+def mark_sent(
+    jobs: DataFrame, sent: DataFrame, sent_on: Column, now: Column | None = None
+) -> DataFrame:
     """Jobs with a sent mark for every `(job_id, booking_id, kind)` of `sent`.
 
-    Only documents of jobs in `sent` are rewritten, the rest of each document is kept, and
-    promoted columns are left alone. A service mark goes on all bookings of that id.
+    Only jobs in `sent` are parsed and rewritten, updated at `now` (the current time); the rest of
+    each document is kept, and promoted columns are left alone. A service mark goes on all
+    bookings of that id.
     """
     flags = [
         F.max(F.col("kind") == kind).alias(f"_{kind}") for kind in MARK_PATHS
@@ -186,14 +204,12 @@ def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
     # Distinct first: what is left of a job is at most its kinds and the bookings in its document.
     per_job = (
         sent.select("job_id", "booking_id", "kind").distinct()
-        .groupBy(F.col("job_id").alias("id")).agg(F.lit(True).alias("_any"), *flags)
+        .groupBy(F.col("job_id").alias("id")).agg(*flags)
     )
     mark = _sent_mark(sent_on)
     doc = F.col("_doc")
     kept = [*jobs.columns, *[f"_{k}" for k in (*MARK_PATHS, *BOOKING_MARKS)]]
-    joined = once(jobs.join(per_job, "id", "left"), {
-        "_doc": F.when(F.col("_any"), parsed(F.col("data_json")))
-    }, kept)
+    joined = once(jobs.join(per_job, "id"), {"_doc": parsed(F.col("data_json"))}, kept)
     for kind, path in MARK_PATHS.items():
         joined = once(joined, {
             "_doc": F.when(F.col(f"_{kind}"), with_path(doc, path, mark)).otherwise(doc)
@@ -218,6 +234,8 @@ def mark_sent(jobs: DataFrame, sent: DataFrame, sent_on: Column) -> DataFrame:
     listed = once(joined, {
         "_bookings": F.try_variant_get(doc, "$.tabs.serviceCall.bookings", "array<variant>")
     })
-    return once(listed, {"_doc": with_bookings}, jobs.columns).withColumn(
-        "data_json", F.coalesce(F.to_json(doc), F.col("data_json"))
-    ).select(*jobs.columns)
+    marked_jobs = once(listed, {"_doc": with_bookings}, jobs.columns).withColumns({
+        "data_json": F.coalesce(F.to_json(doc), F.col("data_json")),
+        "updated_at": F.current_timestamp() if now is None else now,
+    }).select(*jobs.columns)
+    return marked_jobs.unionByName(jobs.join(per_job.select("id"), "id", "left_anti"))

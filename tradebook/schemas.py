@@ -43,6 +43,13 @@ TABS = (
     f"deliveries: array<struct<id: string, supplier: string, date: string>>>, "
     f"serviceCall: struct<notes: string, notifyEnabled: boolean, bookings: array<{BOOKING}>>>"
 )
+# What new bookings are told by. A mark blocks by being there, whatever it is, so it stays a VARIANT.
+BOOKED_TABS = (
+    "struct<survey: struct<date: string, fitter: string, notifyEnabled: boolean, emailSent: variant>, "
+    "installation: struct<date: string, fitters: array<string>, notifyEnabled: boolean, "
+    "bookedEmailSent: variant>, serviceCall: struct<notifyEnabled: boolean, "
+    "bookings: array<struct<id: string, date: string, fitter: string, emailSent: variant>>>>"
+)
 SETTINGS_DOC = (
     "companyName string, companyPhone string, "
     "emailTemplates map<string, struct<subject: string, body: string, bcc: string>>, "

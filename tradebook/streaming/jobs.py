@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.bookings import new_bookings
+from ..operators.bookings import new_bookings, parsed_pairs
 from ..operators.deliveries import capture_raw_event, project_events
 from ..operators.prefix import CHUNK_BITS, prefix_fold
-from ..operators.reminders import job_tabs
 from ..operators.replay import replay
-from ..schemas import CUSTOMERS, DELIVERIES, JOBS, LINK, TABS, LinkFields
+from ..schemas import CUSTOMERS, DELIVERIES, JOBS, LINK, LinkFields
 from ..sources.tables import ChangingTable, write_table
 
 CAPTURED = (
     "seq long, tenant_id long, received_at timestamp, content_type string, is_json boolean, "
-    "payload string"
+    "payload string, raw_text string"
 )
 VERSIONS = "id long, customer_id long, version long, data_json string"
 
@@ -106,10 +105,8 @@ def transitions_batch(
         versions, ["id"], "version", {"_previous": ("last", F.col("data_json"))}, bits
     ).join(known, "id", "left")
     before = F.coalesce("_previous", "_stored")
-    pairs = chained.filter(before.isNotNull()).select(
-        "id", "customer_id", job_tabs().alias("now"),
-        F.from_json(before, f"tabs {TABS}")["tabs"].alias("was"),
-    )
+    saves = chained.withColumn("_before", before).filter(F.col("_before").isNotNull())
+    pairs = parsed_pairs(saves, "data_json", "_before")
     write_table(new_bookings(pairs), f"{out_dir}/batch={batch_id}")
     latest = versions.groupBy("id").agg(
         F.max_by(F.struct("customer_id", "version", "data_json"), "version").alias("_v")
