@@ -8,7 +8,9 @@ Sequence i of a shard is row i mod `BATCH` of batch i div `BATCH`, so any sequen
 is found by arithmetic in a memory-mapped file.
 
 Texts are encoded piece by piece: a blank before a visible character always begins a new piece of
-this byte-level vocabulary's splitting pattern, so equal pieces need encoding only once per worker.
+this byte-level vocabulary's splitting pattern, so equal pieces need encoding only once per worker,
+and new pieces are encoded many at a time in one text. A worker that remembers too many pieces keeps
+those that it met again.
 
 Rules: a null text is empty and has the end id only; rows with equal ids stay separate documents,
 ordered by the hash of their text; a null id sorts first; further columns are ignored; no documents
@@ -35,10 +37,15 @@ from .common import pin, written
 from .words import slices
 
 END_ID = 2
+# Fixed value: how byte-level vocabularies write a blank.
+BLANK = "\u0120"
 SEQUENCE = 2048
 BATCH = 256
-# Pieces a worker remembers; when there are more, it starts afresh.
+# Pieces a worker remembers, and of these the most it keeps when there are more.
 REMEMBERED = 350_000
+KEPT = 200_000
+# Pieces encoded as one text.
+JOINED = 200
 # Text per shard, in bytes.
 SHARD_BYTES = 16_000_000
 
@@ -66,33 +73,69 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self._forget()
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(BLANK)]] = True
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces not seen before and append their ids."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        plain, rest = [], []
+        for piece in pieces:
+            (plain if piece.startswith(" ") and piece.count(" ") == 1 else rest).append(piece)
+        sizes, flat = [], []
+        groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
+        texts = ["".join(group) for group in groups]
+        for group, text, ids in zip(groups, texts, self._encoded(texts), strict=True):
+            ids = np.array(ids, np.uint32)
+            begins = np.flatnonzero(self.opens[ids])
+            if len(begins) == len(group) and begins[0] == 0 and not any(s in text for s in self.special):
+                sizes.append(np.diff(begins, append=len(ids)))
+                flat.append(ids)
+            else:
+                self._single(group, sizes, flat)
+        self._single(rest, sizes, flat)
+        pieces = plain + rest
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
         at = len(self.known)
         self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
         self.starts = np.concatenate([self.starts, np.cumsum(sizes) - sizes + len(self.ids)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
 
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, pieces: list[str], sizes: list[np.ndarray], flat: list[np.ndarray]) -> None:
+        ids = self._encoded(pieces)
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Rows of the pieces among those known; learns what is new."""
         new = [p for p in pieces if p not in self.known]
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self._forget()
-                new = pieces
+                new = [p for p in pieces if p not in self.known]
             self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.used[at] += 1
+        return at
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Keep the pieces met more than once, the most used first."""
+        kept = np.argsort(-self.used, kind="stable")[:KEPT]
+        kept = np.sort(kept[self.used[kept] > 1])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[kept] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
+        self.starts, self.sizes, self.used = ends - sizes, sizes, np.ones(len(kept), np.int64)
 
     def _pieces(self, text: str) -> list[str]:
         """Parts of the text that encode on their own."""
