@@ -42,8 +42,8 @@ BLANK = "\u0120"
 SEQUENCE = 2048
 BATCH = 256
 # Pieces a worker remembers, and of these the most it keeps when there are more.
-REMEMBERED = 350_000
-KEPT = 200_000
+REMEMBERED = 450_000
+KEPT = 250_000
 # Pieces encoded as one text.
 JOINED = 200
 # Text per shard, in bytes.
@@ -277,7 +277,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, order: list[str]
 
         def write(out) -> None:
             writer = SequenceWriter(out, dtype, length)
-            for batch in (b for whole in chain([first], batches) for b in slices(whole, size=2_000_000)):
+            for batch in (b for whole in chain([first], batches) for b in slices(whole, size=4_000_000)):
                 ids, counts = encoder.encode(batch["text"])
                 writer.add(ids)
                 ids_of.append(batch["doc_id"])
