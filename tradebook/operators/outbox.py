@@ -9,6 +9,7 @@ from ..functions.dates import long_date
 from ..functions.text import bcc_of_template, fill_template, first_nonempty, recipient_list
 from ..schemas import SETTINGS_DOC
 from . import reminders as R
+from .once import once
 
 # Kinds in the order they are listed, their group, the key of the template in the
 # settings document, and the names the template uses for the date and for who comes.
@@ -110,11 +111,13 @@ def _with_customers(
         F.lit(True).alias("_found"),
         (F.col("tenant_id") if tenant_id is None else F.lit(tenant_id).cast("long"))
         .alias("tenant_id"),
-        F.from_json("data_json", "name string, email string, email2 string, address string")
-        .alias("_c"),
+        F.col("data_json").alias("_json"),
     )
     to = recipient_list(F.col("_c.email"), F.col("_c.email2"), test_email)
-    joined = due.join(people, "customer_id", "left").withColumn("to", to)
+    # Parsed after the join, so that only customers asked for are.
+    found = due.join(people, "customer_id", "left")
+    document = F.from_json("_json", "name string, email string, email2 string, address string")
+    joined = once(found, {"_c": document}, [c for c in found.columns if c != "_json"]).withColumn("to", to)
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(F.col("_found").isNull(), "customer not found")
