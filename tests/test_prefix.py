@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tradebook.operators.prefix import chunk_of, chunked_rank, prefix_fold
+from tradebook.operators.prefix import prefix_fold, ranged_rank
 
 
 @pytest.fixture(scope="module")
@@ -37,14 +37,21 @@ def test_folds_equal_windows(rows, bits):
     same(folded, plain)
 
 
-@pytest.mark.parametrize("bits", [2, 8])
-def test_ranks_equal_windows(rows, bits):
-    ranked = chunked_rank(
-        rows, ["key"], [[F.floor(F.col("pos") / 500)], [F.floor(F.col("pos") / 100),
-                                                       chunk_of(F.col("pos"), bits)]],
-        [F.col("pos")], "rank",
-    ).select("key", "pos", "rank")
-    window = W.partitionBy("key").orderBy("pos")
+@pytest.mark.parametrize("keys", [["key"], []])
+@pytest.mark.parametrize("partitions", [1, 8, 40])
+def test_ranks_equal_windows(spark, rows, keys, partitions):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = [F.floor(F.col("pos") / 500), -F.col("pos")]
+        ranked = ranged_rank(rows, keys, order, "rank").select("key", "pos", "rank")
+        assert ranged_rank(rows.limit(0), keys, order, "rank").isEmpty()
+        ranked.collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    window = W.partitionBy(*keys).orderBy(F.floor(F.col("pos") / 500), -F.col("pos"))
     same(ranked, rows.select("key", "pos", F.row_number().over(window).alias("rank")))
 
 

@@ -10,7 +10,7 @@ from tradebook.operators.replay import merged, replay
 from tradebook.operators.deliveries import project_events
 from tradebook.schemas import CUSTOMERS, DELIVERIES, JOBS
 from tradebook.session import scratch_dir
-from tradebook.sources.tables import ChangingTable
+from tradebook.sources.tables import ChangingTable, _complete
 from tradebook.streaming import jobs as ST
 
 
@@ -88,6 +88,27 @@ def test_changes_replace_rows(spark):
     assert read() == [(1, "z"), (2, "c"), (3, "e")]
 
 
+def test_compaction_can_be_run_again(spark):
+    folder = scratch_dir(spark, "compacted")
+    table = ChangingTable(spark, folder, "id long, v string")
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "id long, v string")
+
+    table.start(rows((1, "a")))
+    for n in range(12):
+        for _ in range(2):
+            # The batch and its compaction both run a second time.
+            assert len(table.current(n).collect()) == n + 1
+            table.write_changes(rows((1, f"v{n}"), (n + 2, "new")), n)
+            if n % 3 == 2:
+                table.compact(n)
+        assert ("v%d" % n) in [r.v for r in table.current().collect()]
+    assert sorted(_complete(spark, f"{folder}/base", "through=")) == [8, 11]
+    assert sorted(_complete(spark, f"{folder}/changes", "batch=")) == [9, 10, 11]
+    assert table.current().count() == 13
+
+
 def version(i, n, **survey):
     return (i, 1, n, json.dumps({"tabs": {"survey": survey}}))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import kind_of, parsed
 from ..functions.text import text_excerpt
-from .prefix import chunk_of, chunked_rank
+from .prefix import ranged_rank
 
 # Columns that overrule the document field of the given name.
 CUSTOMER_COLUMNS = {"id": "id", "name": "name", "stage": "stage", "createdAt": "created_at"}
@@ -27,10 +27,7 @@ def list_entities(df: DataFrame, tenant_id: int) -> DataFrame:
 def rank_entities(df: DataFrame) -> DataFrame:
     """Position of every row in its tenant's newest-first list, for all tenants at once."""
     newest, id_desc = -F.unix_micros("created_at"), -F.col("id")
-    hour = F.floor(newest / F.lit(3_600_000_000)).cast("long")
-    return chunked_rank(
-        df, ["tenant_id"], [[hour], [newest, chunk_of(id_desc)]], [id_desc], "position"
-    )
+    return ranged_rank(df, ["tenant_id"], [newest, id_desc], "position")
 
 
 def get_entities(df: DataFrame, requests: DataFrame) -> DataFrame:

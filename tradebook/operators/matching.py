@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, tenant_key
 from ..schemas import LINK, LinkFields
+from ..sources.tables import stored
 from .prefix import CHUNK_BITS, prefix_fold
 
 
@@ -170,9 +171,10 @@ def staleness_guard(
 
     An event is applied unless both texts are known and its own is not greater. `stored` is the
     column that holds the key's text as it was before the first event. Keys must not be null.
+    The events are stored first, so what made them runs once.
     """
     folded = prefix_fold(
-        events, [key], order, {"_seen": ("max", blank_to_null(F.col(modified)))}, bits
+        stored(events, "guarded"), [key], order, {"_seen": ("max", blank_to_null(F.col(modified)))}, bits
     )
     previous = F.col("_seen")
     if stored is not None:

@@ -2,8 +2,8 @@
 
 A plain window over a key sends all its rows to one task. Here a key's rows are cut into chunks
 by their position; a window runs inside each chunk, the chunk totals (one short row each) are
-folded by a second, much smaller window, and that carry is joined back. The rows move once,
-hashed by key and chunk.
+folded by a second, much smaller window, and that carry is joined back. Rows move hashed by key and
+chunk. The input is read twice, so one that is costly to make is stored first.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
+# Spark's increasing ids hold a row's place within its partition in their lower 33 bits.
+PLACE_BITS = 33
+
 # Positions per chunk are 2 ** CHUNK_BITS, which bounds the rows of one chunk of a key.
 CHUNK_BITS = 16
 
@@ -75,45 +80,25 @@ def prefix_fold(
     )
 
 
-def chunked_rank(
-    df: DataFrame,
-    keys: list[str],
-    levels: list[list[Column]],
-    order: list[Column],
-    out: str,
-) -> DataFrame:
-    """Add the row number within a key, in the order of the level terms followed by `order`.
+def ranged_rank(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
+    """Add the row number within a key in the order of `order`, all terms ascending.
 
-    `levels` are leading ordering terms, coarse to fine, that cut a key into ever smaller pieces;
-    the last ones must be small enough for one task. Row counts per piece are summed up level by
-    level, so each window sees the pieces of one parent only. Keys and terms must not be null.
+    The rows move once, by range of key and order, and are written sorted, so a row's place in its
+    piece is its place in the file. Only the first place and the row count of each key in each piece
+    are brought together by key, which are as few as there are pieces. Keys must not be null.
     """
-    names: list[list[str]] = []
-    chunked = df
-    for depth, terms in enumerate(levels):
-        names.append([f"_chunk{depth}_{i}" for i in range(len(terms))])
-        chunked = chunked.withColumns(dict(zip(names[-1], terms)))
-    finest = [*keys, *[n for level in names for n in level]]
-    pieces = chunked.groupBy(*finest).agg(F.count(F.lit(1)).alias("_rows"))
-
-    offsets = pieces.withColumn("_offset", F.lit(0).cast("long"))
-    parent = list(keys)
-    for level in names:
-        piece = [*parent, *level]
-        before = (
-            W.partitionBy(*parent).orderBy(*level).rowsBetween(W.unboundedPreceding, -1)
-        )
-        ahead = (
-            pieces.groupBy(*piece)
-            .agg(F.sum("_rows").alias("_rows"))
-            .select(*piece, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_ahead"))
-        )
-        offsets = offsets.join(ahead, piece).withColumn(
-            "_offset", F.col("_offset") + F.col("_ahead")
-        ).drop("_ahead")
-        parent = piece
-
-    local = chunked.withColumn("_n", F.row_number().over(W.partitionBy(*finest).orderBy(*order)))
-    return local.join(offsets.drop("_rows"), finest).select(
-        *[F.col(c) for c in df.columns], (F.col("_offset") + F.col("_n")).cast("long").alias(out)
+    terms = {f"_o{i}": term for i, term in enumerate(order)}
+    by = [*keys, *terms]
+    placed = stored(
+        df.withColumns(terms).repartitionByRange(*by).sortWithinPartitions(*by)
+        .withColumn("_at", F.monotonically_increasing_id()).drop(*terms), "ranked",
+    ).withColumn("_piece", F.shiftright("_at", PLACE_BITS))
+    piece = [*keys, "_piece"]
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(*piece).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .select(*piece, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    )
+    return placed.join(starts, piece).select(
+        *[F.col(c) for c in df.columns], (F.col("_at") + F.col("_shift") + 1).cast("long").alias(out)
     )

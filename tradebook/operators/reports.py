@@ -13,8 +13,9 @@ from ..functions.dates import as_date, day_minute, is_working_day, month_start,
 from ..functions.documents import is_booked, is_install_booked, is_sent
 from ..functions.text import norm_key, tenant_key
 from ..schemas import LINK, MANUAL_ORDERS_DOC, SECTORS, LinkFields
+from ..sources.tables import stored
 from . import reminders as R
-from .prefix import chunk_of, chunked_rank
+from .prefix import ranged_rank
 
 # The status that ends a job, and the hours shown on a calendar day.
 COMPLETED = "Job Completed"
@@ -140,10 +141,11 @@ def booking_calendar(jobs: DataFrame, customers: DataFrame) -> DataFrame:
         F.col("id").alias("customer_id"), F.from_json("data_json", "name string, address string")
         .alias("_c"),
     )
-    ranked = chunked_rank(
-        calendar_entries(jobs).withColumn("_day", as_date(F.col("event_date"))), ["fitter", "_day"],
-        [[day_minute(F.col("start")), F.col("kind"), chunk_of(F.col("job_id"))]],
-        [F.col("job_id"), F.col("pos")], "seq_in_day",
+    # The range of the sort is found by a pass of its own, so documents are parsed before it.
+    entries = stored(calendar_entries(jobs).withColumn("_day", as_date(F.col("event_date"))), "calendar")
+    ranked = ranged_rank(
+        entries, ["fitter", "_day"],
+        [day_minute(F.col("start")), F.col("kind"), F.col("job_id"), F.col("pos")], "seq_in_day",
     )
     return ranked.join(people, "customer_id", "left").select(
         "fitter", "event_date", "start", "kind", "job_id", "booking_id", "pos",

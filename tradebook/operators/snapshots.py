@@ -18,7 +18,7 @@ from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS
 from . import reminders as R
 from .once import once
-from .prefix import chunk_of, chunked_rank
+from .prefix import ranged_rank
 
 # Where the sent mark of a kind lives; service kinds mark bookings instead.
 MARK_PATHS = {
@@ -70,8 +70,7 @@ def encode_entity(df: DataFrame, fields: list[str], entity: str, raw: str | None
 
 def ordinal(df: DataFrame, position: str, out: str) -> DataFrame:
     """Number the rows 1, 2, ... by `position` without gathering them in one task."""
-    coarse = F.shiftright(F.col(position).cast("long"), 32)
-    return chunked_rank(df, [], [[coarse], [chunk_of(F.col(position))]], [F.col(position)], out)
+    return ranged_rank(df, [], [F.col(position)], out)
 
 
 def insert_entities(

@@ -36,11 +36,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def _complete(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
     """Numbered sub-folders that were written to the end."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = _file_system(spark, folder)
     if not fs.exists(path):
         return {}
     found = {}
@@ -88,8 +92,22 @@ class ChangingTable:
         ).select("_row.*")
         return base.join(latest.select("id"), "id", "left_anti").unionByName(latest)
 
-    def compact(self) -> None:
-        """Write a new base that holds all complete batches."""
+    def compact(self, through: int | None = None) -> None:
+        """Write a base that holds all complete batches, up to `through` if given, unless it is there.
+
+        A batch that is run again reads the newest base before it, so that one stays with the batches
+        after it; folders that are older than it are removed.
+        """
         batches = _complete(self.spark, f"{self.folder}/changes", "batch=")
-        if batches:
-            write_table(self.current(), f"{self.folder}/base/through={max(batches)}")
+        last = max((n for n in batches if through is None or n <= through), default=FIRST)
+        bases = _complete(self.spark, f"{self.folder}/base", "through=")
+        if last not in bases:
+            write_table(self.current(last + 1), f"{self.folder}/base/through={last}")
+        earlier = max((n for n in bases if n < last), default=FIRST)
+        self._remove("base", {n: p for n, p in bases.items() if n < earlier})
+        self._remove("changes", {n: p for n, p in batches.items() if n <= earlier})
+
+    def _remove(self, part: str, folders: dict[int, str]) -> None:
+        fs, _ = _file_system(self.spark, f"{self.folder}/{part}")
+        for path in folders.values():
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)

@@ -86,7 +86,7 @@ def stream_apply(
         apply_batch(batch.sparkSession, batch, tables_dir, batch_id, link, bits)
         if (batch_id + 1) % compact_every == 0:
             for changing in crm_tables(batch.sparkSession, tables_dir):
-                changing.compact()
+                changing.compact(batch_id)
 
     writer = captured.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _trigger(writer, continuous).start()
@@ -117,6 +117,7 @@ def transitions_batch(
 def stream_booking_transitions(
     spark: SparkSession, versions_dir: str, state_dir: str, out_dir: str, checkpoint: str,
     continuous: str | None = None, max_files: int = 1000, bits: int = CHUNK_BITS,
+    compact_every: int = 50,
 ) -> StreamingQuery:
     """Messages for newly made bookings from a stream of saved job versions."""
     versions = (
@@ -126,6 +127,8 @@ def stream_booking_transitions(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         transitions_batch(batch.sparkSession, batch, state_dir, out_dir, batch_id, bits)
+        if (batch_id + 1) % compact_every == 0:
+            ChangingTable(batch.sparkSession, state_dir, VERSIONS).compact(batch_id)
 
     writer = versions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _trigger(writer, continuous).start()
