@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, tenant_key
 from ..schemas import LINK, LinkFields
-from ..sources.tables import stored
+from ..sources import tables
 from .prefix import CHUNK_BITS, prefix_fold
 
 
@@ -174,7 +174,7 @@ def staleness_guard(
     The events are stored first, so what made them runs once.
     """
     folded = prefix_fold(
-        stored(events, "guarded"), [key], order, {"_seen": ("max", blank_to_null(F.col(modified)))}, bits
+        tables.stored(events, "guarded"), [key], order, {"_seen": ("max", blank_to_null(F.col(modified)))}, bits
     )
     previous = F.col("_seen")
     if stored is not None:
