@@ -267,3 +267,18 @@ def test_embedding_links(spark):
     want += Counter((r[0], 0, r[0]) for r in rows if r not in sound and r[0] != 5004) + Counter([(5004, 0, 5004)])
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_links.embedding_links(table).collect()) == want
     assert embedding_links.embedding_links(table.limit(0)).count() == 0
+
+
+def table_of(spark, vectors):
+    return spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+
+
+def test_embedding_links_beyond_full_lists(spark):
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((20, 1, 32))
+    b = a + 0.3 * rng.standard_normal((20, 1, 32))
+    vectors = (np.concatenate([np.repeat(a, 15, 1), np.repeat(b, 15, 1)], 1) + 0.01 * rng.standard_normal((20, 30, 32))).reshape(600, 32)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93).sum(1) - 1
+    got = embedding_links.embedding_links(table_of(spark, vectors)).toPandas().set_index("vec_id").sort_index()
+    assert (linked >= 29).sum() > 400 and got.n_links.tolist() == linked.tolist()

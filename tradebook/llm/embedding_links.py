@@ -4,12 +4,16 @@ Vectors are compared within their label by cosine in double precision. Equal vec
 count. A node's list holds its `K` best neighbours so far; the first come from buckets of vectors on
 the same sides of a few random planes. In a round every node's neighbours, in both directions, meet
 with it and are compared by a matrix product, and what is better than a list's last entry enters it;
-rounds go on until few entries change. Then recall is audited by brute force on `AUDITED` nodes, and
-while it is too low the lists are doubled and the rounds go on.
+rounds go on until few entries change.
 
-Edges at or above the threshold are the links. A list that holds nothing but links is saturated and
-may have missed further ones, so lists are enlarged to the whole component: all nodes that links
-connect are compared in blocks, which counts every link without ever making rows of them.
+Links are kept beside the lists: of all pairs at or above the threshold that any comparison meets, as
+many as connect what they connect. A list that holds nothing but links is saturated and may have missed
+further ones, within its component and out of it. So buckets of new planes that hold a node with such a
+list are searched for links between components until none is found, and all nodes that links connect
+are compared in blocks, which counts every link without ever making rows of them.
+
+Then recall is audited by brute force on `AUDITED` nodes, and while it is too low the lists are doubled
+and the rounds go on.
 
 Rules: null, zero or non-finite vectors, vectors with a null label and rows with a null vec_id link with
 nothing; only vectors of one length are compared; rows with equal vec_id are separate vectors that share
@@ -19,6 +23,7 @@ the id; further columns are ignored; no vectors give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,7 @@ TABLES = 16
 # Nodes per bucket of a table, on average, and per block of a component.
 NEAR = 12
 BLOCK = 256
-# Rounds end when fewer than this share of the entries change; audited nodes, and recall to reach.
+# Rounds end when fewer than this share of the entries change; audited nodes a stratum, and recall to reach.
 STILL = 0.01
 AUDITED = 500
 RECALL = 0.98
@@ -63,33 +68,36 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, rows.select("vec_id", "key")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(threshold: float, turn: int):
     """For each table, the sides of random planes that a vector lies on, as bits."""
-    for batch in batches:
-        sizes, bits = batch["size"].to_numpy(), batch["bits"].to_numpy()
-        out = np.zeros((batch.num_rows, TABLES), np.int64)
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            planes = np.random.default_rng(int(size)).standard_normal((int(size), TABLES, 40))
-            side = np.einsum("ij,jtk->itk", matrix(batch["v"].take(pa.array(at))), planes) > 0
-            side &= np.arange(40)[None, None, :] < bits[at][:, None, None]
-            out[at] = (side * (1 << np.arange(40))).sum(2)
-        n = batch.num_rows
-        yield pa.record_batch({"node": np.repeat(batch["node"].to_numpy(), TABLES), "table": np.tile(np.arange(TABLES), n), "sides": out.ravel()})
-
-
-def first_groups(nodes: DataFrame) -> DataFrame:
-    """(grp, sub, node): buckets of about NEAR nodes; larger ones are cut at random."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = batch["size"].to_numpy(), batch["bits"].to_numpy()
+            for size, n_bits in sorted({*zip(sizes.tolist(), bits.tolist(), strict=True)}):
+                at = np.flatnonzero((sizes == size) & (bits == n_bits))
+                n = TABLES
+                planes = np.random.default_rng([size, turn]).standard_normal((size, n * n_bits))
+                side = (matrix(batch["v"].take(pa.array(at))) @ planes > 0).reshape(len(at), n, n_bits)
+                rows = batch.select(["node", "label", "size"]).take(pa.array(np.repeat(at, n)))
+                sides = (side * (1 << np.arange(n_bits))).sum(2).astype(np.int64)
+                yield pa.record_batch({
+                    **{c: rows[c] for c in rows.schema.names}, "nth": np.tile(np.arange(n), len(at)), "sides": sides.ravel(),
+                })
+
+    return run
+
+
+def first_groups(nodes: DataFrame, threshold: float = THRESHOLD, turn: int = 0) -> DataFrame:
+    """(grp, sub, node, parts): buckets of about NEAR nodes; larger ones are in parts."""
     counts = written(nodes.groupBy("label", "size").agg(F.count("*").alias("n")), "label-counts")
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("n") / NEAR)), F.lit(0)), F.lit(40)).cast("long")
-    given = nodes.join(counts.withColumn("bits", bits), ["label", "size"])
-    sides = given.select("node", "size", "bits", "v").mapInArrow(_buckets, "node long, table long, sides long")
-    placed = written(sides.join(nodes.select("node", "label", "size"), "node"), "buckets")
-    key = F.xxhash64("label", "size", "table", "sides")
-    sizes = written(placed.groupBy(key.alias("grp")).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "bucket-sizes")
-    return placed.select(key.alias("grp"), "node").join(sizes, "grp").select(
-        "grp", F.pmod(F.xxhash64("node", "grp"), F.col("parts")).alias("sub"), "node"
-    )
+    given = nodes.join(counts.withColumn("bits", bits), ["label", "size"]).select("node", "label", "size", "bits", "v")
+    fields = f"node long, label {nodes.schema['label'].dataType.simpleString()}, size int, nth long, sides long"
+    placed = given.mapInArrow(_buckets(threshold, turn), fields).select(F.xxhash64("label", "size", "nth", "sides").alias("grp"), "node")
+    placed = written(placed, "buckets")
+    sizes = written(placed.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "bucket-sizes")
+    return placed.join(sizes, "grp").select("grp", F.pmod(F.xxhash64("node", "grp"), F.col("parts")).alias("sub"), "node", "parts")
 
 
 def _best_of(node: np.ndarray, cos: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,23 +110,47 @@ def _best_of(node: np.ndarray, cos: np.ndarray, each: int) -> tuple[np.ndarray,
     return np.where(swap, b, a), np.where(swap, a, b)
 
 
-def _meet(each: int):
-    """Many small groups in one table: compare within each and give back every member's best others."""
+def _forest(linked: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs (rows, columns) that connect all that a symmetric matrix connects."""
+    seen = ~linked.any(1)
+    a, b = [], []
+    for root in np.flatnonzero(~seen).tolist():
+        front = [] if seen[root] else [root]
+        seen[root] = True
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(linked[at] & ~seen).tolist()
+            seen[new] = True
+            a += [at] * len(new)
+            b += new
+            front += new
+    return a, b
+
+
+def _meet(each: int, threshold: float):
+    """Many small groups in one table: compare within each and give back pairs that connect what links
+    connect, and every member's best others. With components given, only links between them count."""
 
     def run(table: pa.Table) -> pa.Table:
         grp, sub, node = (table[c].to_numpy() for c in ("grp", "sub", "node"))
-        order = np.lexsort((sub, grp))
+        order = np.lexsort((node, sub, grp))
         grp, sub, node = grp[order], sub[order], node[order]
+        component = table["component"].to_numpy()[order] if "component" in table.schema.names else None
         v = matrix(table["v"].take(pa.array(order)))
         cuts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (sub[1:] != sub[:-1]), True])
         a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if y - x > 1:
-                cos = v[x:y] @ v[x:y].T
-                i, j = _best_of(node[x:y], cos, each)
-                a.append(node[x:y][i])
-                b.append(node[x:y][j])
-                c.append(cos[i, j])
+                own, cos = node[x:y], v[x:y] @ v[x:y].T
+                linked = cos >= threshold
+                linked &= own[:, None] != own[None, :] if component is None else component[x:y, None] != component[None, x:y]
+                found = [_forest(linked)] if linked.any() else []
+                if component is None:
+                    found.append(_best_of(own, cos, each))
+                for i, j in found:
+                    a.append(np.minimum(own[i], own[j]))
+                    b.append(np.maximum(own[i], own[j]))
+                    c.append(cos[i, j])
         pairs = {"a": np.concatenate(a), "b": np.concatenate(b), "cos": np.concatenate(c)}
         _, first = np.unique(np.stack([pairs["a"], pairs["b"]]), axis=1, return_index=True)
         return pa.table({k: x[first] for k, x in pairs.items()})
@@ -126,10 +158,48 @@ def _meet(each: int):
     return run
 
 
-def compare(groups: DataFrame, nodes: DataFrame, packs: int, each: int) -> DataFrame:
+def compare(groups: DataFrame, nodes: DataFrame, packs: int, each: int, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b, cos) from groups (grp, sub, node); vectors of one size at a time."""
     dealt = groups.withColumn("pack", F.pmod(F.xxhash64("grp", "sub"), F.lit(packs)))
-    return dealt.join(nodes.select("node", "size", "v"), "node").groupBy("pack", "size").applyInArrow(_meet(each), PAIRS)
+    return dealt.join(nodes.select("node", "size", "v"), "node").groupBy("pack", "size").applyInArrow(_meet(each, threshold), PAIRS)
+
+
+def links_of(pairs: DataFrame, threshold: float) -> DataFrame:
+    return pairs.filter(F.col("cos") >= threshold).select("a", "b")
+
+
+def across(groups: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components in groups (grp, node) of any size.
+
+    All nodes but those of a group's largest component are compared with all nodes, in pairs of blocks.
+    """
+    placed = groups.select("grp", "node").join(labels, "node", "left").select(
+        "grp", "node", F.coalesce("label", "node").alias("component")
+    )
+    sizes = placed.groupBy("grp", "component").agg(F.count("*").alias("n")).groupBy("grp").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n")
+    )
+    sizes = written(sizes.filter("n > main.n").select(
+        "grp", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("rows"),
+        F.ceil(F.col("n") / BLOCK).alias("columns"),
+    ), "mixed-buckets")
+    left = placed.join(sizes, "grp")
+    block = F.xxhash64("node", "grp")
+    whole = left.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("column", F.pmod(block, "columns"))
+    others = left.filter("component <> main and columns > 1").withColumn("row", F.pmod(block, "rows")).withColumn(
+        "column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
+    )
+    fields = ["grp", (F.col("row") * F.col("columns") + F.col("column")).alias("sub"), "node", "component"]
+    dealt = written(whole.select(*fields).union(others.select(*fields)), "mixed-blocks")
+    return compare(dealt, nodes, dealt.count() // 512 + 1, 0, threshold).select("a", "b")
+
+
+def search(labels: DataFrame, nodes: DataFrame, threshold: float, turn: int, wanted: DataFrame | None = None) -> DataFrame:
+    """Links between components in buckets of new planes, of those that hold a node of `wanted` if given."""
+    groups = first_groups(nodes, threshold, turn)
+    if wanted is not None:
+        groups = groups.join(groups.join(wanted, "node", "left_semi").select("grp").distinct(), "grp")
+    return written(across(groups, labels, nodes, threshold), "found-links")
 
 
 def best_lists(pairs: DataFrame, k: int) -> DataFrame:
@@ -144,8 +214,9 @@ def as_pairs(lists: DataFrame) -> DataFrame:
     return lists.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "cos")
 
 
-def descend(lists: DataFrame, nodes: DataFrame, n: int, k: int) -> DataFrame:
-    """Rounds of neighbours meeting neighbours until few entries change."""
+def descend(lists: DataFrame, nodes: DataFrame, n: int, k: int, threshold: float = THRESHOLD) -> tuple[DataFrame, list[DataFrame]]:
+    """Rounds of neighbours meeting neighbours until few entries change; the lists, and links met."""
+    links = []
     while True:
         back = Window.partitionBy("other").orderBy(F.col("cos").desc(), "node")
         reverse = lists.withColumn("r", F.row_number().over(back)).filter(F.col("r") <= k)
@@ -153,16 +224,17 @@ def descend(lists: DataFrame, nodes: DataFrame, n: int, k: int) -> DataFrame:
             lists.select(F.col("node").alias("grp"), F.col("other").alias("node"))
             .union(reverse.select("other", "node")).union(nodes.select("node", "node")).distinct().withColumn("sub", F.lit(0))
         )
-        met = compare(groups, nodes, max(1, n // 64), max(2, k // 4))
+        met = written(compare(groups, nodes, max(1, n // 64), max(2, k // 4), threshold), "met")
+        links.append(links_of(met, threshold))
         better = written(best_lists(as_pairs(lists).union(met), k), "lists")
         changed = better.join(lists.select("node", "other"), ["node", "other"], "left_anti").count()
         lists = better
         if changed <= STILL * n * k:
-            return lists
+            return lists, links
 
 
 def _counts(threshold: float):
-    """Links within the components of a pack, or between two blocks of one: weighted degrees."""
+    """Links within the components of a pack, or between two blocks of one: degrees with and without copies."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         node, label, own, copies = (table[c].to_numpy() for c in ("node", "component", "own", "copies"))
@@ -171,13 +243,13 @@ def _counts(threshold: float):
         if key[1].as_py() != key[2].as_py():
             linked &= own[:, None] != own[None, :]
         np.fill_diagonal(linked, False)
-        return pa.table({"node": node, "n": (linked @ copies).astype(np.int64)})
+        return pa.table({"node": node, "n": (linked @ copies).astype(np.int64), "others": linked.sum(1).astype(np.int64)})
 
     return run
 
 
 def degrees(labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, n): vectors of other nodes of the component that link with a node's."""
+    """(node, n, others): vectors of other nodes of the component that link with a node's, and such nodes."""
     sizes = written(labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "component-sizes")
     packs = labels.count() // BLOCK + 1
     placed = labels.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn(
@@ -188,7 +260,9 @@ def degrees(labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
         pack.alias("pack"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
         "own", "node", F.col("label").alias("component"),
     ).join(nodes.select("node", "copies", "size", "v"), "node")
-    return dealt.groupBy("pack", "p", "q", "size").applyInArrow(_counts(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return dealt.groupBy("pack", "p", "q", "size").applyInArrow(_counts(threshold), "node long, n long, others long").groupBy("node").agg(
+        F.sum("n").alias("n"), F.sum("others").alias("others")
+    )
 
 
 def audit(found: DataFrame, nodes: DataFrame, threshold: float) -> float:
@@ -221,12 +295,25 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     pin(vectors.sparkSession)
     nodes, rows = nodes_of(vectors)
     n = nodes.count()
-    start = compare(first_groups(nodes), nodes, max(1, n * TABLES // 512), max(2, k // 4))
-    lists = written(best_lists(start, k), "first-lists")
+    groups = written(first_groups(nodes, threshold), "first-groups")
+    met = written(compare(groups.drop("parts"), nodes, groups.count() // 512 + 1, max(2, k // 4), threshold), "first-met")
+    lists = written(best_lists(met, k), "first-lists")
+    links = written(links_of(met, threshold), "links")
+    turn = 0
     while True:
-        lists = descend(lists, nodes, n, k)
-        links = written(as_pairs(lists).filter(F.col("cos") >= threshold).select("a", "b").distinct(), "links")
+        lists, more = descend(lists, nodes, n, k, threshold)
+        links = written(reduce(DataFrame.union, more, links).distinct(), "links")
         labels = components(links)
+        saturated = written(lists.groupBy("node").agg(F.count("*").alias("n"), F.min("cos").alias("least")).filter(
+            (F.col("n") >= k) & (F.col("least") >= threshold)
+        ).select("node"), "saturated")
+        while not saturated.isEmpty():
+            turn += 1
+            found = search(labels, nodes, threshold, turn, saturated)
+            if found.isEmpty():
+                break
+            links = written(links.union(found), "links")
+            labels = components(links)
         counted = written(degrees(labels, nodes, threshold), "degrees")
         if k >= max(n, K) or audit(counted, nodes, threshold) >= RECALL:
             break
