@@ -282,3 +282,19 @@ def test_embedding_links_beyond_full_lists(spark):
     linked = (unit @ unit.T >= 0.93).sum(1) - 1
     got = embedding_links.embedding_links(table_of(spark, vectors)).toPandas().set_index("vec_id").sort_index()
     assert (linked >= 29).sum() > 400 and got.n_links.tolist() == linked.tolist()
+
+
+def test_embedding_audit_sees_small_groups(spark):
+    rng = np.random.default_rng(6)
+    hub = rng.standard_normal(16) + 0.01 * rng.standard_normal((1000, 16))
+    pairs = np.repeat(rng.standard_normal((500, 16)), 2, 0) + 0.001 * rng.standard_normal((1000, 16))
+    vectors = np.concatenate([hub, pairs])
+    nodes, rows = embedding_links.nodes_of(table_of(spark, vectors))
+    found = nodes.filter("first < 1000").selectExpr("node", "999L as others")
+    whole = found.union(nodes.filter("first >= 1000").selectExpr("node", "1L"))
+    one = nodes.filter("first < 1000").selectExpr("node", "-1L as label")
+    both = one.union(nodes.filter("first >= 1000").selectExpr("node", "first div 2"))
+    assert embedding_links.audit(found, one, nodes, 0.93) < 0.5
+    assert embedding_links.audit(whole, both, nodes, 0.93) == 1
+    alone = embedding_links.nodes_of(table_of(spark, np.eye(16)))[0]
+    assert embedding_links.audit(found.limit(0), one.limit(0), alone, 0.93) is None

@@ -12,8 +12,9 @@ further ones, within its component and out of it. So buckets of new planes that
 list are searched for links between components until none is found, and all nodes that links connect
 are compared in blocks, which counts every link without ever making rows of them.
 
-Then recall is audited by brute force on `AUDITED` nodes, and while it is too low the lists are doubled
-and the rounds go on.
+Then recall is audited by brute force on up to `AUDITED` nodes of every size of component; while it is
+too low in any class of degrees, lists are doubled, new planes are drawn and the rounds go on. Where the
+audited nodes have no link, nothing was audited, and new planes have to find nothing either.
 
 Rules: null, zero or non-finite vectors, vectors with a null label and rows with a null vec_id link with
 nothing; only vectors of one length are compared; rows with equal vec_id are separate vectors that share
@@ -265,29 +266,48 @@ def degrees(labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def audit(found: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the true links of AUDITED nodes that `found` (node, n) has."""
-    sample = nodes.orderBy(F.xxhash64("first"), "node").limit(AUDITED).select("node", "label", "v")
-    asked = sample.toPandas()  # AUDITED vectors
+def audit(found: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> float | None:
+    """Least recall of `found` (node, others) in any class of true degrees; None if no audited node has a link.
+
+    Up to AUDITED nodes of every size of component, by powers of two, are compared with all nodes. A
+    class's recall is the mean over its nodes, each weighted by the nodes it stands for.
+    """
+    of_size = labels.groupBy("label").agg(F.count("*").alias("members"))
+    strata = nodes.select("node", "first").join(labels.join(of_size, "label").select("node", "members"), "node", "left").withColumn(
+        "stratum", F.floor(F.log2(F.coalesce("members", F.lit(1))))
+    )
+    strata = written(strata.select("node", "first", "stratum"), "strata")
+    rank = Window.partitionBy("stratum").orderBy(F.xxhash64("first"), "node")
+    drawn = strata.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= AUDITED)
+    asked = drawn.select("node", "stratum").join(nodes.select("node", "label", "v"), "node").toPandas()  # AUDITED vectors a stratum
+    if asked.empty:
+        return None
+    stands = strata.groupBy("stratum").count().toPandas().set_index("stratum")["count"] / asked.stratum.value_counts()
     want, label = asked.node.to_numpy(), asked.label.to_numpy()
     sizes = np.array([len(v) for v in asked.v])
-    units = [np.asarray(v, float) / np.linalg.norm(np.asarray(v, float)) for v in asked.v]
+    units = [matrix(pa.array([v], pa.list_(pa.float64())))[0] for v in asked.v]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(want), np.int64)
         for batch in batches:
-            total = np.zeros(len(want), np.int64)
-            of, node, copies, size = (batch[c].to_numpy() for c in ("label", "node", "copies", "size"))
+            of, node, size = (batch[c].to_numpy(zero_copy_only=False) for c in ("label", "node", "size"))
             for s in np.unique(size):
                 at, q = np.flatnonzero(size == s), np.flatnonzero(sizes == s)
                 if len(q):
                     cos = np.stack([units[i] for i in q]) @ matrix(batch["v"].take(pa.array(at))).T
                     hit = (cos >= threshold) & (label[q][:, None] == of[at][None, :]) & (want[q][:, None] != node[at][None, :])
-                    total[q] += hit @ copies[at]
-            yield pa.record_batch({"node": want, "true": total})
+                    total[q] += hit.sum(1)
+        yield pa.record_batch({"node": want, "truth": total})
 
-    true = nodes.select("node", "label", "copies", "size", "v").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(found, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    true = nodes.select("node", "label", "size", "v").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+    rows = true.filter("truth > 0").join(found.select("node", "others"), "node", "left").toPandas()
+    if rows.empty:
+        return None
+    rows = rows.merge(asked[["node", "stratum"]], on="node")
+    weight = rows.stratum.map(stands).to_numpy(float)
+    recall = np.minimum(rows.others.fillna(0) / rows.truth, 1).to_numpy(float)
+    degree = np.floor(np.log2(rows.truth.to_numpy())).astype(int)
+    return float((np.bincount(degree, weight * recall)[np.unique(degree)] / np.bincount(degree, weight)[np.unique(degree)]).min())
 
 
 def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
@@ -315,9 +335,15 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
             links = written(links.union(found), "links")
             labels = components(links)
         counted = written(degrees(labels, nodes, threshold), "degrees")
-        if k >= max(n, K) or audit(counted, nodes, threshold) >= RECALL:
+        recall = audit(counted, labels, nodes, threshold)
+        if k >= max(n, K) or (recall is not None and recall >= RECALL):
+            break
+        turn += 1
+        found = search(labels, nodes, threshold, turn)
+        if recall is None and found.isEmpty():
             break
-        k *= 2
+        links = written(links.union(found), "links")
+        k = k if recall is None else k * 2
     known = nodes.select("node", "key", "first", "copies").join(labels, "node", "left").join(counted, "node", "left")
     known = known.withColumn("label", F.coalesce("label", "node"))
     least = written(known.groupBy("label").agg(F.min("first").alias("component_id")), "component-ids")
