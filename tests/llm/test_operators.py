@@ -298,3 +298,18 @@ def test_embedding_audit_sees_small_groups(spark):
     assert embedding_links.audit(whole, both, nodes, 0.93) == 1
     alone = embedding_links.nodes_of(table_of(spark, np.eye(16)))[0]
     assert embedding_links.audit(found.limit(0), one.limit(0), alone, 0.93) is None
+
+
+def test_embedding_buckets_at_every_size(spark):
+    for bits in range(1, 28):
+        shared = (1 - np.arccos(0.93) / np.pi) ** bits
+        assert (1 - shared) ** embedding_links.tables(bits, 0.93) <= 1e-4
+    rng = np.random.default_rng(7)
+    nodes = embedding_links.nodes_of(table_of(spark, rng.standard_normal((700, 8))))[0]
+    one = nodes.selectExpr("1L as grp", "node")
+    v = np.stack([r.v for r in nodes.collect()])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [r.node for r in nodes.collect()]
+    ends = embedding_links.across(one, spark.createDataFrame([], "node long, label long"), nodes, 0.93).collect()
+    linked = np.triu(unit @ unit.T >= 0.93, 1)
+    assert {i for r in ends for i in r} == {ids[i] for ij in zip(*np.nonzero(linked)) for i in ij} and linked.any()

@@ -4,7 +4,8 @@ Vectors are compared within their label by cosine in double precision. Equal vec
 count. A node's list holds its `K` best neighbours so far; the first come from buckets of vectors on
 the same sides of a few random planes. In a round every node's neighbours, in both directions, meet
 with it and are compared by a matrix product, and what is better than a list's last entry enters it;
-rounds go on until few entries change.
+rounds go on until few entries change. As many sets of planes are used as it takes for a pair at the
+threshold to share a bucket but with probability `MISS`, and buckets of any size are compared whole.
 
 Links are kept beside the lists: of all pairs at or above the threshold that any comparison meets, as
 many as connect what they connect. A list that holds nothing but links is saturated and may have missed
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from .common import components, pin, written
 
 THRESHOLD = 0.93
 K = 10
-TABLES = 16
+# Probability that a pair at the threshold shares no bucket of a search.
+MISS = 1e-4
 # Nodes per bucket of a table, on average, and per block of a component.
 NEAR = 12
 BLOCK = 256
@@ -69,6 +72,12 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, rows.select("vec_id", "key")
 
 
+def tables(bits: int, threshold: float) -> int:
+    """Sets of `bits` planes for which a pair at the threshold shares a bucket but with probability MISS."""
+    shared = (1 - acos(min(max(threshold, -1.0), 1.0)) / pi) ** bits
+    return 1 if shared >= 1 - MISS else ceil(log(MISS) / log1p(-max(shared, 1e-4)))
+
+
 def _buckets(threshold: float, turn: int):
     """For each table, the sides of random planes that a vector lies on, as bits."""
 
@@ -77,7 +86,7 @@ def _buckets(threshold: float, turn: int):
             sizes, bits = batch["size"].to_numpy(), batch["bits"].to_numpy()
             for size, n_bits in sorted({*zip(sizes.tolist(), bits.tolist(), strict=True)}):
                 at = np.flatnonzero((sizes == size) & (bits == n_bits))
-                n = TABLES
+                n = tables(n_bits, threshold)
                 planes = np.random.default_rng([size, turn]).standard_normal((size, n * n_bits))
                 side = (matrix(batch["v"].take(pa.array(at))) @ planes > 0).reshape(len(at), n, n_bits)
                 rows = batch.select(["node", "label", "size"]).take(pa.array(np.repeat(at, n)))
@@ -319,6 +328,9 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     met = written(compare(groups.drop("parts"), nodes, groups.count() // 512 + 1, max(2, k // 4), threshold), "first-met")
     lists = written(best_lists(met, k), "first-lists")
     links = written(links_of(met, threshold), "links")
+    oversize = groups.filter("parts > 1")
+    if not oversize.isEmpty():
+        links = written(links.union(across(oversize, components(links), nodes, threshold)), "links")
     turn = 0
     while True:
         lists, more = descend(lists, nodes, n, k, threshold)
