@@ -313,3 +313,30 @@ def test_embedding_buckets_at_every_size(spark):
     ends = embedding_links.across(one, spark.createDataFrame([], "node long, label long"), nodes, 0.93).collect()
     linked = np.triu(unit @ unit.T >= 0.93, 1)
     assert {i for r in ends for i in r} == {ids[i] for ij in zip(*np.nonzero(linked)) for i in ij} and linked.any()
+
+
+def test_quality_learns_from_all_unlabelled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    seed = quality.seed(quality._sample(docs, labels, ["quality"]), "quality")
+    rest = docs.join(labels, "doc_id", "left_anti").select("text", "source", "lang", "n_chars").toArrow().to_batches()
+    text, meta = [], []
+    for batch in rest:
+        at, bucket, shape = quality.text_features(batch["text"].to_pylist())
+        text.append(np.hstack([shape, quality.presence(at, bucket, seed.chosen, len(batch))]))
+        meta.append(quality.metadata_features(batch))
+    views = [np.concatenate(text), np.concatenate(meta)]
+    assert len(views[0]) > 6000
+    own, y = [v[seed.train] for v in seed.views], seed.y[seed.train]
+    betas = [quality.fit(v, y, np.ones(len(y))) for v in own]
+    label = np.full((2, len(views[0])), np.nan)
+    for _ in range(quality.ROUNDS):
+        for v in (0, 1):
+            p = 1 / (1 + np.exp(-quality.margin(views[v], betas[v])))
+            new = np.isnan(label[1 - v])
+            label[1 - v][new & (p >= quality.SURE)] = 1
+            label[1 - v][new & (1 - p >= quality.SURE)] = 0
+        has = ~np.isnan(label)
+        betas = [quality.fit(np.vstack([own[v], views[v][has[v]]]), np.r_[y, label[v][has[v]]], np.r_[np.ones(len(y)), np.full(has[v].sum(), 0.5)]) for v in (0, 1)]
+    model = quality.train(docs, labels, ("quality",)).models["quality"]
+    assert has.sum() > 1000 and np.allclose(model.text, betas[0], atol=1e-4) and np.allclose(model.metadata, betas[1], atol=1e-4)

@@ -6,8 +6,9 @@ Both are ridge logistic regressions. In each round each view labels the unlabell
 sure of, and these join the other view's training rows at half weight. At the end a logistic
 regression on a held-out part of the labels turns both views' scores into one calibrated probability.
 
-Models are fitted on bounded samples: the `LABELLED` labelled and `UNLABELLED` other documents with
-the least hash of their id. All documents are scored.
+The labelled sample is bounded: the `LABELLED` labels with the least hash of their id. All documents
+without a label of a target take part in its rounds: their features are written once, and every Newton
+step adds up their gradients and Hessians on the executors. All documents are scored.
 
 Rules: a null or empty text has no words and zero byte shares; null metadata is a value of its own;
 of labels that repeat a doc_id each counts, null labels count for nothing; without both classes among
@@ -23,16 +24,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pin
+from .common import pin, small, written
 from .words import mix, slices, words_of
 
 LABELLED = 6000
-UNLABELLED = 4000
 ROUNDS = 3
+# Newton steps at most, and the change at which they end.
+STEPS = 12
+STILL = 1e-5
 SURE = 0.99
-PER_ROUND = 400
+# Partial sums of a Newton step that come to the driver.
+PACKS = 32
 TELLING = 80
 BUCKETS = 1 << 18
 SOURCES = 64
@@ -87,18 +92,27 @@ def metadata_features(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
+def sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Hessian and, as its last row, gradient of weighted rows at `beta`, without the penalty."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+    return np.vstack([(x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x, x.T @ (weight * (y - p))])
+
+
+def newton(added: np.ndarray, beta: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """The step of a ridge logistic regression from all rows' sums."""
+    penalty = np.full(len(beta), ridge)
     penalty[-1] = 1e-6
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - penalty * beta)
+    return np.linalg.solve(added[:-1] + np.diag(penalty), added[-1] - penalty * beta)
+
+
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the last coefficient is the intercept."""
+    beta = np.zeros(x.shape[1] + 1)
+    for _ in range(STEPS):
+        step = newton(sums(x, y, weight, beta), beta, ridge)
         beta += step
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < STILL:
             break
     return beta
 
@@ -148,47 +162,153 @@ def telling_words(text: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.nda
     return np.sort(np.argsort(-chi, kind="stable")[:TELLING])
 
 
-def cotrain(rows: pd.DataFrame, target: str) -> Model:
-    """Fit one target on the sample: columns words (arrays), shape, meta and the target (NaN: unlabelled)."""
+@dataclass
+class Seed:
+    """One target's labelled sample: chosen word buckets, both views' features, classes, rows to train on and held out."""
+
+    chosen: np.ndarray
+    views: list[np.ndarray]
+    y: np.ndarray
+    train: np.ndarray
+    held: np.ndarray
+
+
+def seed(rows: pd.DataFrame, target: str) -> Seed | Model:
+    """From the sample's columns words (arrays), shape, meta and the target (NaN: unlabelled); a constant without both classes."""
+    rows = rows[rows[target].notna()].reset_index(drop=True)
+    y = rows[target].to_numpy(float)
+    share = float(y.mean()) if len(y) else 0.0
+    if share in (0.0, 1.0):
+        return Model(np.zeros(0, np.int64), np.zeros(N_SHAPE + 1), np.zeros(SOURCES + LANGS + 3), np.zeros(3), constant=share)
     size = rows.words.map(len).to_numpy()
     text = np.repeat(np.arange(len(rows)), size)
     bucket = np.concatenate([*rows.words, np.zeros(0, np.int64)]).astype(np.int64)
     shape, meta = np.stack(rows["shape"].to_list()), np.stack(rows["meta"].to_list())
-    y = rows[target].to_numpy(float)
-    known = ~np.isnan(y)
-    share = float(y[known].mean()) if known.any() else 0.0
-    blank = np.zeros(0, np.int64), np.zeros(N_SHAPE + 1), np.zeros(meta.shape[1] + 1), np.zeros(3)
-    if share in (0.0, 1.0):
-        return Model(*blank, constant=share)
-    held = known & (np.arange(len(rows)) % 5 == 0)
-    train = known & ~held
+    held = np.arange(len(rows)) % 5 == 0
+    train = ~held
     if min(np.bincount(y[train].astype(int), minlength=2).min(), np.bincount(y[held].astype(int), minlength=2).min()) == 0:
-        held, train = known, known
+        held = train = np.ones(len(rows), bool)
     of_train = np.cumsum(train) - 1
     use = train[text]
     chosen = telling_words(of_train[text[use]], bucket[use], y[train])
+    return Seed(chosen, [np.hstack([shape, presence(text, bucket, chosen, len(rows))]), meta], y, train, held)
+
+
+def presence(text: np.ndarray, bucket: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Which of the chosen buckets each text has, as 0 and 1."""
     column = np.full(BUCKETS, -1)
     column[chosen] = np.arange(len(chosen))
-    present = np.zeros((len(rows), len(chosen)))
+    out = np.zeros((n, len(chosen)))
     inside = column[bucket] >= 0
-    present[text[inside], column[bucket[inside]]] = 1
-    views = [np.hstack([shape, present]), meta]
-    label = [np.where(train, y, np.nan) for _ in views]
-    for turn in range(ROUNDS + 1):
-        betas = []
-        for x, own in zip(views, label, strict=True):
-            has = ~np.isnan(own)
-            betas.append(fit(x[has], own[has], np.where(train[has], 1.0, 0.5)))
-        if turn == ROUNDS:
-            break
-        for v in (0, 1):
-            p = _p(margin(views[v], betas[v]))
-            other = label[1 - v]
-            for value, sure in ((1.0, p), (0.0, 1 - p)):
-                free = np.flatnonzero(np.isnan(other) & ~known & (sure >= SURE))
-                other[free[np.argsort(-sure[free], kind="stable")[:PER_ROUND]]] = value
-    margins = [margin(x[held], b) for x, b in zip(views, betas, strict=True)]
-    return Model(chosen, betas[0], betas[1], combined(margins, y[held]))
+    out[text[inside], column[bucket[inside]]] = 1
+    return out
+
+
+def pseudo(views: list[np.ndarray], history: list[list[np.ndarray]], v: int) -> np.ndarray:
+    """Labels that view v has from the other view: of the first round in which that was sure (NaN: none)."""
+    label = np.full(len(views[0]), np.nan)
+    for betas in history:
+        p = _p(margin(views[1 - v], betas[1 - v]))
+        label = np.where(~np.isnan(label), label, np.where(p >= SURE, 1.0, np.where(1 - p >= SURE, 0.0, np.nan)))
+    return label
+
+
+def _pool(docs: DataFrame, labels: DataFrame, seeds: dict[str, Seed]) -> DataFrame:
+    """Features x of all documents without a label of some target, and free_<target>."""
+    has = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(t).isNotNull()).alias(f"has_{t}") for t in seeds])
+    has = written(has, "labelled")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b for whole in batches for b in slices(whole)):
+            text, bucket, shape = text_features(batch["text"].to_pylist())
+            meta = metadata_features(batch)
+            places = np.stack([meta[:, :SOURCES].argmax(1), meta[:, SOURCES:-2].argmax(1)], 1).astype(np.uint8)
+            bits = [np.packbits(presence(text, bucket, s.chosen, batch.num_rows).astype(bool), axis=1) for s in seeds.values()]
+            numbers = np.ascontiguousarray(np.hstack([shape, meta[:, -2:]]))
+            x = np.hstack([numbers.view(np.uint8).reshape(batch.num_rows, -1), places, *bits])
+            yield pa.record_batch({"doc_id": batch["doc_id"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, x binary")
+    rows = rows.join(small(has, has.count()), "doc_id", "left")
+    free = {f"free_{t}": ~F.coalesce(f"has_{t}", F.lit(False)) for t in seeds}
+    rows = rows.select("x", *[c.alias(name) for name, c in free.items()])
+    return written(rows.filter(" or ".join(free)), "unlabelled")
+
+
+def unpacked(column: pa.Array, seeds: dict[str, Seed]) -> dict[str, list[np.ndarray]]:
+    """Both views of each target from the pool's x."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    at = 8 * (N_SHAPE + 2)
+    numbers = np.ascontiguousarray(raw[:, :at]).view(np.float64)
+    meta = np.zeros((len(raw), SOURCES + LANGS + 2))
+    meta[np.arange(len(raw)), raw[:, at]] = 1
+    meta[np.arange(len(raw)), SOURCES + raw[:, at + 1].astype(int)] = 1
+    meta[:, -2:] = numbers[:, N_SHAPE:]
+    at += 2
+    out = {}
+    for target, s in seeds.items():
+        width = -(-len(s.chosen) // 8)
+        out[target] = [np.hstack([numbers[:, :N_SHAPE], np.unpackbits(raw[:, at : at + width], axis=1)[:, : len(s.chosen)]]), meta]
+        at += width
+    return out
+
+
+def pool_sums(pool: DataFrame, seeds: dict[str, Seed], history: dict[str, list], betas: dict[tuple[str, int], np.ndarray]) -> dict:
+    """For each target and view of `betas`, the sums of all pseudo-labelled documents at half weight."""
+    sizes = [(len(b) + 1) * len(b) for b in betas.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(b) + 1, len(b))) for b in betas.values()]
+        for batch in batches:
+            views = unpacked(batch["x"], seeds)
+            for (target, v), beta, own in zip(betas, betas.values(), total, strict=True):
+                label = pseudo(views[target], history[target], v)
+                has = ~np.isnan(label) & batch[f"free_{target}"].to_numpy(zero_copy_only=False)
+                if has.any():
+                    own += sums(views[target][v][has], label[has], np.full(has.sum(), 0.5), beta)
+        part = TaskContext.get().partitionId()
+        flat = np.concatenate([t.ravel() for t in total])
+        yield pa.record_batch({"pack": pa.array([part % PACKS], pa.int32()), "part": pa.array([part], pa.int32()), "sums": pa.array([flat.tobytes()])})
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        flat = np.zeros(sum(sizes))
+        for raw in table["sums"]:
+            flat += np.frombuffer(raw.as_buffer(), np.float64)
+        return pa.table({"pack": table["pack"][:1], "sums": pa.array([flat.tobytes()])})
+
+    parts = pool.mapInArrow(run, "pack int, part int, sums binary")
+    rows = sorted(parts.groupBy("pack").applyInArrow(add, "pack int, sums binary").collect())  # at most PACKS
+    flat = np.sum([np.frombuffer(r.sums, np.float64) for r in rows], axis=0) if rows else np.zeros(sum(sizes))
+    cuts = np.split(flat, np.cumsum(sizes)[:-1])
+    return {at: c.reshape(-1, len(b)) for (at, b), c in zip(betas.items(), cuts, strict=True)}
+
+
+def cotrain(seeds: dict[str, Seed], pool: DataFrame) -> dict[str, Model]:
+    """Fit all targets: in each round both views on the seed and on what the other view is sure of in the whole pool."""
+    history: dict[str, list] = {t: [[fit(x[s.train], s.y[s.train], np.ones(s.train.sum())) for x in s.views]] for t, s in seeds.items()}
+    for _ in range(0 if pool.isEmpty() else ROUNDS):
+        betas = {(t, v): b.copy() for t in seeds for v, b in enumerate(history[t][-1])}
+        moving = dict(betas)
+        for _ in range(STEPS):
+            added = pool_sums(pool, seeds, history, moving)
+            for t, v in list(moving):
+                s = seeds[t]
+                own = sums(s.views[v][s.train], s.y[s.train], np.ones(s.train.sum()), betas[t, v])
+                step = newton(own + added[t, v], betas[t, v])
+                betas[t, v] += step
+                if np.abs(step).max() < STILL:
+                    del moving[t, v]
+            if not moving:
+                break
+        for t in seeds:
+            history[t].append([betas[t, 0], betas[t, 1]])
+    models = {}
+    for t, s in seeds.items():
+        last = history[t][-1]
+        margins = [margin(x[s.held], b) for x, b in zip(s.views, last, strict=True)]
+        models[t] = Model(s.chosen, *last, combined(margins, s.y[s.held]))
+    return models
 
 
 def combined(margins: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -210,14 +330,10 @@ def combined(margins: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, targets: list[str]) -> pd.DataFrame:
-    """Features of the bounded samples, brought to the driver."""
+    """Features of the bounded labelled sample, brought to the driver."""
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
     given = labels.filter("doc_id is not null").orderBy(*by, *targets).limit(LABELLED).select("doc_id", *targets)
-    others = (
-        docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(*by).limit(UNLABELLED)
-        .select("doc_id", *[F.lit(None).cast("int").alias(t) for t in targets])
-    )
-    chosen = F.broadcast(given.unionByName(others))  # at most LABELLED + UNLABELLED rows
+    chosen = F.broadcast(given)  # at most LABELLED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in slices(whole)):
@@ -255,11 +371,13 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> Scorer:
-    """Fit every target on the bounded samples."""
+    """Fit every target on the labelled sample and all other documents."""
     pin(docs.sparkSession)
-    sample = _sample(docs, labels.select("doc_id", *[F.col(t).cast("int") for t in targets]), list(targets))
-    none = Model(np.zeros(0, np.int64), np.zeros(N_SHAPE + 1), np.zeros(SOURCES + LANGS + 3), np.zeros(3), constant=0.0)
-    return Scorer({t: cotrain(sample, t) if len(sample) else none for t in targets})
+    labels = labels.select("doc_id", *[F.col(t).cast("int") for t in targets])
+    sample = _sample(docs, labels, list(targets))
+    found = {t: seed(sample, t) for t in targets}
+    seeds = {t: s for t, s in found.items() if isinstance(s, Seed)}
+    return Scorer(found | (cotrain(seeds, _pool(docs, labels, seeds)) if seeds else {}))
 
 
 def score(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
