@@ -340,3 +340,10 @@ def test_quality_learns_from_all_unlabelled(spark):
         betas = [quality.fit(np.vstack([own[v], views[v][has[v]]]), np.r_[y, label[v][has[v]]], np.r_[np.ones(len(y)), np.full(has[v].sum(), 0.5)]) for v in (0, 1)]
     model = quality.train(docs, labels, ("quality",)).models["quality"]
     assert has.sum() > 1000 and np.allclose(model.text, betas[0], atol=1e-4) and np.allclose(model.metadata, betas[1], atol=1e-4)
+
+
+def test_quality_sample_takes_one_document_of_an_id(spark):
+    rows = [(1, f"text {i % 7}", "en", "a", 5, "x") for i in range(500)] + [(2, "other words", "en", "b", 5, "x")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    sample = quality._sample(spark.createDataFrame(rows, FIELDS), labels, ["quality"])
+    assert sorted(zip(sample.doc_id, sample.quality)) == [(1, 0), (1, 1), (2, 1)]

@@ -11,7 +11,7 @@ without a label of a target take part in its rounds: their features are written
 step adds up their gradients and Hessians on the executors. All documents are scored.
 
 Rules: a null or empty text has no words and zero byte shares; null metadata is a value of its own;
-of labels that repeat a doc_id each counts, null labels count for nothing; without both classes among
+of labels that repeat a doc_id each counts, and of its documents one; null labels count for nothing; without both classes among
 the labels a target's probability is their share (0 without labels); further columns are ignored; no
 documents give no rows.
 """
@@ -332,26 +332,29 @@ def combined(margins: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def _sample(docs: DataFrame, labels: DataFrame, targets: list[str]) -> pd.DataFrame:
     """Features of the bounded labelled sample, brought to the driver."""
     by = [F.xxhash64("doc_id"), F.col("doc_id")]
-    given = labels.filter("doc_id is not null").orderBy(*by, *targets).limit(LABELLED).select("doc_id", *targets)
-    chosen = F.broadcast(given)  # at most LABELLED rows
+    given = labels.filter("doc_id is not null").orderBy(*by, *targets).limit(LABELLED).select("doc_id", *targets).toPandas()
+    ids = docs.sparkSession.createDataFrame([(int(d),) for d in given.doc_id.unique()], "doc_id long")  # at most LABELLED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in slices(whole)):
             text, bucket, shape = text_features(batch["text"].to_pylist())
             cuts = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.record_batch({
-                "doc_id": batch["doc_id"], **{t: batch[t] for t in targets},
+                "doc_id": batch["doc_id"],
                 "words": pa.ListArray.from_arrays(cuts, pa.array(bucket.astype(np.int32))),
                 "shape": pa.array(list(shape), pa.list_(pa.float64())),
                 "meta": pa.array(list(metadata_features(batch)), pa.list_(pa.float64())),
             })
 
-    named = ", ".join(f"{t} int" for t in targets)
-    rows = docs.select("doc_id", "text", "source", "lang", "n_chars").join(chosen, "doc_id").mapInArrow(
-        run, f"doc_id long, {named}, words array<int>, shape array<double>, meta array<double>"
-    ).toPandas()
+    # Of rows that repeat a doc_id, one: that with the least hash of what the views see.
+    mine = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")
+    own = F.xxhash64("text", "source", "lang", "n_chars")
+    least = mine.groupBy("doc_id").agg(F.min(own).alias("least"))
+    rows = mine.join(F.broadcast(least), "doc_id").filter(own == F.col("least")).drop("least").mapInArrow(
+        run, "doc_id long, words array<int>, shape array<double>, meta array<double>"
+    ).dropDuplicates(["doc_id"]).toPandas().merge(given, on="doc_id")
     order = mix(rows.doc_id.to_numpy(np.int64).view(np.uint64))
-    return rows.iloc[np.lexsort((rows.doc_id, order))].reset_index(drop=True)
+    return rows.iloc[np.lexsort((*[rows[t].fillna(-1) for t in targets], rows.doc_id, order))].reset_index(drop=True)
 
 
 class Scorer:
