@@ -26,8 +26,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest doc_id."""
-    return _without(docs, near_duplicates.near_duplicates(docs).filter("not kept"))
+    """One document of each class of near duplicates: the one with the smallest doc_id; of rows that repeat it, any."""
+    found = near_duplicates.near_duplicates(docs).groupBy("doc_id", "text_hash").agg(
+        F.max("kept").alias("kept"), F.min("kept").alias("all_kept")
+    )
+    found = written(found.filter("not all_kept"), "not-kept")
+    left = _without(docs, found.filter("not kept"))
+    repeated = written(found.filter("kept").select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")), "repeated")
+    n = repeated.count()
+    if not n:
+        return left
+    same = left["doc_id"].eqNullSafe(repeated["of_id"]) & (F.xxhash64(left["text"]) == repeated["of_text"])
+    once = left.join(small(repeated, n), same, "left_semi").withColumn("of_text", F.xxhash64("text"))
+    return left.join(small(repeated, n), same, "left_anti").union(once.dropDuplicates(["doc_id", "of_text"]).drop("of_text"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,11 @@ def test_pipeline_on_the_table(spark, sf_dir):
     result = corpus_pipeline.run(spark, sf_dir).collect()
     result.sort(key=lambda r: r.start)
     assert all(a.start + a.n_tokens == b.start for a, b in zip(result, result[1:])) and result[0].start == 0
+
+
+def test_near_dedup_keeps_one_row_of_a_class(spark, sf_dir):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, text, "en", "a", 1, "x")] * 3 + [(6, text, "en", "a", 1, "x"), (7, "other text of its own", "en", "a", 1, "x")]
+    rows += [(None, "a text whose ids are all null " * 3, "en", "a", 1, "x")] * 4
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, FIELDS).repartition(3), sf_dir)
+    assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 5, 7] and len(out.columns) == 6

@@ -228,20 +228,22 @@ def compare_blocks(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id), text_hash.
+    """Per document: doc_id, class_id (smallest doc_id of its class), kept, text_hash.
 
-    Of rows that repeat the smallest doc_id of a class, all are kept.
+    Of each class one row is kept, the first by doc_id (null last), text_hash and place in the input; texts
+    without a word are in no class and kept.
     """
     pin(docs.sparkSession)
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     sketched = written(
-        docs.mapInArrow(sketch(bands, rows), "doc_id long, text_hash long, copy binary, bands array<long>"), "sketches"
+        docs.mapInArrow(sketch(bands, rows), "doc_id long, text_hash long, copy binary, bands array<long>")
+        .withColumn("row", F.monotonically_increasing_id()), "sketches"
     )
     copies = sketched.filter("copy is not null").groupBy("copy").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_hash", "row")).alias("first"), F.first("bands").alias("bands")
     )
     nodes = written(
-        copies.select(F.monotonically_increasing_id().alias("node"), "copy", "first.doc_id", "first.text_hash", "bands"), "nodes"
+        copies.select(F.monotonically_increasing_id().alias("node"), "copy", "first.doc_id", "first.text_hash", "first.row", "bands"), "nodes"
     )
 
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -282,12 +284,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     more = dealt.join(packed, "node").groupBy("bucket", "p", "q").applyInArrow(compare_blocks(threshold), "a long, b long")
     labels = components(written(links.unionByName(more), "all-links"))
 
-    of_node = nodes.select("node", "copy", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = written(of_node.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
-    classes = written(of_node.join(least, "label").select("copy", "class_id"), "class-of-copy")
-    found = sketched.select("doc_id", "text_hash", "copy").join(classes, "copy", "left")
+    of_node = nodes.select("node", "copy", "doc_id", "text_hash", "row").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = written(of_node.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash", "row")).alias("least")), "classes")
+    classes = written(of_node.join(least, "label").select(
+        "copy", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("kept_row")
+    ), "class-of-copy")
+    found = sketched.select("doc_id", "text_hash", "copy", "row").join(classes, "copy", "left")
     found = found.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return found.select(
         F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), F.nullif("class_id", F.lit(LAST_ID)).alias("class_id"),
-        (F.col("doc_id") == F.col("class_id")).alias("kept"), "text_hash",
+        (F.col("row") == F.coalesce("kept_row", "row")).alias("kept"), "text_hash",
     )
