@@ -347,3 +347,12 @@ def test_quality_sample_takes_one_document_of_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
     sample = quality._sample(spark.createDataFrame(rows, FIELDS), labels, ["quality"])
     assert sorted(zip(sample.doc_id, sample.quality)) == [(1, 0), (1, 1), (2, 1)]
+
+
+def test_mixing_counts_repeated_rows(spark):
+    rows = [(i // 3, "same", "en", "a", 1, "x") for i in range(90)] + [(100, "b", "en", "b", 1, "x")] * 40
+    docs = spark.createDataFrame(rows, FIELDS)
+    got = mixing.schedule(docs, {"a": 2, "b": 1}).collect()
+    assert len(got) == len(rows) and len({(r.slot, r.place) for r in got}) == len(rows) and max(r.place for r in got) < mixing.BLOCK
+    assert Counter(r.block for r in got if r.source == "b") == {0: 16, 1: 16, 2: 8}
+    assert Counter(mixing.mixed(docs, {"a": 2, "b": 1}).collect()) == Counter(docs.collect())

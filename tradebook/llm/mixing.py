@@ -9,8 +9,8 @@ source, counted by ranges of doc_id. When a source runs dry, its later slots are
 others keep their order: all documents are in the mix.
 
 Rules: a source without a share, null included, is in the group `OTHER`; documents go by doc_id (null
-first), then by the hash of their text; rows equal in doc_id, text and source go together as one; further
-columns are ignored; no documents give no rows. Shares are whole numbers above 0, at most `MAX_PERIOD`
+first), then by the hash of their text, source and place in the input, so every row counts, also a repeated
+one; further columns are ignored; no documents give no rows. Shares are whole numbers above 0, at most `MAX_PERIOD`
 in all.
 """
 
@@ -25,6 +25,7 @@ from .common import pin, written
 BLOCK = 16
 OTHER = "(other)"
 MAX_PERIOD = 100_000
+ROW = "mix_row"
 # Documents per range.
 RANGE_ROWS = 100_000
 
@@ -51,6 +52,11 @@ def period(shares: dict[str, int]) -> list[str]:
 
 def schedule(docs: DataFrame, shares: dict[str, int], block: int = BLOCK, other_share: int = 1) -> DataFrame:
     """Per document: doc_id, text_hash, source, mix_group, block, slot, place (its row in the block)."""
+    return _places(docs.withColumn(ROW, F.monotonically_increasing_id()), shares, block, other_share).drop(ROW)
+
+
+def _places(docs: DataFrame, shares: dict[str, int], block: int, other_share: int = 1) -> DataFrame:
+    """The schedule of documents numbered by ROW, which it keeps."""
     spark = pin(docs.sparkSession)
     shares = {**shares, OTHER: other_share}
     slots = period(shares)
@@ -63,9 +69,9 @@ def schedule(docs: DataFrame, shares: dict[str, int], block: int = BLOCK, other_
     size = F.broadcast(spark.createDataFrame(list(shares.items()), "mix_group string, share long"))
 
     named = F.when(F.col("source").isin([s for s in shares if s != OTHER]), F.col("source")).otherwise(F.lit(OTHER))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source").distinct().withColumn("mix_group", named)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", ROW).withColumn("mix_group", named)
     n = max(spark.sparkContext.defaultParallelism, -(-docs.count() // RANGE_ROWS))
-    order = ["doc_id", "text_hash", "source"]
+    order = ["doc_id", "text_hash", "source", ROW]
     dealt = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("mix_group", "part").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("mix_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -79,21 +85,17 @@ def schedule(docs: DataFrame, shares: dict[str, int], block: int = BLOCK, other_
     return ranked.join(lookup, ["mix_group", "nth"]).select(
         "doc_id", "text_hash", "source", "mix_group", "block",
         (F.floor(F.col("block") / F.col("share")) * len(slots) + F.col("at")).alias("slot"),
-        (F.col("rank") % block).alias("place"),
+        (F.col("rank") % block).alias("place"), ROW,
     )
 
 
 def mixed(docs: DataFrame, shares: dict[str, int], block: int = BLOCK) -> DataFrame:
     """The documents with all their columns, partitions and rows in the order of the mix."""
-    places = written(schedule(docs, shares, block), "mix").select(
-        *[F.col(c).alias(f"mix_{c}") for c in ("doc_id", "text_hash", "source", "slot", "place")]
-    )
-    same = (
-        docs["doc_id"].eqNullSafe(places["mix_doc_id"]) & (F.xxhash64(docs["text"]) == places["mix_text_hash"])
-        & docs["source"].eqNullSafe(places["mix_source"])
-    )
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // RANGE_ROWS))
-    order = [places["mix_slot"], places["mix_place"]]
-    return docs.join(places, same).repartitionByRange(n, *order).sortWithinPartitions(*order).select(
-        *[docs[c] for c in docs.columns]
+    pin(docs.sparkSession)
+    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    places = written(_places(numbered, shares, block), "mix").select(*[F.col(c).alias(f"at_{c}") for c in (ROW, "slot", "place")])
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // RANGE_ROWS))
+    order = [places["at_slot"], places["at_place"]]
+    return numbered.join(places, numbered[ROW] == places[f"at_{ROW}"]).repartitionByRange(n, *order).sortWithinPartitions(*order).select(
+        *[numbered[c] for c in docs.columns]
     )
