@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import chats, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, surrogates, token_files, warc
+from . import chats, collocations, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, surrogates, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -155,3 +155,44 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_surrogates"] = op4_surrogates
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents")).drop("words")
+
+
+QUERIES["op11_collocations"] = op11_collocations
+CHECKS["op11_collocations"] = f"""
+with pieces as (
+    select lang, row_number() over () as piece, w from (
+        select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as w
+        from documents)),
+placed as (select lang, piece, unnest(a) as word, generate_subscripts(a, 1) as i
+    from (select lang, piece, regexp_extract_all(w, '[^\\x20\\x09]+') as a from pieces)),
+grams as (
+    select lang, word as w1, lead(word) over p as w2, lead(word, 2) over p as w3
+    from placed window p as (partition by piece order by i)),
+f1 as (select lang, w1, count(*) as f from grams group by all),
+f2 as (select lang, w1, w2, count(*) as f from grams where w2 is not null group by all),
+f3 as (select lang, w1, w2, w3, count(*) as f from grams where w3 is not null group by all having count(*) >= {collocations.LEAST}),
+cuts as (
+    select x.lang, w1 || ' ' || w2 as phrase, 1 as k, x.f as a, l.f as l, r.f as r
+    from f2 x join f1 l using (lang, w1) join f1 r on r.lang = x.lang and r.w1 = x.w2 where x.f >= {collocations.LEAST}
+    union all
+    select x.lang, w1 || ' ' || x.w2 || ' ' || x.w3, 1, x.f, l.f, r.f
+    from f3 x join f1 l using (lang, w1) join f2 r on r.lang = x.lang and r.w1 = x.w2 and r.w2 = x.w3
+    union all
+    select x.lang, w1 || ' ' || w2 || ' ' || w3, 2, x.f, l.f, r.f
+    from f3 x join f2 l using (lang, w1, w2) join f1 r on r.lang = x.lang and r.w1 = x.w3),
+scored as (select *, 1000000::hugeint * a * a // (l::hugeint * r) as score from cuts),
+lowest as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as nth from scored) where nth = 1),
+longer as (
+    select lang, phrase, max(f) as f from (
+        select lang, w1 || ' ' || w2 as phrase, f from f3 union all select lang, w2 || ' ' || w3, f from f3) group by all),
+kept as (
+    select lowest.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+    from lowest left join longer using (lang, phrase) where not coalesce(100 * longer.f >= {collocations.COVERED} * a, false))
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from kept join (select lang, sum(f)::bigint as n from f1 group by lang) using (lang) where rank <= {collocations.TOP}
+"""
