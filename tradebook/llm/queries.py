@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import chats, collocations, decontamination, embedding_links, mixing, near_duplicates, quality, substring_dedup, surrogates, token_files, warc
+from . import chats, collocations, decontamination, embedding_links, mixing, near_duplicates, quality, ranked_search, substring_dedup, surrogates, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -196,3 +196,32 @@ kept as (
 select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
 from kept join (select lang, sum(f)::bigint as n from f1 group by lang) using (lang) where rank <= {collocations.TOP}
 """
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op13_ranked_search"] = op13_ranked_search
+CHECKS["op13_ranked_search"] = f"""
+with docs as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as a
+    from documents),
+items as (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+    from benchmark),
+total as (select count(*) as docs, sum(len(a))::bigint as terms from docs where len(a) > 0),
+strata as (select doc_id, a, 75 + (25 * len(a) * docs) // terms as m from docs, total where len(a) > 0),
+postings as (select doc_id, m, term, count(*) as tf from (select doc_id, m, unnest(a) as term from strata) group by all),
+weights as (
+    select term, floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1)))::bigint as w
+    from (select term, count(*) as df from postings group by term), total),
+scores as (
+    select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+    from items join weights using (term) join postings using (term) group by all),
+ranked as (
+    select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= {ranked_search.TOP}
+"""
