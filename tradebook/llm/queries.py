@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pin
-from . import chats, collocations, decontamination, embedding_links, mixing, near_duplicates, quality, ranked_search, substring_dedup, surrogates, token_files, warc
+from . import chats, collocations, decontamination, embedding_links, mixing, near_duplicates, quality, ranked_search, substring_dedup, surrogates, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -225,3 +225,10 @@ ranked as (
     select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
 select item_id, rank, doc_id, score from ranked where rank <= {ranked_search.TOP}
 """
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_toxicity"] = op12_toxicity
