@@ -2,8 +2,8 @@
 
 There are two stripes. That of the empty prefix counts the words of a language. That of a prefix of two
 words counts the third words; the end of a piece counts as one. A task counts a slice of texts into
-stripes of its own and cuts them by bucket of the prefix; a bucket merges the stripes of all slices
-element by element. From the merged stripe come the extensions (its elements), the prefix's total
+stripes of its own and cuts them by bucket of the prefix; those of a bucket travel together, each word
+spelt once and referred to by its number. A bucket merges the stripes of all slices element by element. From the merged stripe come the extensions (its elements), the prefix's total
 (its sum, since the end of a piece is an element) and the largest extension (its maximum).
 
 A bucket holds about `PART` occurrences. A prefix can only exceed that if both its words do, so the
@@ -33,9 +33,10 @@ LEAST = 10
 TOP = 2000
 # A longer candidate with this share (in percent) of a phrase's occurrences takes its place.
 COVERED = 50
-# Occurrences in a bucket, and in a slice that a task counts at once.
+# Occurrences in a bucket; words that a task counts at once, and their bytes.
 PART = 2_000_000
-SLICE_BYTES = 24_000_000
+SLICE = 4_000_000
+SLICE_BYTES = 32_000_000
 # At most so many words are looked up to tell the prefixes that are cut by the third word.
 HEAVY_WORDS = 1_000_000
 # Bits of a word's number in a slice; three numbers make one key.
@@ -69,7 +70,7 @@ class _Slice:
 
     def numbers(self) -> np.ndarray:
         """All but the last two stand here with the two that follow; these are ends, or start the next slice."""
-        return np.concatenate(self.parts).astype(np.int64)
+        return np.concatenate(self.parts)
 
     def words(self) -> pa.Array:
         """Words by number; that of _END is empty."""
@@ -77,7 +78,7 @@ class _Slice:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Slice]]:
-    """Slices of at most about PART words and SLICE_BYTES, by language; a longer text takes several."""
+    """Slices of at most about SLICE words and SLICE_BYTES, by language; a longer text takes several."""
     own: dict[str, _Slice] = defaultdict(_Slice)
     size = n = 0
     for batch in batches:
@@ -86,7 +87,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Slice]]:
             for words in blocks(text.translate(_MAP).replace(b"\n", b" \n ")):
                 own[lang].take(words)
                 size, n = size + sum(map(len, words)) + len(words), n + len(words)
-                if n >= PART or size >= SLICE_BYTES or len(own[lang].ids) >= 1 << (_BITS - 1):
+                if n >= SLICE or size >= SLICE_BYTES or len(own[lang].ids) >= 1 << (_BITS - 1):
                     last = own[lang].last()
                     yield own
                     own, size, n = defaultdict(_Slice), 0, 0
@@ -114,11 +115,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return written(counts.groupBy("lang", "word").agg(F.sum("f").alias("f")), "words")
 
 
+def _ints(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; the first byte tells how many."""
+    size = 1 if not len(values) or values.max() < 1 << 8 else 2 if values.max() < 1 << 16 else 4
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _runs(*values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values, of the first array and then of the others, begin."""
+    changed = np.zeros(len(values[0]), bool)
+    changed[:1] = True
+    for v in values:
+        changed[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(changed)
+
+
 def _of_slice(lang: str, part: _Slice, heavy: dict[tuple[str, str], int], limit: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """A slice's stripes, packed by bucket: per stripe its two words and size, per element its word and count."""
+    """A slice's stripes, packed by bucket: words, then nested first words, second words, third words and counts."""
     ids, words = part.numbers(), part.words()
+    part.parts.clear()
     at = np.flatnonzero((ids[:-2] != _END) & (ids[1:-1] != _END))
-    keys, n = counted((ids[at] << (2 * _BITS)) | (ids[at + 1] << _BITS) | ids[at + 2])
+    keys = ids[at].astype(np.int64)
+    for shift in (1, 2):
+        keys <<= _BITS
+        keys |= ids[at + shift]
+    keys, n = counted(keys)
     low = (1 << _BITS) - 1
     first, second, third = keys >> (2 * _BITS), (keys >> _BITS) & low, keys & low
     names = words.to_pylist()
@@ -131,27 +156,32 @@ def _of_slice(lang: str, part: _Slice, heavy: dict[tuple[str, str], int], limit:
     bucket = (mix(prefix + hashed[second] * np.uint64(0x100000001) + segment) % np.uint64(buckets)).astype(np.int64)
     group = bucket * 2 + split
     order = np.argsort(group, kind="stable")
-    cuts = np.append(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
+    cuts = np.append(_runs(group[order]), len(order))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         mine = order[a:b]
-        used, local = np.unique(np.concatenate([first[mine], second[mine], third[mine]]), return_inverse=True)
-        one, two, three = local.reshape(3, -1).astype(np.int32)
-        starts = np.flatnonzero((np.diff(one, prepend=-1) != 0) | (np.diff(two, prepend=-1) != 0))
-        lists = {
-            "words": words.take(pa.array(used)), "first": pa.array(one[starts]), "second": pa.array(two[starts]),
-            "size": pa.array(np.diff(np.append(starts, b - a)).astype(np.int32)),
-            "third": pa.array(three), "n": pa.array(n[mine].astype(np.int32)),
-        }
+        used, local = np.unique(np.concatenate([[_END], first[mine], second[mine], third[mine]]), return_inverse=True)
+        one, two, three = local[1:].reshape(3, -1)
+        stripe, many = _runs(one, two), np.flatnonzero(n[mine] > 1)
+        starts = _runs(one[stripe])
         yield pa.record_batch({
             "bucket": pa.array([group[order[a]] // 2], pa.int64()), "lang": pa.array([lang]), "split": pa.array([bool(split[mine[0]])]),
-            **{k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for k, v in lists.items()},
+            "words": pa.array([" ".join([names[i] for i in used[1:]])]),
+            **{k: pa.array([_ints(v)], pa.binary()) for k, v in {
+                "first": one[stripe[starts]], "n_second": np.diff(np.append(starts, len(stripe))),
+                "second": two[stripe], "n_third": np.diff(np.append(stripe, b - a)),
+                "third": three, "many": many, "n": n[mine][many],
+            }.items()},
         })
 
 
-def _flat(table: pa.Table, column: str) -> tuple[np.ndarray | pa.Array, np.ndarray]:
-    """A list column's elements, and the number of elements of each row."""
-    lists = table[column].combine_chunks()
-    return lists.flatten(), np.asarray(pa.compute.list_value_length(lists), np.int64)
+def _unpacked(table: pa.Table, ids: Ids) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First, second and third word and count of each element, slice by slice."""
+    for row in zip(*(table[c].to_pylist() for c in ("words", *PACKED_NUMBERS)), strict=True):
+        number = np.append(np.zeros(1, np.int32), ids.numbers(row[0].encode().split(b" ")))
+        first, n_second, second, n_third, third, many, n_many = map(_numbers, row[1:])
+        n = np.ones(len(third), np.int64)
+        n[many] = n_many
+        yield (np.repeat(np.repeat(number[first], n_second), n_third), np.repeat(number[second], n_third), number[third], n)
 
 
 def merged(table: pa.Table) -> pa.Table:
@@ -159,33 +189,21 @@ def merged(table: pa.Table) -> pa.Table:
 
     A total's row has no third word. Of prefixes cut by the third word, all totals are kept.
     """
-    words, n_words = _flat(table, "words")
-    codes = words.dictionary_encode()
-    names, code = codes.dictionary, codes.indices.to_numpy().astype(np.int64)
-    shift = np.cumsum(n_words) - n_words
-
-    def numbers(column: str) -> np.ndarray:
-        values, sizes = _flat(table, column)
-        return code[values.to_numpy() + np.repeat(shift, sizes)]
-
-    v = len(names)
-    sizes = _flat(table, "size")[0].to_numpy()
-    n = _flat(table, "n")[0].to_numpy().astype(np.int64)
-    pairs, stripe = np.unique(numbers("first") * v + numbers("second"), return_inverse=True)
-    of = np.repeat(stripe, sizes)
+    ids = Ids((b"",))
+    first, second, third, n = (np.concatenate(c).astype(np.int64) for c in zip(*_unpacked(table, ids), strict=True))
+    names, v = ids.words(), len(ids)
+    pairs, of = np.unique(first * v + second, return_inverse=True)
     total = np.zeros(len(pairs), np.int64)
     np.add.at(total, of, n)
-    split = table["split"][0].as_py()
-    keep = (total >= LEAST) | split
+    keep = (total >= LEAST) | table["split"][0].as_py()
     use = keep[of]
-    keys, f = summed(of[use] * v + numbers("third")[use], n[use])
-    extends = (f >= LEAST) & (names.take(pa.array(keys % v)).to_numpy(zero_copy_only=False) != "")
+    keys, f = summed(of[use] * v + third[use], n[use])
+    extends = (f >= LEAST) & (keys % v != _END)
     keys, f = keys[extends], f[extends]
     longest = np.zeros(len(pairs), np.int64)
     np.maximum.at(longest, keys // v, f)
     prefixes = np.append(np.flatnonzero(keep), keys // v)
-    n_totals = int(keep.sum())
-    third = np.append(np.full(n_totals, -1), keys % v)
+    third = np.append(np.full(int(keep.sum()), -1), keys % v)
     return pa.table({
         "lang": pa.array([table["lang"][0].as_py()]).take(pa.array(np.zeros(len(prefixes), np.int32))),
         "first": names.take(pa.array(pairs[prefixes] // v)), "second": names.take(pa.array(pairs[prefixes] % v)),
@@ -195,9 +213,8 @@ def merged(table: pa.Table) -> pa.Table:
 
 
 MERGED = "lang string, first string, second string, third string, f long, longest long"
-PACKED = "bucket long, lang string, split boolean, words array<string>, " + ", ".join(
-    f"{c} array<int>" for c in ("first", "second", "size", "third", "n")
-)
+PACKED_NUMBERS = ("first", "n_second", "second", "n_third", "third", "many", "n")
+PACKED = "bucket long, lang string, split boolean, words string, " + ", ".join(f"{c} binary" for c in PACKED_NUMBERS)
 
 
 def stripes(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -219,7 +236,7 @@ def stripes(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 def _light(df: DataFrame, *texts_: str) -> DataFrame:
     """A broadcast hint behind a count of the bytes sent; beyond the limit the join shuffles."""
-    size = df.agg(F.sum(sum((F.octet_length(c) for c in texts_), F.lit(32)))).first()[0] or 0
+    size = df.agg(F.sum(sum((F.octet_length(c) for c in texts_), F.lit(96)))).first()[0] or 0
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
