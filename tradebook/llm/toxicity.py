@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import pin, written
@@ -48,6 +49,9 @@ RIDGE = 0.3
 # Steps of the training and of the calibration, and the change of a coefficient at which they end.
 STEPS, CALIBRATION_STEPS = 20, 12
 STILL = 0.01
+# So many tasks' sums are added up in one place, and so on in as many levels as it takes.
+FAN_IN = 16
+PARTS = "part int, sums binary"
 # Bytes of text that a task takes at once.
 SLICE_BYTES = 8_000_000
 
@@ -198,44 +202,63 @@ def _loss(z: np.ndarray) -> np.ndarray:
 
 
 def sums(x: np.ndarray, weight: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    """Over weighted rows: Hessian and gradient of the loss as clean text, and in a last row the loss itself."""
+    """Over weighted rows, in one array: the loss as clean text, its gradient, and the upper half of its Hessian."""
     z = x @ beta
     p = _p(z)
-    last = np.zeros(len(beta))
-    last[0] = weight @ _loss(z)
-    return np.vstack([(x * (weight * np.maximum(p * (1 - p), 1e-7))[:, None]).T @ x, x.T @ (weight * p), last])
+    hessian = (x * (weight * np.maximum(p * (1 - p), 1e-7))[:, None]).T @ x
+    return np.concatenate([[weight @ _loss(z)], x.T @ (weight * p), hessian[np.triu_indices(len(beta))]])
+
+
+def n_sums(k: int) -> int:
+    """The length of `sums` for k coefficients."""
+    return 1 + k + k * (k + 1) // 2
 
 
 def clean_risk(added: np.ndarray, n: int, x: np.ndarray, beta: np.ndarray, prior: float) -> float:
     """The corrected risk on clean text: that of all documents less the toxic share of it."""
-    return added[-1, 0] / n - prior * _loss(x @ beta).mean()
+    return added[0] / n - prior * _loss(x @ beta).mean()
 
 
 def newton(added: np.ndarray, n: int, x: np.ndarray, beta: np.ndarray, prior: float, penalty: np.ndarray) -> np.ndarray:
     """The step of the whole risk; as loss(z, 1) - loss(z, 0) is -z, it is convex, and the examples add their mean."""
-    gradient = added[-2] / n - prior * x.mean(0) + penalty * beta
-    return np.linalg.solve(added[:-2] / n + np.diag(penalty), -gradient)
+    k = len(beta)
+    hessian = np.zeros((k, k))
+    hessian[np.triu_indices(k)] = added[1 + k :]
+    hessian += np.triu(hessian, 1).T
+    gradient = added[1 : 1 + k] / n - prior * x.mean(0) + penalty * beta
+    return np.linalg.solve(hessian / n + np.diag(penalty), -gradient)
 
 
 def all_sums(pool: DataFrame, width: int, points: list[np.ndarray], margins: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """`sums` over all documents at each point; with `margins`, of the margins by these coefficients and 1 in place of the features."""
-    sizes = [(len(b) + 2) * len(b) for b in points]
+    sizes = [n_sums(len(b)) for b in points]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((len(b) + 2, len(b))) for b in points]
+        total = [np.zeros(size) for size in sizes]
         for batch in batches:
             x = _unpacked(batch["x"].to_pylist(), width)
             weight = batch["n"].to_numpy(zero_copy_only=False).astype(float)
             for i, (own, beta) in enumerate(zip(total, points, strict=True)):
                 own += sums(x if margins is None else _margins(x, margins[i]), weight, beta)
-        flat = np.concatenate([t.ravel() for t in total])
-        at = np.flatnonzero(flat)
-        yield pa.record_batch({"at": pa.array(at.astype(np.int32)), "value": pa.array(flat[at])})
-
-    added = np.zeros(sum(sizes))
-    rows = pool.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one for each element
-    added[rows["at"].to_numpy()] = rows["value"].to_numpy()
-    return [flat.reshape(-1, len(b)) for flat, b in zip(np.split(added, np.cumsum(sizes)[:-1]), points, strict=True)]
+        part = TaskContext.get().partitionId()
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "sums": pa.array([np.concatenate(total).tobytes()])})
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int32()), "sums": pa.array([_added(table["sums"].to_pylist(), sizes).tobytes()])})
+
+    rows, n_parts = pool.mapInArrow(run, PARTS), pool.rdd.getNumPartitions()
+    while n_parts > FAN_IN:
+        rows, n_parts = rows.groupBy((F.col("part") / FAN_IN).cast("int")).applyInArrow(add, PARTS), -(-n_parts // FAN_IN)
+    added = _added([r.sums for r in sorted(rows.collect())], sizes)  # at most FAN_IN
+    return np.split(added, np.cumsum(sizes)[:-1])
+
+
+def _added(rows: list[bytes], sizes: list[int]) -> np.ndarray:
+    total = np.zeros(sum(sizes))
+    for raw in rows:
+        total += np.frombuffer(raw, np.float64)
+    return total
 
 
 def _margins(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
