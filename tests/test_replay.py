@@ -215,3 +215,37 @@ def test_tenants_do_not_match(spark):
     assert sorted((r.id, r.tenant_id, r.customer_id) for r in out.jobs.collect()) == [
         (1, 1, 1), (2, 2, 2), (3, 1, 1)]
     assert sorted((r.id, r.tenant_id) for r in out.customers.collect()) == [(1, 1), (2, 2)]
+
+
+def test_a_chain_is_looked_up_where_it_changed(spark, monkeypatch):
+    """Each reference is found by the e-mail that the one before it gave their customer.
+
+    So each round settles one more of them, and looks up no reference that was settled before.
+    """
+    n, bystanders = 6, 40
+    customers = [{"id": 1, "name": "A", "stage": "Quoted", "email": "m0", "phone": "", LINK.ref: "", LINK.modified: ""}]
+    blank = {f: "" for f in ("name", "phone", "address", "quote_value", "installation_value", "ext_status", "modified")}
+    events = []
+    for k in range(n):
+        events += [{"reference": f"r{k}", "email": f"m{k}"}, {"reference": f"r{k}", "email": f"m{k + 1}"}]
+    events += [{"reference": f"b{k}", "email": f"own{k}"} for k in range(bystanders)]
+    events = [{"seq": i, "reference": e["reference"], **blank, "email": e["email"]} for i, e in enumerate(events)]
+    events = [{k: e[k] for k in ("seq", "reference", "name", "email", "phone", "address", "quote_value",
+                                 "installation_value", "ext_status", "modified")} for e in events]
+    log, *_ = simulate(events, [], customers)
+    asked = []
+    kept = RP._Rounds.add
+
+    def add(self, df, number):
+        out = kept(self, df, number)
+        if self.label == "answers":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(RP._Rounds, "add", add)
+    ev, j, c = frames(spark, events, [{"id": 1, "customerId": 1, "title": "J", LINK.ref: "", LINK.modified: ""}], customers)
+    out = RP.replay(ev, j.limit(0), c, F.lit(NOW).cast("timestamp"))
+    assert sorted((r.seq, r.action, r.job_id, r.customer_id) for r in out.actions.collect()) == sorted(log)
+    assert [a for _, a, *_ in log[:2 * n]] == ["created-job", "updated-job"] * n
+    assert asked[0] == n + bystanders and len(asked) == out.rounds > n - 1
+    assert all(a <= n for a in asked[1:]) and asked[1:] == sorted(asked[1:], reverse=True)

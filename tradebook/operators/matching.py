@@ -10,6 +10,10 @@ from ..schemas import LINK, LinkFields
 from ..sources import tables
 from .prefix import CHUNK_BITS, prefix_fold
 
+# A key of the look-up table starts with its field's mark.
+REF_MARK, EMAIL_MARK, PHONE_MARK = "r:", "e:", "p:"
+MARKED = {REF_MARK: "ref_key", EMAIL_MARK: "email_key", PHONE_MARK: "phone_key"}
+
 
 def job_keys(jobs: DataFrame, link: LinkFields = LINK) -> DataFrame:
     """What matching needs from a job: link key, customer and the stored modification text.
@@ -117,42 +121,81 @@ def is_stale(incoming: Column, stored: Column) -> Column:
     return F.coalesce(blank_to_null(incoming) <= blank_to_null(stored), F.lit(False))
 
 
+def key_rows(jobs: DataFrame, customers: DataFrame) -> DataFrame:
+    """One row per key a record is found by: (key, is_customer, id, owner, stored).
+
+    A key starts with the mark of its field. Jobs are found by reference, customers by reference,
+    e-mail and phone; `owner` is the customer, `stored` the modification text held beside a reference.
+    """
+    def found(*keys: Column) -> Column:
+        return F.explode(F.array_compact(F.array(*keys)))
+
+    no_text = F.lit(None).cast("string")
+    of_jobs = jobs.select(
+        found(F.concat(F.lit(REF_MARK), "ref_key")).alias("key"), F.lit(False).alias("is_customer"),
+        F.col("job_id").alias("id"), F.col("customer_id").alias("owner"), "stored",
+    )
+    of_customers = customers.select(
+        found(*[F.concat(F.lit(mark), column) for mark, column in MARKED.items()]).alias("key"),
+        F.lit(True).alias("is_customer"), F.col("customer_id").alias("id"), F.col("customer_id").alias("owner"),
+        "stored",
+    )
+    by_reference = F.col("key").startswith(REF_MARK)
+    return of_jobs.unionByName(of_customers).withColumn("stored", F.when(by_reference, F.col("stored")).otherwise(no_text))
+
+
+def holders(keys: DataFrame) -> DataFrame:
+    """The first holder of each key of `key_rows`, a job before a customer: (key, is_customer, id, owner, stored)."""
+    return keys.groupBy("key").agg(
+        F.min(F.struct("is_customer", "id", "owner", "stored")).alias("_first")
+    ).select("key", "_first.*")
+
+
+def event_keys(events: DataFrame) -> Column:
+    """The marked keys of an event that are known."""
+    return F.array_compact(F.array(*[F.concat(F.lit(mark), events[column]) for mark, column in MARKED.items()]))
+
+
 def classify_event(events: DataFrame, jobs: DataFrame, customers: DataFrame) -> DataFrame:
     """What each event would do to the given tables, taken by itself.
 
     For a batch whose events build on one another see `replay`. Inputs are `project_events`,
-    `job_keys` and `customer_keys`; ids of records yet to be created are null.
+    `job_keys` and `customer_keys`; ids of records yet to be created are null. All three look-ups of
+    an event go to one table of first holders, which reads each input once.
     """
-    links = links_by_reference(jobs, customers).withColumn(
-        "_k", F.concat(F.lit("="), F.col("ref_key"))
-    ).drop("ref_key")
-    linked = events.withColumn("_k", spread_null(F.col("ref_key"), F.col("seq"))).join(
-        links, "_k", "left"
-    ).drop("_k")
-    # Identity is tried for unlinked events only.
-    free = F.col("linked").isNull() & F.col("ref_key").isNotNull()
-    tried = identity_match(
-        linked.withColumn("email_key", F.when(free, F.col("email_key")))
-        .withColumn("phone_key", F.when(free, F.col("phone_key"))), customers,
-    )
-    stale = is_stale(F.col("modified"), F.col("stored"))
-    by_job, by_customer = F.col("linked") == "job", F.col("linked") == "customer"
+    first = holders(key_rows(jobs, customers))
+    asked = events.select("seq", F.explode(event_keys(events)).alias("key"))
+
+    def by(mark: str, column: str) -> Column:
+        return F.min(F.when(F.col("key").startswith(mark), F.col(column))).alias(f"_{column}_{mark[0]}")
+
+    # At most one holder for each of the three keys, so an event's few rows fold to one.
+    looked = asked.join(first, "key").groupBy("seq").agg(
+        by(REF_MARK, "is_customer"), by(REF_MARK, "id"), by(REF_MARK, "stored"),
+        by(EMAIL_MARK, "id"), by(PHONE_MARK, "id"),
+    )
+    return _classified(events.select("seq", "reference", "ref_key", "modified").join(looked, "seq", "left"))
+
+
+def _classified(looked: DataFrame) -> DataFrame:
+    held, stale = F.col("_id_r").isNotNull(), is_stale(F.col("modified"), F.col("_stored_r"))
+    by_job, by_customer = held & ~F.col("_is_customer_r"), held & F.col("_is_customer_r")
+    found = F.coalesce("_id_e", "_id_p")
     action = (
         F.when(F.col("ref_key").isNull(), "skipped")
-        .when(F.col("linked").isNotNull() & stale, "skipped-stale")
+        .when(held & stale, "skipped-stale")
         .when(by_job, "updated-job")
         .when(by_customer, "updated-customer")
-        .when(F.col("matched_customer").isNotNull(), "created-job")
+        .when(found.isNotNull(), "created-job")
         .otherwise("created-customer")
     )
-    return tried.withColumn("action", action).select(
+    return looked.withColumn("action", action).select(
         "seq", "reference", "action",
         F.when(F.col("action") == "skipped", "no reference on project").alias("reason"),
-        F.col("linked_job").alias("job_id"),
-        F.when(by_customer, F.col("linked_customer"))
-        .when(F.col("action") == "created-job", F.col("matched_customer")).alias("customer_id"),
-        F.when(F.col("linked").isNotNull(), "reference").otherwise(F.col("matched_by"))
-        .alias("matched_by"),
+        F.when(by_job, F.col("_id_r")).alias("job_id"),
+        F.when(by_customer, F.col("_id_r")).when(F.col("action") == "created-job", found).alias("customer_id"),
+        F.when(held, "reference").when(F.col("ref_key").isNull(), None)
+        .when(F.col("_id_e").isNotNull(), "email").when(F.col("_id_p").isNotNull(), "phone").alias("matched_by"),
     )
 
 
@@ -186,17 +229,36 @@ def staleness_guard(
 
 
 def fold_sparse_updates(
-    events: DataFrame, key: str, order: str, fields: list[str], applied: str = "applied"
+    events: DataFrame, key: str, order: str, fields: list[str], applied: str = "applied",
+    is_stored: bool = False,
 ) -> DataFrame:
     """Per key the last non-empty value of each field among the applied events.
 
-    A plain aggregate, so hot keys are reduced before the shuffle.
+    Two steps: a hash aggregate finds the greatest position of each field, and the events at these
+    positions, at most one for each field of a key, are joined to it for the values. So all that is
+    aggregated by key is numbers, and hot keys are reduced before the shuffle. The events are stored
+    first unless they are; keys must not be null, and positions are unique within a key.
     """
-    def last(field: str) -> Column:
-        value = F.when(F.col(applied), blank_to_null(F.col(field)))
-        return F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(field)
-
-    return events.groupBy(key).agg(*[last(f) for f in fields])
+    given = events.select(
+        key, F.col(order).alias("_at"), *[F.when(F.col(applied), blank_to_null(F.col(f))).alias(f) for f in fields]
+    )
+    given = given if is_stored else tables.stored(given, "folded")
+    places = {f: f"_at_{i}" for i, f in enumerate(fields)}
+    last = given.groupBy(key).agg(*[
+        F.max(F.when(F.col(f).isNotNull(), F.col("_at"))).alias(at) for f, at in places.items()
+    ])
+    winners = last.select(key, *places.values(), F.explode(F.array_distinct(F.array_compact(F.array(*places.values())))).alias("_at"))
+    # A winner's values, each where it is the last one of its field.
+    values = F.filter(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(F.col("_at") == F.col(at), F.col(f)).alias("value"))
+        for i, (f, at) in enumerate(places.items())
+    ]), lambda x: x["value"].isNotNull())
+    found = winners.join(given, [key, "_at"]).groupBy(key).agg(
+        F.map_from_entries(F.flatten(F.collect_list(values))).alias("_values")
+    )
+    return last.select(key).join(found, key, "left").select(
+        key, *[F.col("_values")[i].alias(f) for i, f in enumerate(fields)]
+    )
 
 
 def apply_action_summary(classified: DataFrame) -> DataFrame:

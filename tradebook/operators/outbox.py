@@ -98,14 +98,10 @@ def _values(date: Column, who: Column, default_company: str) -> dict[str, Column
 
 def _with_customers(
     due: DataFrame, customers: DataFrame, tenant_id: int | None, test_email: str | None,
-    prune_customers: bool,
 ) -> DataFrame:
     """Due rows with customer, recipients and the reason why no message is possible."""
     if "reason" not in due.columns:
         due = due.withColumn("reason", F.lit(None).cast("string"))
-    if prune_customers:
-        wanted = due.select(F.col("customer_id").alias("id")).distinct()
-        customers = customers.join(wanted, "id", "left_semi")
     people = customers.select(
         F.col("id").alias("customer_id"),
         F.lit(True).alias("_found"),
@@ -134,18 +130,16 @@ def build_outbox(
     tenant_id: int | None = None,
     test_email: str | None = None,
     default_company: str = DEFAULT_COMPANY,
-    prune_customers: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Messages to send, and the requests that cannot be sent with the first reason.
 
     `due` comes from `due_reminders` or `attach_jobs`. With `tenant_id` that tenant's settings
     serve all messages, without it each message takes those of the customer's tenant. A test
-    address replaces the recipients. With `prune_customers` the customers are first cut down to
-    those asked for, which pays when `due` is a written table much smaller than the customers.
+    address replaces the recipients.
     """
     joined = template_lookup(
         settings_join(
-            _with_customers(due, customers, tenant_id, test_email, prune_customers), settings
+            _with_customers(due, customers, tenant_id, test_email), settings
         ), templates,
     ).withColumn("reason", F.coalesce("reason", F.when(
         F.col("subject").isNull() | F.col("body").isNull(), "template incomplete"

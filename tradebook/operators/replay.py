@@ -10,7 +10,12 @@ Three facts make this a set computation:
 So the targets of new references are the one fixed point of "look up each e-mail and phone among
 the customers as they would be at that moment, given the targets so far". Each round settles at
 least the next reference in time, usually all of them within a few rounds, and the loop ends only
-when a round changes nothing.
+when a round changes nothing. The first round looks everything up; a later one works out anew only
+the customers whose events came or went in the round before, and looks up again only the keys whose
+holders that changed. What a round works out is written once and read by later ones.
+
+The tables are reached through a `Snapshot`: the records that hold the keys of the events, and whole
+rows by id. So a stream can answer from a table of keys and from the parts of its tables concerned.
 
 "The customers as they would be at that moment" is a set of intervals (this customer had this
 e-mail from here to there). An interval is cut into the few aligned blocks that cover it, a
@@ -21,6 +26,7 @@ e-mail that most of the rows share.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,11 +37,13 @@ from ..functions.documents import (
 )
 from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS, LINK, LinkFields
+from ..session import scratch_dir
 from ..sources.tables import stored
 from .matching import (
-    customer_keys, fold_sparse_updates, is_stale, job_keys, links_by_reference, spread_null,
+    EMAIL_MARK, MARKED, PHONE_MARK, REF_MARK, customer_keys, event_keys, fold_sparse_updates, holders, is_stale,
+    job_keys, key_rows, spread_null,
 )
-from .prefix import CHUNK_BITS, prefix_fold
+from .prefix import CHUNK_BITS, NO_HOT_KEYS, hot_keys, prefix_fold
 from .snapshots import ordinal
 
 IDENTITY = ("name", "email", "phone", "address")
@@ -45,6 +53,35 @@ DEAL = ("quote_value", "installation_value", "ext_status", "modified")
 ENTITY = ["is_new", "num"]
 
 
+# Number and width of the fields whose keys are looked up: (field, mark of its keys, key column).
+IDENTITY_KEYS = (("e", EMAIL_MARK), ("p", PHONE_MARK))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The tables before the events: rows of the look-up table for distinct `key`s, whole rows for
+    distinct `id`s, and the highest ids."""
+
+    keys: Callable[[DataFrame], DataFrame]
+    jobs: Callable[[DataFrame], DataFrame]
+    customers: Callable[[DataFrame], DataFrame]
+    last_job: Column
+    last_customer: Column
+
+
+def whole_tables(jobs: DataFrame, customers: DataFrame, link: LinkFields = LINK) -> Snapshot:
+    """A snapshot that reads the tables themselves."""
+    def last(table: DataFrame) -> Column:
+        return F.coalesce(table.agg(F.max("id")).scalar(), F.lit(0))
+
+    return Snapshot(
+        keys=lambda asked: key_rows(job_keys(jobs, link), customer_keys(customers, link)).join(asked, "key", "left_semi"),
+        jobs=lambda ids: jobs.join(ids, "id", "left_semi"),
+        customers=lambda ids: customers.join(ids, "id", "left_semi"),
+        last_job=last(jobs), last_customer=last(customers),
+    )
+
+
 @dataclass(frozen=True)
 class Replayed:
     """`actions` has one row per event; the other two are whole table rows, changed or new."""
@@ -72,24 +109,27 @@ def _blocks(start: str, end: str, top: int) -> Column:
 
 
 
-def _intervals(facts: DataFrame, top: int, bits: int) -> DataFrame:
+def _intervals(facts: DataFrame, top: int, bits: int, few: bool) -> DataFrame:
     """Facts `(is_new, num, field, pos, key)` with the position `until` which each holds.
 
-    Most patches repeat what is known already, so only those that change a key are kept.
+    Most patches repeat what is known already, so only those that change a key are kept. With `few`
+    all of them fit a chunk; otherwise they are stored and counted.
     """
     group = [*ENTITY, "field"]
-    changes = prefix_fold(facts, group, "pos", {"_was": ("last", F.col("key"))}, bits).filter(
+    facts = facts if few else stored(facts, "facts")
+    hot = NO_HOT_KEYS if few else hot_keys(facts, group, bits)
+    changes = prefix_fold(facts, group, "pos", {"_was": ("last", F.col("key"))}, bits, hot).filter(
         ~F.col("key").eqNullSafe(F.col("_was"))
     )
     backwards = prefix_fold(
         changes.drop("_was").withColumn("_back", -F.col("pos")), group, "_back",
-        {"until": ("last", F.col("pos"))}, bits,
+        {"until": ("last", F.col("pos"))}, bits, hot,
     )
-    return backwards.withColumn("until", F.coalesce("until", F.lit(2**top).cast("long")))
+    return backwards.select(*INTERVAL[:-1], F.coalesce("until", F.lit(2**top).cast("long")).alias("until"))
 
 
 def _find(queries: DataFrame, intervals: DataFrame, top: int) -> DataFrame:
-    """For every `(ref_key, field, key, pos)` the first customer whose interval holds `pos`."""
+    """For every `(ref_key, field, key, pos)` the first customer whose interval holds `pos`, or null."""
     blocks = (
         intervals.select(*ENTITY, "key", F.explode(_blocks("pos", "until", top)).alias("_b"))
         .groupBy("key", F.col("_b.size").alias("size"), F.col("_b.block").alias("block"))
@@ -98,21 +138,26 @@ def _find(queries: DataFrame, intervals: DataFrame, top: int) -> DataFrame:
     asked = queries.select(
         "ref_key", "field", "key", "pos", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("size")
     ).withColumn("block", F.expr("shiftright(pos, size)"))
-    return asked.join(blocks, ["key", "size", "block"]).groupBy("ref_key").agg(
-        F.min(F.when(F.col("field") == "e", F.col("entity"))).alias("_by_email"),
-        F.min(F.when(F.col("field") == "p", F.col("entity"))).alias("_by_phone"),
-    ).select(
+    found = asked.join(blocks, ["key", "size", "block"]).groupBy("ref_key", "field").agg(F.min("entity").alias("entity"))
+    return queries.select("ref_key", "field").join(found, ["ref_key", "field"], "left")
+
+
+def _targets_of(answers: DataFrame) -> DataFrame:
+    """`(ref_key, found, matched_by)` from the answers of both fields."""
+    by_email, by_phone = (F.min(F.when(F.col("field") == field, F.col("entity"))) for field, _ in IDENTITY_KEYS)
+    return answers.groupBy("ref_key").agg(by_email.alias("_by_email"), by_phone.alias("_by_phone")).select(
         "ref_key", F.coalesce("_by_email", "_by_phone").alias("found"),
-        F.when(F.col("_by_email").isNotNull(), "email").otherwise("phone").alias("matched_by"),
+        F.when(F.col("_by_email").isNotNull(), "email")
+        .when(F.col("_by_phone").isNotNull(), "phone").alias("matched_by"),
     )
 
 
 def _key_facts(df: DataFrame, position: Column) -> DataFrame:
-    """One row per known e-mail and phone key, with the field's mark in front of the key."""
-    pairs = F.array(
-        F.struct(F.lit("e").alias("field"), F.concat(F.lit("e:"), "email_key").alias("key")),
-        F.struct(F.lit("p").alias("field"), F.concat(F.lit("p:"), "phone_key").alias("key")),
-    )
+    """One row per known e-mail and phone key, marked as in the look-up table."""
+    pairs = F.array(*[
+        F.struct(F.lit(field).alias("field"), F.concat(F.lit(mark), MARKED[mark]).alias("key"))
+        for field, mark in IDENTITY_KEYS
+    ])
     others = [c for c in df.columns if c in (*ENTITY, "ref_key")]
     return df.select(*others, position.cast("long").alias("pos"), F.explode(pairs).alias("_k")).select(
         *others, "pos", "_k.field", "_k.key"
@@ -121,62 +166,142 @@ def _key_facts(df: DataFrame, position: Column) -> DataFrame:
 
 # ---- the fixed point -------------------------------------------------------------------------
 
-def _targets(
-    marked: DataFrame, firsts: DataFrame, people: DataFrame, top: int, bits: int
-) -> tuple[DataFrame, int]:
-    """For each new reference the customer found (null: it makes one), and the rounds needed."""
-    queries = stored(_key_facts(firsts, F.col("first_seq")), "queries")
-    wanted = queries.select("key").distinct()
-    # A customer's first state matters only where its key is asked for: nothing ends by it.
-    base = _key_facts(
-        people.select(F.lit(0).alias("is_new"), F.col("customer_id").alias("num"),
-                      "email_key", "phone_key"), F.lit(0),
-    ).join(wanted, "key", "left_semi")
-    later = marked.filter(F.col("applied") & ~(F.col("linked").isNull() & F.col("is_first")))
-    settled = _key_facts(
-        later.filter(F.col("patched").isNotNull()).select(
-            F.lit(0).alias("is_new"), F.col("patched").alias("num"), "seq", "email_key", "phone_key"
-        ), F.col("seq") + 1,
-    )
-    known = stored(base.unionByName(settled), "known")
-    open_patches = stored(_key_facts(
-        later.filter(F.col("linked").isNull()).select("ref_key", "seq", "email_key", "phone_key"),
-        F.col("seq") + 1,
-    ), "open")
-    made = stored(_key_facts(
-        firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"),
-                      "email_key", "phone_key"), F.col("num") + 1,
-    ), "made")
-
-    targets = firsts.select(
-        "ref_key", "first_seq", F.lit(None).cast("struct<is_new: int, num: bigint>").alias("found"),
-        F.lit(None).cast("string").alias("matched_by"),
-    )
-    rounds = 0
-    while True:
-        rounds += 1
-        entities = targets.select(
-            "ref_key", F.coalesce("found.is_new", F.lit(1)).alias("is_new"),
-            F.coalesce("found.num", "first_seq").alias("num"),
+INTERVAL = [*ENTITY, "field", "pos", "key", "until"]
+
+
+class _Rounds:
+    """Rows written round by round; of rows with equal key those of the latest round hold."""
+
+    def __init__(self, label: str, key: list[str], schema: str):
+        self.label, self.key, self.schema = label, key, f"{schema}, round int"
+        self.folder: str | None = None
+
+    def add(self, df: DataFrame, number: int) -> DataFrame:
+        """Write a round's rows, and give them back."""
+        self.folder = self.folder or scratch_dir(df.sparkSession, self.label)
+        path = f"{self.folder}/round={number}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def all(self, of: DataFrame) -> DataFrame:
+        return of.sparkSession.read.schema(self.schema).parquet(self.folder)
+
+    def latest(self, keys: DataFrame) -> DataFrame:
+        """The rows that hold for some keys (columns of the key or a part of it, distinct)."""
+        rows = self.all(keys).join(keys, keys.columns, "left_semi")
+        values = [c for c in rows.columns if c not in (*self.key, "round")]
+        return rows.groupBy(*self.key).agg(F.max(F.struct("round", *values)).alias("_r")).select(
+            *self.key, *[F.col("_r")[v].alias(v) for v in values]
+        )
+
+
+class _Fixpoint:
+    """The targets of new references, by rounds in which only what changed is worked out again."""
+
+    def __init__(self, marked: DataFrame, firsts: DataFrame, base: DataFrame, top: int, bits: int, few: bool):
+        """`marked` is stored; with `few` all events and `base` keys together fit a chunk."""
+        self.top, self.bits, self.few = top, bits, few
+        self.firsts = firsts.select("ref_key", "first_seq", "email_key", "phone_key")
+        self.queries = stored(_key_facts(self.firsts, F.col("first_seq")), "queries")
+        self.wanted = self.queries.select("key").distinct()
+        # A customer's first state matters only where its key is asked for: nothing ends by it.
+        base = base.join(self.wanted, "key", "left_semi").select(
+            F.lit(0).alias("is_new"), F.col("id").alias("num"), F.lit(0).cast("long").alias("pos"),
+            F.substring("key", 1, 1).alias("field"), "key",
         )
-        makers = targets.filter(F.col("found").isNull()).select("ref_key")
-        # Written, since the folds below read them several times over.
-        facts = stored(
-            known.unionByName(made.join(makers, "ref_key", "left_semi").drop("ref_key"))
-            .unionByName(open_patches.join(entities, "ref_key").drop("ref_key")), "facts",
+        later = marked.filter(F.col("applied") & ~(F.col("linked").isNull() & F.col("is_first")))
+        settled = _key_facts(
+            later.filter(F.col("patched").isNotNull()).select(
+                F.lit(0).alias("is_new"), F.col("patched").alias("num"), "seq", "email_key", "phone_key"
+            ), F.col("seq") + 1,
         )
-        held = _intervals(facts, top, bits).join(wanted, "key", "left_semi")
-        found = _find(queries, held, top)
-        new = stored(
-            firsts.select("ref_key", "first_seq").join(found, "ref_key", "left"), "targets"
+        self.known = stored(base.unionByName(settled), "known")
+        self.open_patches = _key_facts(
+            later.filter(F.col("linked").isNull()).select("ref_key", "seq", "email_key", "phone_key"),
+            F.col("seq") + 1,
+        )
+        self.made = _key_facts(
+            self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"),
+                               "email_key", "phone_key"), F.col("num") + 1,
+        )
+        entity = "is_new int, num long"
+        self.intervals = _Rounds("intervals", [*ENTITY], f"{entity}, field string, pos long, key string, until long")
+        self.touched = _Rounds("touched", [*ENTITY], entity)
+        self.answers = _Rounds("answers", ["ref_key", "field"], "ref_key string, field string, entity struct<is_new: int, num: bigint>")
+        self.targets = _Rounds("targets", ["ref_key"], (
+            f"ref_key string, first_seq long, {entity}, is_found boolean, matched_by string, was_new int, was_num long"
+        ))
+
+    def _found(self, refs: DataFrame, answers: DataFrame) -> DataFrame:
+        """Targets of `(ref_key, first_seq)`: the customer found, or the one that the reference makes."""
+        return refs.join(_targets_of(answers), "ref_key", "left").withColumns({
+            "is_new": F.coalesce("found.is_new", F.lit(1)), "num": F.coalesce("found.num", "first_seq"),
+            "is_found": F.col("found").isNotNull(),
+        }).drop("found")
+
+    def _held(self, intervals: DataFrame, number: int) -> DataFrame:
+        """Those of some intervals that hold after a round: a customer's are replaced whenever it is touched."""
+        if number == 0:
+            return intervals.select(*INTERVAL)
+        latest = self.touched.all(intervals).filter(F.col("round") <= number).groupBy(*ENTITY).agg(F.max("round").alias("_latest"))
+        return intervals.join(latest, ENTITY, "left").filter(F.col("round") == F.coalesce("_latest", F.lit(0))).select(*INTERVAL)
+
+    def _intervals(self, facts: DataFrame, number: int) -> DataFrame:
+        held = _intervals(facts, self.top, self.bits, self.few).join(self.wanted, "key", "left_semi")
+        return self.intervals.add(held.select(*INTERVAL), number)
+
+    def _first_round(self) -> DataFrame:
+        """Everything looked up as if each new reference made a customer; the references that found one."""
+        own = self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
+        facts = self.known.unionByName(self.made.drop("ref_key")).unionByName(
+            self.open_patches.join(own, "ref_key").drop("ref_key"))
+        held = self._intervals(facts, 0)
+        answers = self.answers.add(_find(self.queries, held, self.top), 0)
+        found = self._found(self.firsts.select("ref_key", "first_seq"), answers)
+        return self.targets.add(found.withColumns({"was_new": F.lit(1), "was_num": F.col("first_seq")}), 0).filter("is_found")
+
+    def _facts_of(self, touched: DataFrame) -> DataFrame:
+        """What is known of some customers by the targets of now."""
+        own = self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num")).join(touched, ENTITY, "left_semi")
+        named = self.targets.all(touched).join(touched, ENTITY, "left_semi")
+        refs = own.select("ref_key").union(named.select("ref_key")).distinct()
+        now = self.targets.latest(refs).join(touched, ENTITY, "left_semi")
+        makers = now.filter(~F.col("is_found")).select("ref_key")
+        return (
+            self.known.join(touched, ENTITY, "left_semi")
+            .unionByName(self.made.join(makers, "ref_key", "left_semi").drop("ref_key"))
+            .unionByName(self.open_patches.join(now.select("ref_key", *ENTITY), "ref_key").drop("ref_key"))
+        )
+
+    def _next_round(self, number: int, changed: DataFrame) -> DataFrame:
+        """The references whose target changed, from those that changed in the round before."""
+        touched = self.touched.add(
+            changed.select(*ENTITY).union(changed.select("was_new", "was_num")).distinct(), number)
+        before = self._held(self.intervals.all(touched).join(touched, ENTITY, "left_semi"), number - 1)
+        now = self._intervals(self._facts_of(touched), number)
+        came_or_went = now.withColumn("_n", F.lit(1)).unionByName(before.withColumn("_n", F.lit(-1))).groupBy(*INTERVAL).agg(
+            F.sum("_n").alias("_n")).filter("_n <> 0")
+        keys = stored(came_or_went.select("key").distinct(), "keys")
+        asked = self.queries.join(keys, "key", "left_semi")
+        held = self._held(self.intervals.all(keys).join(keys, "key", "left_semi"), number)
+        refs = self.answers.add(_find(asked, held, self.top), number).select("ref_key").distinct()
+        old = self.targets.latest(refs)
+        new = self._found(old.select("ref_key", "first_seq"), self.answers.latest(refs))
+        was = old.select("ref_key", F.col("is_new").alias("was_new"), F.col("num").alias("was_num"), F.col("matched_by").alias("_by"))
+        moved = new.join(was, "ref_key").filter(
+            (F.col("is_new") != F.col("was_new")) | (F.col("num") != F.col("was_num")) | ~F.col("matched_by").eqNullSafe(F.col("_by"))
         )
-        changed = new.join(
-            targets.select("ref_key", F.col("found").alias("_old")), "ref_key"
-        ).filter(~F.col("found").eqNullSafe(F.col("_old")))
-        done = changed.isEmpty()
-        targets = new
-        if done:
-            return targets, rounds
+        return self.targets.add(moved.drop("_by"), number)
+
+    def run(self) -> tuple[DataFrame, int]:
+        """For each new reference the customer found (null: it makes one), and the rounds needed."""
+        number, changed = 0, self._first_round()
+        while not changed.isEmpty():
+            number += 1
+            changed = self._next_round(number, changed)
+        found = self.targets.latest(self.firsts.select("ref_key"))
+        entity = F.when(F.col("is_found"), F.struct(*ENTITY))
+        return found.select("ref_key", "first_seq", entity.alias("found"), "matched_by"), number + 1
 
 
 # ---- documents -------------------------------------------------------------------------------
@@ -204,26 +329,40 @@ def replay(
 
     Keys hold the tenant, and new records belong to the tenant of the event that makes them.
 
-    Runs jobs of its own: the marked events and the targets of each round are written to the shared
+    Runs jobs of its own: the marked events and what each round works out are written to the shared
     folder.
     """
+    return replay_on(events, whole_tables(jobs, customers, link), now, link, bits)
+
+
+def replay_on(
+    events: DataFrame, snapshot: Snapshot, now: Column, link: LinkFields = LINK, bits: int = CHUNK_BITS,
+) -> Replayed:
+    """`replay` on tables that are reached through a snapshot."""
     # The events are few against the tables or read many times over, so they are written once, and
     # the tables are cut down to the keys the events name before anything is shuffled.
     events = stored(events, "events")
-    refs = events.select("ref_key").filter(F.col("ref_key").isNotNull()).distinct()
-    people = customer_keys(customers, link)
-    links = stored(links_by_reference(
-        job_keys(jobs, link).join(refs, "ref_key", "left_semi"),
-        people.join(refs, "ref_key", "left_semi"),
-    ), "links")
+    asked = events.select(F.explode(event_keys(events)).alias("key")).distinct()
+    held = stored(snapshot.keys(asked), "held")
+    # Where all rows of a fold fit a chunk, no key needs to be counted.
+    n_rows = 3 * events.count() + held.count()
+    few = n_rows <= 2**bits
+    hot = NO_HOT_KEYS if few else None
+    by_reference = F.col("key").startswith(REF_MARK)
+    links = holders(held.filter(by_reference)).select(
+        F.substring("key", len(REF_MARK) + 1, 2**31 - 1).alias("ref_key"),
+        F.when(F.col("is_customer"), "customer").otherwise("job").alias("linked"),
+        F.when(~F.col("is_customer"), F.col("id")).alias("linked_job"),
+        F.col("owner").alias("linked_customer"), "stored",
+    )
 
     # -- which events apply, and whom they patch
     keyed = events.filter(F.col("ref_key").isNotNull()).join(links, "ref_key", "left")
     folded = prefix_fold(keyed, ["ref_key"], "seq", {
         "_seen": ("max", blank_to_null(F.col("modified"))), "_before": ("sum", F.lit(1)),
-    }, bits)
-    owners = links.select(F.col("linked_customer").alias("id")).distinct()
-    present = customers.select("id", "tenant_id").join(owners, "id", "left_semi").select(
+    }, bits, hot)
+    owners = links.select(F.col("linked_customer").alias("id")).filter("id is not null").distinct()
+    present = snapshot.customers(owners).select(
         F.concat(F.lit("="), "id").alias("_k"), F.col("id").alias("_owner"),
         F.col("tenant_id").alias("_owner_tenant"),
     )
@@ -245,38 +384,36 @@ def replay(
         marked.filter(F.col("linked").isNull() & F.col("is_first"))
         .withColumnRenamed("seq", "first_seq")
     )
-    targets, rounds = _targets(marked, firsts, people, top, bits)
-
-    last_customer = F.coalesce(customers.agg(F.max("id")).scalar(), F.lit(0))
-    last_job = F.coalesce(jobs.agg(F.max("id")).scalar(), F.lit(0))
+    targets, rounds = _Fixpoint(marked, firsts, held.filter(~by_reference), top, bits, few).run()
+    targets = stored(targets, "targets")
     makers = ordinal(targets.filter(F.col("found").isNull()), "first_seq", "_n").select(
-        "ref_key", "first_seq", (last_customer + F.col("_n")).alias("made_customer")
+        "ref_key", "first_seq", (snapshot.last_customer + F.col("_n")).alias("made_customer")
     )
-    holders = ordinal(targets.filter(F.col("found").isNotNull()), "first_seq", "_n").withColumn(
-        "made_job", last_job + F.col("_n")
+    found_jobs = ordinal(targets.filter(F.col("found").isNotNull()), "first_seq", "_n").withColumn(
+        "made_job", snapshot.last_job + F.col("_n")
     ).join(
         makers.select(F.struct(F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
                       .alias("found"), F.col("made_customer").alias("_owner")), "found", "left",
     ).withColumn("owner", F.coalesce("_owner", "found.num"))
-    resolved = stored(makers.select(
+    resolved = makers.select(
         "ref_key", F.lit("customer").alias("new_kind"), F.lit(None).cast("long").alias("made_job"),
         F.col("made_customer").alias("owner"), F.lit(None).cast("string").alias("matched_by"),
-    ).unionByName(holders.select(
+    ).unionByName(found_jobs.select(
         "ref_key", F.lit("job").alias("new_kind"), "made_job", "owner", "matched_by"
-    )), "resolved")
+    ))
 
-    full = marked.join(resolved, "ref_key", "left").withColumn(
+    full = stored(marked.join(resolved, "ref_key", "left").withColumn(
         "target", F.coalesce("linked", "new_kind")
     ).withColumn("starts", F.col("linked").isNull() & F.col("is_first")).withColumn(
         "job", F.when(F.col("target") == "job", F.coalesce("linked_job", "made_job"))
     ).withColumn("customer", F.when(F.col("linked").isNull(), F.col("owner")).otherwise(
         F.col("patched")
-    ))
+    )), "full")
 
     return Replayed(
         actions=_actions(events, full),
-        jobs=_job_rows(full, jobs, customers, now, link, bits),
-        customers=_customer_rows(full, customers, now, link),
+        jobs=_job_rows(full, snapshot, now, link, bits, few),
+        customers=_customer_rows(full, snapshot, now, link),
         rounds=rounds,
     )
 
@@ -304,14 +441,14 @@ def _actions(events: DataFrame, full: DataFrame) -> DataFrame:
     return done.unionByName(skipped)
 
 
-def _titles(full: DataFrame, customers: DataFrame, bits: int) -> DataFrame:
+def _titles(full: DataFrame, snapshot: Snapshot, bits: int, few: bool) -> DataFrame:
     """Name of the customer found by each new job's first event, as it was at that moment."""
     asked = full.filter(F.col("starts") & (F.col("target") == "job"))
     queries = asked.select("customer", (F.col("seq") * 2 + 1).alias("pos"), "ref_key",
                            F.lit(None).cast("string").alias("_name"))
     owners = asked.select("customer").distinct()
     no_ref = F.lit(None).cast("string").alias("ref_key")
-    before = customers.select(
+    before = snapshot.customers(owners.withColumnRenamed("customer", "id")).select(
         F.col("id").alias("customer"), F.lit(0).cast("long").alias("pos"), no_ref,
         blank_to_null(F.col("name")).alias("_name"),
     )
@@ -326,25 +463,29 @@ def _titles(full: DataFrame, customers: DataFrame, bits: int) -> DataFrame:
     known = before.unionByName(made).unionByName(patches).filter(
         F.col("_name").isNotNull()
     ).join(owners, "customer", "left_semi")
+    names = known.unionByName(queries)
     return prefix_fold(
-        known.unionByName(queries), ["customer"], "pos", {"owner_name": ("last", F.col("_name"))}, bits
+        names if few else stored(names, "names"), ["customer"], "pos", {"owner_name": ("last", F.col("_name"))}, bits,
+        NO_HOT_KEYS if few else None,
     ).filter(F.col("ref_key").isNotNull()).select("ref_key", "owner_name")
 
 
 def _job_rows(
-    full: DataFrame, jobs: DataFrame, customers: DataFrame, now: Column, link: LinkFields, bits: int
+    full: DataFrame, snapshot: Snapshot, now: Column, link: LinkFields, bits: int, few: bool
 ) -> DataFrame:
     on_jobs = full.filter(F.col("target") == "job")
     deal = F.struct(*DEAL).alias("_f")
 
     changes = fold_sparse_updates(
-        on_jobs.filter(F.col("linked").isNotNull() & F.col("applied")), "job", "seq", list(DEAL)
+        on_jobs.filter(F.col("linked").isNotNull() & F.col("applied")), "job", "seq", list(DEAL), is_stored=True
     ).select(F.col("job").alias("id"), deal)
     overlay = with_fields(parsed(F.col("data_json")), {
         "id": _variant(F.col("id")), "customerId": _variant(F.col("customer_id")),
         "title": _variant(F.col("title")), "status": _variant(F.col("status")),
         "createdAt": _variant(_iso(F.col("created_at"))),
     })
+    changes = stored(changes, "job-changes")
+    jobs = snapshot.jobs(changes.select("id"))
     updated = jobs.join(changes, "id").withColumn("_doc", overlay).withColumns({
         "data_json": F.to_json(with_nonempty_fields(F.col("_doc"), _deal_texts(link))),
         "status": first_nonempty(F.col("status"), F.lit(DEFAULT_STATUS)),
@@ -352,7 +493,7 @@ def _job_rows(
     }).select(*jobs.columns)
 
     fresh = on_jobs.filter(F.col("linked").isNull())
-    folded = fold_sparse_updates(fresh, "ref_key", "seq", list(DEAL)).select("ref_key", deal)
+    folded = fold_sparse_updates(fresh, "ref_key", "seq", list(DEAL), is_stored=True).select("ref_key", deal)
     born = fresh.filter(F.col("starts")).select(
         "ref_key", "tenant_id", "job", "customer", "name", "reference"
     )
@@ -366,7 +507,7 @@ def _job_rows(
         "wonAt": _variant(_iso(now)), "tabs": F.parse_json(F.lit(EMPTY_TABS)),
     }.items() for c in (F.lit(k), v)]))
     inserted = (
-        born.join(folded, "ref_key").join(_titles(full, customers, bits), "ref_key", "left")
+        born.join(folded, "ref_key").join(_titles(full, snapshot, bits, few), "ref_key", "left")
         .select(
             F.col("job").alias("id"), "tenant_id",
             F.col("customer").alias("customer_id"), title.alias("title"),
@@ -378,16 +519,16 @@ def _job_rows(
 
 
 def _customer_rows(
-    full: DataFrame, customers: DataFrame, now: Column, link: LinkFields
+    full: DataFrame, snapshot: Snapshot, now: Column, link: LinkFields
 ) -> DataFrame:
     # Who a person is comes from every applied event but the one that opened a job.
     about_person = full.filter(
         F.col("customer").isNotNull() & F.col("applied")
         & ~(F.col("starts") & (F.col("target") == "job"))
     )
-    identity = fold_sparse_updates(about_person, "customer", "seq", list(IDENTITY))
+    identity = fold_sparse_updates(about_person, "customer", "seq", list(IDENTITY), is_stored=True)
     on_customers = full.filter((F.col("target") == "customer") & F.col("applied"))
-    deals = fold_sparse_updates(on_customers, "customer", "seq", list(DEAL))
+    deals = fold_sparse_updates(on_customers, "customer", "seq", list(DEAL), is_stored=True)
     changes = identity.join(deals, "customer", "left").select(
         F.col("customer").alias("id"), F.struct(*IDENTITY, *DEAL).alias("_f")
     )
@@ -397,6 +538,8 @@ def _customer_rows(
         "stage": _variant(F.col("stage")), "createdAt": _variant(_iso(F.col("created_at"))),
     })
     texts = {**{f: F.col(f"_f.{f}") for f in IDENTITY}, **_deal_texts(link)}
+    changes = stored(changes, "customer-changes")
+    customers = snapshot.customers(changes.select("id"))
     updated = customers.join(changes, "id").withColumn("_doc", overlay).withColumns({
         "data_json": F.to_json(with_nonempty_fields(F.col("_doc"), texts)),
         "name": F.coalesce(blank_to_null(F.col("_f.name")), F.col("name")),

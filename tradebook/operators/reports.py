@@ -141,7 +141,7 @@ def booking_calendar(jobs: DataFrame, customers: DataFrame) -> DataFrame:
         F.col("id").alias("customer_id"), F.from_json("data_json", "name string, address string")
         .alias("_c"),
     )
-    # The range of the sort is found by a pass of its own, so documents are parsed before it.
+    # Counted by key and then ranked, so documents are parsed and entries written once before that.
     entries = stored(calendar_entries(jobs).withColumn("_day", as_date(F.col("event_date"))), "calendar")
     ranked = ranged_rank(
         entries, ["fitter", "_day"],

@@ -170,9 +170,71 @@ def deals(events_df, jobs_before, customers_before, jobs, customers):
     )
 
 
-@query("replay_events")
+# Every applied event in turn. `st` holds what each step changed: customers by id with their e-mail and
+# phone of the moment (t = 'c'), targets of new references (t = 'r'), and the step with the last id (t = 'n').
+REPLAYED = GUARD + """
+, custk as (select id, tenant_id, case when email <> '' then tenant_id || ':' || lower(email) end as email_key,
+    tenant_id || ':' || phone as phone_key from cust)
+, steps as (
+  select row_number() over (order by m.seq) as n, m.seq, m.ref_key, m.email_key, m.phone_key,
+    coalesce(m.job_id, m.cust_id) is null as is_new, case when m.job_id is null then m.cust_id else o.id end as patched
+  from marked m left join custk o on o.id = m.job_owner and o.tenant_id = m.tenant_id
+  where m.applied)
+, st(t, k, n, email_key, phone_key, customer, matched_by) using key (t, k) as (
+  select 'n', '', 0, cast(null as varchar), cast(null as varchar), (select max(id) from cust), cast(null as varchar)
+  union all
+  select u.t, u.k, u.n, u.email_key, u.phone_key, u.customer, u.matched_by from (
+    select s.*, st.customer as last, r.customer as target,
+      (select min(id) from (
+        select cast(k as bigint) as id from recurring.st where t = 'c' and email_key = s.email_key
+        union all select id from custk c where c.email_key = s.email_key
+          and not exists (select 1 from recurring.st x where x.t = 'c' and x.k = cast(c.id as varchar)))) as by_email,
+      (select min(id) from (
+        select cast(k as bigint) as id from recurring.st where t = 'c' and phone_key = s.phone_key
+        union all select id from custk c where c.phone_key = s.phone_key
+          and not exists (select 1 from recurring.st x where x.t = 'c' and x.k = cast(c.id as varchar)))) as by_phone
+    from st join steps s on st.t = 'n' and s.n = st.n + 1
+      left join recurring.st r on r.t = 'r' and r.k = s.ref_key) e
+  left join recurring.st h on h.t = 'c' and h.k = cast(coalesce(e.patched, e.target) as varchar)
+  left join custk b on b.id = coalesce(e.patched, e.target),
+  lateral (
+    select 'n' as t, '' as k, e.n as n, cast(null as varchar) as email_key, cast(null as varchar) as phone_key,
+      e.last + case when e.is_new and e.target is null and e.by_email is null and e.by_phone is null then 1 else 0 end
+        as customer, cast(null as varchar) as matched_by
+    union all
+    select 'r', e.ref_key, e.n, null, null, coalesce(e.by_email, e.by_phone, e.last + 1),
+      case when e.by_email is not null then 'email' when e.by_phone is not null then 'phone' end
+    where e.is_new and e.target is null
+    union all
+    select 'c', cast(e.last + 1 as varchar), e.n, e.email_key, e.phone_key, null, null
+    where e.is_new and e.target is null and e.by_email is null and e.by_phone is null
+    union all
+    select 'c', cast(coalesce(e.patched, e.target) as varchar), e.n,
+      coalesce(e.email_key, case when h.k is null then b.email_key else h.email_key end),
+      coalesce(e.phone_key, case when h.k is null then b.phone_key else h.phone_key end), null, null
+    where coalesce(e.patched, e.target) is not null) u)
+, made as (
+  select k as ref_key, customer, matched_by, n as first_n, case when matched_by is not null then
+    (select max(id) from job) + row_number() over (partition by matched_by is null order by n) end as job_id
+  from st where t = 'r')
+, shown as (
+  select m.seq, m.reference, m.applied, row_number() over (partition by m.ref_key order by m.seq) = 1
+      and made.ref_key is not null as starts,
+    case when coalesce(m.job_id, made.job_id) is null then 'customer' else 'job' end as kind,
+    coalesce(m.job_id, made.job_id) as job_id, coalesce(made.customer, m.cust_id) as customer_id, made.matched_by
+  from marked m left join made on made.ref_key = m.ref_key)
+select seq, reference, case when starts then 'created-' || kind when applied then 'updated-' || kind
+    else 'skipped-stale' end as action, cast(null as varchar) as reason, job_id,
+  case when kind = 'customer' or starts then customer_id end as customer_id,
+  case when starts then matched_by else 'reference' end as matched_by from shown
+union all
+select seq, reference, 'skipped', 'no reference on project', null, null, null from pe where ref_key is null
+"""
+
+
+@query("replay_events", REPLAYED, recursive=True)
 def replay_events(spark, sf):
-    """Every event applied in turn; checked against a one-by-one simulation in the tests."""
+    """Every event applied in turn."""
     return RP.replay(events(spark, sf), S.jobs(spark, sf), S.customers(spark, sf), now()).actions
 
 

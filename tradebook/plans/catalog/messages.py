@@ -155,6 +155,25 @@ def due_from_schedule(spark, sf):
     )
 
 
+def kept_schedule(spark, sf):
+    """A schedule of the jobs as they were before the last save, renewed by two batches of saves."""
+    schedule = daily.schedule_table(spark, f"{scratch_dir(spark, 'kept')}/schedule")
+    before, now = S.jobs(spark, sf, before=True), S.jobs(spark, sf)
+    schedule.start(daily.monthly_schedule(before))
+    for batch_id in (0, 1):
+        mine = F.col("id") % 2 == batch_id
+        daily.record_schedule(schedule, before.filter(mine), now.filter(mine), batch_id)
+    return schedule
+
+
+@query("maintained_schedule", DUE + "select job_id, booking_id, kind, event_date, days_until from due")
+def maintained_schedule(spark, sf):
+    """The same reminders from a schedule that was kept up to date, not from the documents."""
+    return daily.scheduled_due(kept_schedule(spark, sf), S.RUN_DATE).select(
+        "job_id", "booking_id", "kind", "event_date", "days_until"
+    )
+
+
 _register_due()
 _register_booked()
 
@@ -348,6 +367,28 @@ def daily_reminder_run(spark, sf):
     return daily.messages_as_text(outbox)
 
 
+@query("scheduled_reminder_run", DUE + rendered("due") + RESULTS_SQL + """
+select due.job_id, due.booking_id, due.kind, due.event_date, due.days_until from due
+where not exists (
+  select 1 from msg join res on res.job_id = msg.job_id and res.kind = msg.kind
+  where msg.booking_id is null and res.status = 'Succeeded' and msg.job_id = due.job_id and msg.kind = due.kind)
+""")
+def scheduled_reminder_run(spark, sf):
+    """What stays due of the day after its run from the schedule, whose results were marked."""
+    schedule = kept_schedule(spark, sf)
+    jobs = S.jobs(spark, sf)
+    outbox, _ = daily.daily_reminder_run(
+        spark, jobs, S.customers(spark, sf), S.settings(spark, sf), S.RUN_DATE,
+        scratch_dir(spark, "daily"), schedule=schedule,
+    )
+    daily.close_daily_run(
+        jobs, outbox, send_results(spark, sf), F.lit(S.RUN_DATE).cast("date"), schedule=schedule, batch_id=2
+    )
+    return daily.scheduled_due(schedule, S.RUN_DATE).select(
+        "job_id", "booking_id", "kind", "event_date", "days_until"
+    )
+
+
 @query("save_jobs", BOOKED + rendered("booked") + "select * from msg")
 def save_jobs(spark, sf):
     changes = S.jobs(spark, sf).select("id", "tenant_id", "customer_id", "data_json")

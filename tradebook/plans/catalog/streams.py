@@ -18,6 +18,10 @@ from .messages import BOOKED
 
 
 
+# The test tables are small.
+FEW_BUCKETS = 8
+
+
 def halves(df):
     """The deliveries of the first half of the month, then the others."""
     early = F.col("received_at") < F.lit("2024-01-16").cast("timestamp")
@@ -44,24 +48,21 @@ def stream_capture(spark, sf):
 def applied(spark, sf):
     """Folder of tables to which all deliveries were applied in two batches."""
     folder = scratch_dir(spark, "apply")
-    jobs, customers = ST.crm_tables(spark, f"{folder}/tables")
+    jobs, customers = ST.crm_tables(spark, f"{folder}/tables", FEW_BUCKETS)
     jobs.start(S.jobs(spark, sf))
     customers.start(S.customers(spark, sf))
     for part in halves(D.capture_raw_event(S.deliveries(spark, sf))):
         part.write.mode("append").parquet(f"{folder}/captured")
         ST.stream_apply(
-            spark, f"{folder}/captured", f"{folder}/tables", f"{folder}/checkpoint"
+            spark, f"{folder}/captured", f"{folder}/tables", f"{folder}/checkpoint", buckets=FEW_BUCKETS
         ).awaitTermination()
     return f"{folder}/tables"
 
 
 @query("stream_apply", DEALS)
 def stream_apply(spark, sf):
-    jobs, customers = ST.crm_tables(spark, applied(spark, sf))
-    return deals(
-        events(spark, sf), S.jobs(spark, sf), S.customers(spark, sf), jobs.current(),
-        customers.current(),
-    )
+    jobs, customers = ST.published_tables(spark, applied(spark, sf), FEW_BUCKETS)
+    return deals(events(spark, sf), S.jobs(spark, sf), S.customers(spark, sf), jobs, customers)
 
 
 @query("stream_staleness", GUARD + "select seq, not applied as stale from marked")
@@ -77,16 +78,14 @@ select job_id, booking_id, kind, customer_id, message_date, message_fitters from
 """)
 def stream_booking_transitions(spark, sf):
     folder = scratch_dir(spark, "versions")
-    ChangingTable(spark, f"{folder}/state", ST.VERSIONS).start(
-        spark.createDataFrame([], ST.VERSIONS)
-    )
+    ST.version_state(spark, f"{folder}/state", FEW_BUCKETS).start(spark.createDataFrame([], ST.VERSIONS))
     for version, before in enumerate((True, False)):
         saved = S.jobs(spark, sf, before=before).select(
             "id", "customer_id", F.lit(version).cast("long").alias("version"), "data_json"
         )
         saved.write.mode("append").parquet(f"{folder}/versions")
         ST.stream_booking_transitions(
-            spark, f"{folder}/versions", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint"
+            spark, f"{folder}/versions", f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", buckets=FEW_BUCKETS
         ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").filter(
         F.col("kind").isin(list(BOOKED_KINDS))

@@ -15,8 +15,8 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
-def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under the operator's name; `check` is SQL over the flat tables."""
+def query(name: str, check: str | None = None, recursive: bool = False) -> Callable[[Query], Query]:
+    """Register a query under the operator's name; `check` is SQL over the flat tables, `recursive` if a CTE is."""
 
     def register(run: Query) -> Query:
         def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = pinned
         if check is not None:
-            CHECKS[name] = check_sql(check)
+            sql = check_sql(check)
+            CHECKS[name] = sql.replace("with ", "with recursive ", 1) if recursive else sql
         return run
 
     return register
