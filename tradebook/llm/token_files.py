@@ -23,7 +23,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -116,13 +116,17 @@ class PieceEncoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Rows of the pieces among those known; learns what is new."""
-        new = [p for p in pieces if p not in self.known]
-        if new:
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(map(pieces.__getitem__, unknown)))
             if len(self.known) + len(new) > REMEMBERED:
                 self._forget()
-                new = [p for p in pieces if p not in self.known]
-            self._learn(list(dict.fromkeys(new)))
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+                unknown = range(len(pieces))
+                new = list(dict.fromkeys(p for p in pieces if p not in self.known))
+            if new:
+                self._learn(new)
+            at[unknown] = np.fromiter(map(self.known.__getitem__, map(pieces.__getitem__, unknown)), np.int64, len(unknown))
         self.used[at] += 1
         return at
 
