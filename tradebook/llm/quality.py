@@ -217,13 +217,15 @@ def _pool(docs: DataFrame, labels: DataFrame, seeds: dict[str, Seed]) -> DataFra
     """Features x of all documents without a label of some target, and free_<target>."""
     has = labels.filter("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.col(t).isNotNull()).alias(f"has_{t}") for t in seeds])
     has = written(has, "labelled")
+    # Tasks get the chosen words alone, not the sample's features.
+    chosen = {t: s.chosen for t, s in seeds.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b for whole in batches for b in slices(whole)):
             text, bucket, shape = text_features(batch["text"].to_pylist())
             meta = metadata_features(batch)
             places = np.stack([meta[:, :SOURCES].argmax(1), meta[:, SOURCES:-2].argmax(1)], 1).astype(np.uint8)
-            bits = [np.packbits(presence(text, bucket, s.chosen, batch.num_rows).astype(bool), axis=1) for s in seeds.values()]
+            bits = [np.packbits(presence(text, bucket, c, batch.num_rows).astype(bool), axis=1) for c in chosen.values()]
             numbers = np.ascontiguousarray(np.hstack([shape, meta[:, -2:]]))
             x = np.hstack([numbers.view(np.uint8).reshape(batch.num_rows, -1), places, *bits])
             yield pa.record_batch({"doc_id": batch["doc_id"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
@@ -235,8 +237,8 @@ def _pool(docs: DataFrame, labels: DataFrame, seeds: dict[str, Seed]) -> DataFra
     return written(rows.filter(" or ".join(free)), "unlabelled")
 
 
-def unpacked(column: pa.Array, seeds: dict[str, Seed]) -> dict[str, list[np.ndarray]]:
-    """Both views of each target from the pool's x."""
+def unpacked(column: pa.Array, chosen: dict[str, int]) -> dict[str, list[np.ndarray]]:
+    """Both views of each target from the pool's x and the number of words chosen for it."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     at = 8 * (N_SHAPE + 2)
     numbers = np.ascontiguousarray(raw[:, :at]).view(np.float64)
@@ -246,9 +248,9 @@ def unpacked(column: pa.Array, seeds: dict[str, Seed]) -> dict[str, list[np.ndar
     meta[:, -2:] = numbers[:, N_SHAPE:]
     at += 2
     out = {}
-    for target, s in seeds.items():
-        width = -(-len(s.chosen) // 8)
-        out[target] = [np.hstack([numbers[:, :N_SHAPE], np.unpackbits(raw[:, at : at + width], axis=1)[:, : len(s.chosen)]]), meta]
+    for target, n in chosen.items():
+        width = -(-n // 8)
+        out[target] = [np.hstack([numbers[:, :N_SHAPE], np.unpackbits(raw[:, at : at + width], axis=1)[:, :n]]), meta]
         at += width
     return out
 
@@ -256,11 +258,13 @@ def unpacked(column: pa.Array, seeds: dict[str, Seed]) -> dict[str, list[np.ndar
 def pool_sums(pool: DataFrame, seeds: dict[str, Seed], history: dict[str, list], betas: dict[tuple[str, int], np.ndarray]) -> dict:
     """For each target and view of `betas`, the sums of all pseudo-labelled documents at half weight."""
     sizes = [(len(b) + 1) * len(b) for b in betas.values()]
+    # The sample's features stay on the driver: a closure is sent anew for every step.
+    chosen = {t: len(s.chosen) for t, s in seeds.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros((len(b) + 1, len(b))) for b in betas.values()]
         for batch in batches:
-            views = unpacked(batch["x"], seeds)
+            views = unpacked(batch["x"], chosen)
             for (target, v), beta, own in zip(betas, betas.values(), total, strict=True):
                 label = pseudo(views[target], history[target], v)
                 has = ~np.isnan(label) & batch[f"free_{target}"].to_numpy(zero_copy_only=False)
