@@ -238,7 +238,7 @@ def test_a_chain_is_looked_up_where_it_changed(spark, monkeypatch):
 
     def add(self, df, number):
         out = kept(self, df, number)
-        if self.label == "answers":
+        if self.label == "targets":
             asked.append(out.count())
         return out
 

@@ -129,7 +129,8 @@ def _intervals(facts: DataFrame, top: int, bits: int, few: bool) -> DataFrame:
 
 
 def _find(queries: DataFrame, intervals: DataFrame, top: int) -> DataFrame:
-    """For every `(ref_key, field, key, pos)` the first customer whose interval holds `pos`, or null."""
+    """For every `ref_key` of `(ref_key, field, key, pos)` which fields were asked, as `asked_<field>`, and
+    the first customer whose interval holds `pos`, as `new_<field>` (null: none)."""
     blocks = (
         intervals.select(*ENTITY, "key", F.explode(_blocks("pos", "until", top)).alias("_b"))
         .groupBy("key", F.col("_b.size").alias("size"), F.col("_b.block").alias("block"))
@@ -138,17 +139,12 @@ def _find(queries: DataFrame, intervals: DataFrame, top: int) -> DataFrame:
     asked = queries.select(
         "ref_key", "field", "key", "pos", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("size")
     ).withColumn("block", F.expr("shiftright(pos, size)"))
-    found = asked.join(blocks, ["key", "size", "block"]).groupBy("ref_key", "field").agg(F.min("entity").alias("entity"))
-    return queries.select("ref_key", "field").join(found, ["ref_key", "field"], "left")
-
-
-def _targets_of(answers: DataFrame) -> DataFrame:
-    """`(ref_key, found, matched_by)` from the answers of both fields."""
-    by_email, by_phone = (F.min(F.when(F.col("field") == field, F.col("entity"))) for field, _ in IDENTITY_KEYS)
-    return answers.groupBy("ref_key").agg(by_email.alias("_by_email"), by_phone.alias("_by_phone")).select(
-        "ref_key", F.coalesce("_by_email", "_by_phone").alias("found"),
-        F.when(F.col("_by_email").isNotNull(), "email")
-        .when(F.col("_by_phone").isNotNull(), "phone").alias("matched_by"),
+    found = asked.join(blocks, ["key", "size", "block"]).select("ref_key", "field", "entity")
+    rows = found.unionByName(queries.select("ref_key", "field"), allowMissingColumns=True)
+    of_field = [(f, F.col("field") == f) for f, _ in IDENTITY_KEYS]
+    return rows.groupBy("ref_key").agg(
+        *[F.max(mine).alias(f"asked_{f}") for f, mine in of_field],
+        *[F.min(F.when(mine, F.col("entity"))).alias(f"new_{f}") for f, mine in of_field],
     )
 
 
@@ -170,10 +166,10 @@ INTERVAL = [*ENTITY, "field", "pos", "key", "until"]
 
 
 class _Rounds:
-    """Rows written round by round; of rows with equal key those of the latest round hold."""
+    """Rows written round by round."""
 
-    def __init__(self, label: str, key: list[str], schema: str):
-        self.label, self.key, self.schema = label, key, f"{schema}, round int"
+    def __init__(self, label: str, schema: str):
+        self.label, self.schema = label, f"{schema}, round int"
         self.folder: str | None = None
 
     def add(self, df: DataFrame, number: int) -> DataFrame:
@@ -186,17 +182,18 @@ class _Rounds:
     def all(self, of: DataFrame) -> DataFrame:
         return of.sparkSession.read.schema(self.schema).parquet(self.folder)
 
-    def latest(self, keys: DataFrame) -> DataFrame:
-        """The rows that hold for some keys (columns of the key or a part of it, distinct)."""
-        rows = self.all(keys).join(keys, keys.columns, "left_semi")
-        values = [c for c in rows.columns if c not in (*self.key, "round")]
-        return rows.groupBy(*self.key).agg(F.max(F.struct("round", *values)).alias("_r")).select(
-            *self.key, *[F.col("_r")[v].alias(v) for v in values]
-        )
+
+ENTITY_TYPE = "struct<is_new: int, num: bigint>"
+# A reference's answers and target after a round, what the target was before, and whether it moved.
+TARGET = ["first_seq", "found_e", "found_p", "entity", "was", "moved"]
 
 
 class _Fixpoint:
-    """The targets of new references, by rounds in which only what changed is worked out again."""
+    """The targets of new references, by rounds in which only what changed is worked out again.
+
+    A customer is touched by a round if a target moved to or away from it in the round before: its
+    intervals are then replaced. All rows of a round are kept, and those of the latest one hold.
+    """
 
     def __init__(self, marked: DataFrame, firsts: DataFrame, base: DataFrame, top: int, bits: int, few: bool):
         """`marked` is stored; with `few` all events and `base` keys together fit a chunk."""
@@ -224,84 +221,91 @@ class _Fixpoint:
             self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"),
                                "email_key", "phone_key"), F.col("num") + 1,
         )
-        entity = "is_new int, num long"
-        self.intervals = _Rounds("intervals", [*ENTITY], f"{entity}, field string, pos long, key string, until long")
-        self.touched = _Rounds("touched", [*ENTITY], entity)
-        self.answers = _Rounds("answers", ["ref_key", "field"], "ref_key string, field string, entity struct<is_new: int, num: bigint>")
-        self.targets = _Rounds("targets", ["ref_key"], (
-            f"ref_key string, first_seq long, {entity}, is_found boolean, matched_by string, was_new int, was_num long"
-        ))
-
-    def _found(self, refs: DataFrame, answers: DataFrame) -> DataFrame:
-        """Targets of `(ref_key, first_seq)`: the customer found, or the one that the reference makes."""
-        return refs.join(_targets_of(answers), "ref_key", "left").withColumns({
-            "is_new": F.coalesce("found.is_new", F.lit(1)), "num": F.coalesce("found.num", "first_seq"),
-            "is_found": F.col("found").isNotNull(),
-        }).drop("found")
+        self.intervals = _Rounds("intervals", "is_new int, num long, field string, pos long, key string, until long")
+        self.targets = _Rounds("targets", "ref_key string, first_seq long, " + ", ".join(
+            f"{c} {ENTITY_TYPE}" for c in TARGET[1:5]) + ", moved boolean")
+
+    def _latest(self, rows: DataFrame, *more: str) -> DataFrame:
+        """Of some rows of the targets those of each reference's latest round; `more` columns are alike in all."""
+        return rows.groupBy("ref_key").agg(
+            F.max(F.struct("round", *TARGET)).alias("_t"), *[F.any_value(c).alias(c) for c in more]
+        ).select("ref_key", *[F.col("_t")[c].alias(c) for c in TARGET], *more)
+
+    def _touched(self, moved: DataFrame) -> DataFrame:
+        """The customers that targets moved to or away from."""
+        kept = [c for c in moved.columns if c == "round"]
+        return moved.select(F.explode(F.array("entity", "was")).alias("_e"), *kept).select("_e.*", *kept)
 
     def _held(self, intervals: DataFrame, number: int) -> DataFrame:
-        """Those of some intervals that hold after a round: a customer's are replaced whenever it is touched."""
+        """Those of some intervals that hold after a round."""
         if number == 0:
             return intervals.select(*INTERVAL)
-        latest = self.touched.all(intervals).filter(F.col("round") <= number).groupBy(*ENTITY).agg(F.max("round").alias("_latest"))
+        moved = self.targets.all(intervals).filter(F.col("moved") & (F.col("round") < number))
+        latest = self._touched(moved).groupBy(*ENTITY).agg((F.max("round") + 1).alias("_latest"))
         return intervals.join(latest, ENTITY, "left").filter(F.col("round") == F.coalesce("_latest", F.lit(0))).select(*INTERVAL)
 
-    def _intervals(self, facts: DataFrame, number: int) -> DataFrame:
+    def _replace(self, facts: DataFrame, number: int) -> DataFrame:
         held = _intervals(facts, self.top, self.bits, self.few).join(self.wanted, "key", "left_semi")
         return self.intervals.add(held.select(*INTERVAL), number)
 
     def _first_round(self) -> DataFrame:
         """Everything looked up as if each new reference made a customer; the references that found one."""
-        own = self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
+        own = F.struct(F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
+        as_makers = self.firsts.select("ref_key", own.alias("_e")).select("ref_key", "_e.*")
         facts = self.known.unionByName(self.made.drop("ref_key")).unionByName(
-            self.open_patches.join(own, "ref_key").drop("ref_key"))
-        held = self._intervals(facts, 0)
-        answers = self.answers.add(_find(self.queries, held, self.top), 0)
-        found = self._found(self.firsts.select("ref_key", "first_seq"), answers)
-        return self.targets.add(found.withColumns({"was_new": F.lit(1), "was_num": F.col("first_seq")}), 0).filter("is_found")
+            self.open_patches.join(as_makers, "ref_key").drop("ref_key"))
+        answers = _find(self.queries, self._replace(facts, 0), self.top)
+        found = self.firsts.select("ref_key", "first_seq").join(answers, "ref_key", "left").withColumns(
+            {"found_e": F.col("new_e"), "found_p": F.col("new_p"), "was": own})
+        return self.targets.add(self._moved(found, own), 0).filter("moved")
+
+    def _moved(self, found: DataFrame, own: Column) -> DataFrame:
+        """Rows of the targets from `(ref_key, first_seq, found_e, found_p, was)`."""
+        entity = F.coalesce("found_e", "found_p", own)
+        return found.withColumn("entity", entity).withColumn("moved", F.col("entity") != F.col("was")).select("ref_key", *TARGET)
 
     def _facts_of(self, touched: DataFrame) -> DataFrame:
         """What is known of some customers by the targets of now."""
-        own = self.firsts.select("ref_key", F.lit(1).alias("is_new"), F.col("first_seq").alias("num")).join(touched, ENTITY, "left_semi")
-        named = self.targets.all(touched).join(touched, ENTITY, "left_semi")
-        refs = own.select("ref_key").union(named.select("ref_key")).distinct()
-        now = self.targets.latest(refs).join(touched, ENTITY, "left_semi")
-        makers = now.filter(~F.col("is_found")).select("ref_key")
+        targets = self.targets.all(touched)
+        named = targets.join(touched, F.col("entity") == F.struct(*ENTITY), "left_semi").select("ref_key").distinct()
+        now = self._latest(targets.join(named, "ref_key", "left_semi")).join(
+            touched, F.col("entity") == F.struct(*ENTITY), "left_semi").select("ref_key", "entity.*", F.coalesce("found_e", "found_p").isNull().alias("_makes"))
+        makers = now.filter("_makes").select("ref_key")
         return (
             self.known.join(touched, ENTITY, "left_semi")
             .unionByName(self.made.join(makers, "ref_key", "left_semi").drop("ref_key"))
-            .unionByName(self.open_patches.join(now.select("ref_key", *ENTITY), "ref_key").drop("ref_key"))
+            .unionByName(self.open_patches.join(now.drop("_makes"), "ref_key").drop("ref_key"))
         )
 
-    def _next_round(self, number: int, changed: DataFrame) -> DataFrame:
-        """The references whose target changed, from those that changed in the round before."""
-        touched = self.touched.add(
-            changed.select(*ENTITY).union(changed.select("was_new", "was_num")).distinct(), number)
+    def _next_round(self, number: int, moved: DataFrame) -> DataFrame:
+        """The references whose target moved, from those that moved in the round before."""
+        touched = self._touched(moved).distinct()
         before = self._held(self.intervals.all(touched).join(touched, ENTITY, "left_semi"), number - 1)
-        now = self._intervals(self._facts_of(touched), number)
+        now = self._replace(self._facts_of(touched), number)
         came_or_went = now.withColumn("_n", F.lit(1)).unionByName(before.withColumn("_n", F.lit(-1))).groupBy(*INTERVAL).agg(
             F.sum("_n").alias("_n")).filter("_n <> 0")
         keys = stored(came_or_went.select("key").distinct(), "keys")
         asked = self.queries.join(keys, "key", "left_semi")
         held = self._held(self.intervals.all(keys).join(keys, "key", "left_semi"), number)
-        refs = self.answers.add(_find(asked, held, self.top), number).select("ref_key").distinct()
-        old = self.targets.latest(refs)
-        new = self._found(old.select("ref_key", "first_seq"), self.answers.latest(refs))
-        was = old.select("ref_key", F.col("is_new").alias("was_new"), F.col("num").alias("was_num"), F.col("matched_by").alias("_by"))
-        moved = new.join(was, "ref_key").filter(
-            (F.col("is_new") != F.col("was_new")) | (F.col("num") != F.col("was_num")) | ~F.col("matched_by").eqNullSafe(F.col("_by"))
-        )
-        return self.targets.add(moved.drop("_by"), number)
+        answers = _find(asked, held, self.top)
+        old = self._latest(self.targets.all(keys).join(answers, "ref_key"), *answers.columns[1:])
+        own = F.struct(F.lit(1).alias("is_new"), F.col("first_seq").alias("num"))
+        found = old.withColumns({
+            "was": F.col("entity"),
+            **{f"found_{f}": F.when(F.col(f"asked_{f}"), F.col(f"new_{f}")).otherwise(F.col(f"found_{f}")) for f, _ in IDENTITY_KEYS},
+        })
+        return self.targets.add(self._moved(found, own), number).filter("moved")
 
     def run(self) -> tuple[DataFrame, int]:
         """For each new reference the customer found (null: it makes one), and the rounds needed."""
-        number, changed = 0, self._first_round()
-        while not changed.isEmpty():
+        number, moved = 0, self._first_round()
+        while not moved.isEmpty():
             number += 1
-            changed = self._next_round(number, changed)
-        found = self.targets.latest(self.firsts.select("ref_key"))
-        entity = F.when(F.col("is_found"), F.struct(*ENTITY))
-        return found.select("ref_key", "first_seq", entity.alias("found"), "matched_by"), number + 1
+            moved = self._next_round(number, moved)
+        found = F.coalesce("found_e", "found_p")
+        by = F.when(F.col("found_e").isNotNull(), "email").when(F.col("found_p").isNotNull(), "phone")
+        return self._latest(self.targets.all(self.firsts)).select(
+            "ref_key", "first_seq", found.alias("found"), by.alias("matched_by")), number + 1
 
 
 # ---- documents -------------------------------------------------------------------------------
