@@ -22,7 +22,7 @@ from ..sources.tables import stored
 PLACE_BITS = 33
 
 # A chunk has at most 2 ** CHUNK_BITS rows.
-CHUNK_BITS = 16
+CHUNK_BITS = 20
 
 
 @dataclass(frozen=True)
