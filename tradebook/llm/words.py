@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 _U = np.uint64
+# Gives freed memory back to the system where the C library can: workers outlive their stage.
+_release = partial(getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0), 0)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 SLICE_BYTES = 2_000_000
@@ -27,24 +31,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_POWERS = [np.ones(1, _U), np.ones(1, _U)]
+# Powers of the base and of its inverse, for one block of values; those of a block's place are made from the last.
+_BLOCK = 1 << 16
+_POWERS, _INVERSES = (
+    np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(_BLOCK, base, _U)])) for base in (_BASE, _INVERSE)
+)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n, 1 << 16), base, _U)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+def _places(n: int, power: np.uint64) -> np.ndarray:
+    """The powers of a whole block, for n blocks."""
+    return np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(max(n - 1, 0), power, _U)]))
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], for many runs, from prefix sums modulo 2^64."""
-    p, q = _powers(len(values) + 1)
+def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Hash of values[start:end], for many runs, from prefix sums modulo 2^64; with `table`, of table[values]."""
     total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * p[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(_U))
+    n_blocks = len(values) // _BLOCK + 1
+    for i, scale in enumerate(_places(n_blocks, _POWERS[_BLOCK])):
+        part = total[i * _BLOCK + 1 : (i + 1) * _BLOCK + 1]
+        block = values[i * _BLOCK : (i + 1) * _BLOCK]
+        np.multiply(block if table is None else table[block], _POWERS[: len(part)], out=part)
+        np.cumsum(part, out=part)
+        part *= scale
+        part += total[i * _BLOCK]
+    out = total[ends]
+    out -= total[starts]
+    out *= _INVERSES[starts % _BLOCK]
+    if n_blocks > 1:
+        out *= _places(n_blocks, _INVERSES[_BLOCK])[starts // _BLOCK]
+    out += (ends - starts).astype(_U)
+    return mix(out)
 
 
 @dataclass
@@ -85,7 +101,7 @@ def words_of(texts: list[str | None], lower: bool = False, table: bytes | None =
     data = np.frombuffer(b"".join(b" ".join(s) + b" " for s in split if s), np.uint8)
     ends = np.flatnonzero(data == 32)
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    return Words(data, starts, ends, offsets, _runs(_BYTES[data], starts, ends))
+    return Words(data, starts, ends, offsets, _runs(data, starts, ends, _BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -97,3 +113,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         if b > a:
             yield batch.slice(a, b - a)
     pa.default_memory_pool().release_unused()
+    _release()
