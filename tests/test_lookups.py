@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from tradebook.operators import matching as M, prefix, reports
 from tradebook.plans import standins as S
 from tradebook.plans.catalog.events import events, guarded, keys
