@@ -37,8 +37,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not n:
         return left
     same = left["doc_id"].eqNullSafe(repeated["of_id"]) & (F.xxhash64(left["text"]) == repeated["of_text"])
-    once = left.join(small(repeated, n), same, "left_semi").withColumn("of_text", F.xxhash64("text"))
-    return left.join(small(repeated, n), same, "left_anti").union(once.dropDuplicates(["doc_id", "of_text"]).drop("of_text"))
+    whole = F.struct(*[left[c] for c in left.columns]).alias("row")  # so that no name of theirs can clash
+    copies = left.join(small(repeated, n), same, "left_semi").select("doc_id", F.xxhash64("text").alias("text_hash"), whole)
+    once = copies.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    return left.join(small(repeated, n), same, "left_anti").union(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +76,7 @@ STAGES = [
     ("token_files", tokens),
 ]
 
-# Sampling, models and signatures are beyond SQL; the tests hold run() against a plain version.
+# Sampling, models and signatures are beyond SQL; the tests hold each stage to its operator or to a plain version.
 ORACLE_SQL = None
 
 
