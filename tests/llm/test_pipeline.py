@@ -41,3 +41,17 @@ def test_near_dedup_keeps_one_row_of_a_class(spark, sf_dir):
     rows += [(None, "a text whose ids are all null " * 3, "en", "a", 1, "x")] * 4
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, FIELDS).repartition(3), sf_dir)
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 5, 7] and len(out.columns) == 6
+
+
+def test_names_that_clash_with_inner_ones(spark, sf_dir):
+    """Columns of the documents keep their values, whatever they are called."""
+    names = ["of_text", "of_id", "gone_id", "gone_text", "row", "tie", "mix_row", "mix_group", "part", "slot", "place", "block", "nth", "row_number", "text_hash"]
+    fields = FIELDS.replace(", gone_id string", "") + "".join(f", {n} long" for n in names)
+    rows = [(i // 2, f"some words of number {i // 2} and then some more of them", "en", f"src{i % 3}", 1, *range(i, i + len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, fields)
+    mixed = corpus_pipeline.mix(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == sorted(rows)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) <= set(rows)
+    assert len({r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()}) == corpus_pipeline.near_dedup(spark, docs, sf_dir).count() > 0

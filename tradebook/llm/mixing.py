@@ -20,12 +20,13 @@ import heapq
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import pin, written
+from .common import pin, small, written
 
 BLOCK = 16
 OTHER = "(other)"
 MAX_PERIOD = 100_000
-ROW = "mix_row"
+# Spark's increasing ids hold a row's place within its partition in their lower 33 bits.
+PLACE_BITS = 33
 # Documents per range.
 RANGE_ROWS = 100_000
 
@@ -52,12 +53,19 @@ def period(shares: dict[str, int]) -> list[str]:
 
 def schedule(docs: DataFrame, shares: dict[str, int], block: int = BLOCK, other_share: int = 1) -> DataFrame:
     """Per document: doc_id, text_hash, source, mix_group, block, slot, place (its row in the block)."""
-    return _places(docs.withColumn(ROW, F.monotonically_increasing_id()), shares, block, other_share).drop(ROW)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source")
+    return _places(rows, shares, block, other_share).select(
+        "doc_id", "text_hash", "source", "mix_group", "block", "slot", "place"
+    )
+
 
+def _places(rows: DataFrame, shares: dict[str, int], block: int, other_share: int = 1) -> DataFrame:
+    """The schedule of `(doc_id, text_hash, source)`, whose other columns are kept.
 
-def _places(docs: DataFrame, shares: dict[str, int], block: int, other_share: int = 1) -> DataFrame:
-    """The schedule of documents numbered by ROW, which it keeps."""
-    spark = pin(docs.sparkSession)
+    The rows move once, by range of their order, and are written sorted by group, so a row's rank is its
+    place in its file and the rows of its group in the files before.
+    """
+    spark = pin(rows.sparkSession)
     shares = {**shares, OTHER: other_share}
     slots = period(shares)
     seen: dict[str, int] = {}
@@ -69,33 +77,32 @@ def _places(docs: DataFrame, shares: dict[str, int], block: int, other_share: in
     size = F.broadcast(spark.createDataFrame(list(shares.items()), "mix_group string, share long"))
 
     named = F.when(F.col("source").isin([s for s in shares if s != OTHER]), F.col("source")).otherwise(F.lit(OTHER))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", ROW).withColumn("mix_group", named)
-    n = max(spark.sparkContext.defaultParallelism, -(-docs.count() // RANGE_ROWS))
-    order = ["doc_id", "text_hash", "source", ROW]
-    dealt = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    counts = dealt.groupBy("mix_group", "part").agg(F.count("*").alias("n"))
+    n = max(spark.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    order = ["doc_id", "text_hash", "source", "tie"]
+    tied = rows.withColumn("mix_group", named).withColumn("tie", F.monotonically_increasing_id())
+    dealt = written(
+        tied.repartitionByRange(n, *order).sortWithinPartitions("mix_group", *order)
+        .withColumn("row_number", F.monotonically_increasing_id()), "ranges",
+    ).withColumn("part", F.shiftright("row_number", PLACE_BITS))
+    counts = dealt.groupBy("mix_group", "part").agg(F.min("row_number").alias("first"), F.count("*").alias("n"))
     ahead = Window.partitionBy("mix_group").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(counts.select("mix_group", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset")), "offsets")
-    within = Window.partitionBy("part", "mix_group").orderBy(*order)
+    offsets = written(counts.select("mix_group", "part", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first")).alias("offset")), "offsets")
     ranked = (
-        dealt.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["mix_group", "part"])
-        .withColumn("rank", F.col("rank") + F.col("offset")).join(size, "mix_group")
+        dealt.join(small(offsets, offsets.count()), ["mix_group", "part"])
+        .withColumn("rank", F.col("row_number") + F.col("offset")).join(size, "mix_group")
         .withColumn("block", F.floor(F.col("rank") / block)).withColumn("nth", F.col("block") % F.col("share"))
     )
     return ranked.join(lookup, ["mix_group", "nth"]).select(
-        "doc_id", "text_hash", "source", "mix_group", "block",
+        *rows.columns, "mix_group", "block",
         (F.floor(F.col("block") / F.col("share")) * len(slots) + F.col("at")).alias("slot"),
-        (F.col("rank") % block).alias("place"), ROW,
+        (F.col("rank") % block).alias("place"),
     )
 
 
 def mixed(docs: DataFrame, shares: dict[str, int], block: int = BLOCK) -> DataFrame:
     """The documents with all their columns, partitions and rows in the order of the mix."""
-    pin(docs.sparkSession)
-    numbered = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    places = written(_places(numbered, shares, block), "mix").select(*[F.col(c).alias(f"at_{c}") for c in (ROW, "slot", "place")])
-    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-numbered.count() // RANGE_ROWS))
-    order = [places["at_slot"], places["at_place"]]
-    return numbered.join(places, numbered[ROW] == places[f"at_{ROW}"]).repartitionByRange(n, *order).sortWithinPartitions(*order).select(
-        *[numbered[c] for c in docs.columns]
-    )
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # so that no name of theirs can clash
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", whole)
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // RANGE_ROWS))
+    order = ["slot", "place"]
+    return _places(rows, shares, block).repartitionByRange(n, *order).sortWithinPartitions(*order).select("row.*")
