@@ -17,6 +17,9 @@ from ..schemas import LINK
 RUN_DATE = "1999-06-24"
 NOW = "2024-02-01 00:00:00"
 
+# Pieces that rows are dealt into before documents are made of them.
+TASKS_PER_CORE = 4
+
 CUSTOMER_SQL = """
 select c_custkey as id, cast(c_nationkey as bigint) as tenant_id, c_name as name,
   case when c_acctbal < 0 then 'New Enquiry' when c_acctbal < 2500 then 'Quoted'
@@ -146,16 +149,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _flat(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace(f"from {name}\n", "from {src}\n"), src=table(spark, sf_dir, name))
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to all cores: a file's row groups are fewer, and documents are costly to make."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _flat(spark: SparkSession, sf_dir: str, name: str, sql: str, even: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, name)
+    return spark.sql(sql.replace(f"from {name}\n", "from {src}\n"), src=spread(rows) if even else rows)
 
 
-def flat_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(spark, sf_dir, "customer", CUSTOMER_SQL)
+def flat_customers(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    return _flat(spark, sf_dir, "customer", CUSTOMER_SQL, even)
 
 
-def flat_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(spark, sf_dir, "orders", JOB_SQL)
+def flat_jobs(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    return _flat(spark, sf_dir, "orders", JOB_SQL, even)
 
 
 def bare_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +184,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "phone", "address", "sector", F.col("link_ref").alias(LINK.ref),
         F.col("link_modified").alias(LINK.modified), F.lit("kept").alias("unmodelled"),
     )
-    return once(flat_customers(spark, sf_dir), {"data_json": F.to_json(doc)}).select(
+    return once(flat_customers(spark, sf_dir, True), {"data_json": F.to_json(doc)}).select(
         "id", "tenant_id", "name", "stage", "data_json", "created_at",
         F.col("created_at").alias("updated_at"),
     )
@@ -244,7 +253,7 @@ def jobs(spark: SparkSession, sf_dir: str, before: bool = False) -> DataFrame:
         F.col("link_ref").alias(LINK.ref), F.col("link_modified").alias(LINK.modified),
         F.lit("kept").alias("unmodelled"), _job_tabs(before).alias("tabs"),
     )
-    return once(flat_jobs(spark, sf_dir), {"data_json": F.to_json(doc)}).select(
+    return once(flat_jobs(spark, sf_dir, True), {"data_json": F.to_json(doc)}).select(
         "id", "tenant_id", "customer_id", "title", "status", "data_json", "created_at",
         F.col("created_at").alias("updated_at"),
     )
@@ -254,7 +263,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw webhook deliveries: projects, other JSON, JSON null, plain text, mistyped values."""
     flat = _flat(spark, sf_dir, "events", EVENT_SQL.format(
         **SPARK_TERMS, src="{src}"
-    ))
+    ), True)
 
     def pair(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
