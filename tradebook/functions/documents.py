@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -166,6 +169,27 @@ def with_path(document: Column, path: list[str], value: Column) -> Column:
     return with_fields(document, {head: value})
 
 
+def with_marked_paths(document: Column, changes: list[tuple[list[str], Column, Column]]) -> Column:
+    """`with_path` for every `(path, flag, value)` whose flag is set (it is not null), each object rebuilt once.
+
+    No path may begin another one.
+    """
+    below: dict[str, list[tuple[list[str], Column, Column]]] = {}
+    for path, flag, value in changes:
+        below.setdefault(path[0], []).append((path[1:], flag, value))
+    replaced, entries = [], []
+    for head, found in below.items():
+        flag = reduce(or_, [f for _, f, _ in found])
+        if found[0][0]:
+            value = with_marked_paths(F.try_variant_get(document, f"$.{head}", "variant"), found)
+        else:
+            value = found[0][2]
+        replaced.append((head, flag))
+        entries.append(F.when(flag, F.struct(F.lit(head).alias("key"), value.alias("value"))))
+    kept = F.map_filter(fields_of(document), lambda k, _: ~reduce(or_, [(k == h) & flag for h, flag in replaced]))
+    return F.to_variant_object(F.map_concat(kept, F.map_from_entries(F.array_compact(F.array(*entries)))))
+
+
 def text_value(text: Column) -> Column:
     """VARIANT holding a text."""
     return text.cast("variant")

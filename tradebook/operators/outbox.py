@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import long_date
 from ..functions.text import bcc_of_template, fill_template, first_nonempty, recipient_list
 from ..schemas import SETTINGS_DOC
+from ..sources.tables import stored
 from . import reminders as R
 from .once import once
 
@@ -173,10 +174,12 @@ def reconcile_send_results(
     at = F.lit(0) if position is None else F.col(position)
     succeeded = F.coalesce(F.col("status") == "Succeeded", F.lit(False))
     result = F.struct(succeeded.alias("ok"), at.alias("at"), "status", "error")
-    best = results.select(*_message_key(), result.alias("_r")).groupBy(*key).agg(
-        F.max("_r").alias("_r")
-    ).select(*key, F.col("_r.ok").alias("_ok"), "_r.status", "_r.error")
-    live = outbox.filter(~F.col("is_test")).select(*_message_key(), "booking_id").distinct()
+    # The messages are asked for twice and few against the jobs they were made from, so they are written once.
+    live = stored(outbox.filter(~F.col("is_test")).select(*_message_key(), "booking_id").distinct(), "messages")
+    # Only the results of these messages are compared: a maximum of texts sorts what it gets.
+    asked = results.select(*_message_key(), result.alias("_r")).join(live.select(*key), key, "left_semi")
+    best = asked.groupBy(*key).agg(F.max("_r").alias("_r")).select(
+        *key, F.col("_r.ok").alias("_ok"), "_r.status", "_r.error")
     matched = live.join(best, key, "left")
     ok = F.coalesce("_ok", F.lit(False))
     sent = matched.filter(ok).select("job_id", "booking_id", "kind")

@@ -7,12 +7,15 @@ check turns the join into a broadcast and the snapshot is not shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import short_date
 from ..functions.documents import (
-    parsed, text_of, with_fields, with_nonempty_fields, with_path,
+    parsed, text_of, with_fields, with_marked_paths, with_nonempty_fields,
 )
 from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS
@@ -200,19 +203,14 @@ def mark_sent(
         F.collect_set(F.when(F.col("kind") == kind, F.coalesce("booking_id", F.lit("")))
                       ).alias(f"_{kind}") for kind in BOOKING_MARKS
     ]
-    # Distinct first: what is left of a job is at most its kinds and the bookings in its document.
-    per_job = (
-        sent.select("job_id", "booking_id", "kind").distinct()
-        .groupBy(F.col("job_id").alias("id")).agg(*flags)
-    )
+    # Both kinds of aggregate drop repeats before the shuffle: what is left of a job is at most its kinds
+    # and the bookings named for it.
+    per_job = sent.groupBy(F.col("job_id").alias("id")).agg(*flags, F.lit(True).alias("_hit"))
     mark = _sent_mark(sent_on)
     doc = F.col("_doc")
-    kept = [*jobs.columns, *[f"_{k}" for k in (*MARK_PATHS, *BOOKING_MARKS)]]
-    joined = once(jobs.join(per_job, "id"), {"_doc": parsed(F.col("data_json"))}, kept)
-    for kind, path in MARK_PATHS.items():
-        joined = once(joined, {
-            "_doc": F.when(F.col(f"_{kind}"), with_path(doc, path, mark)).otherwise(doc)
-        }, kept)
+    kept = [*jobs.columns, "_hit", *[f"_{k}" for k in (*MARK_PATHS, *BOOKING_MARKS)]]
+    # The jobs move once, and a job without marks passes as it is.
+    joined = once(jobs.join(per_job, "id", "left"), {"_doc": parsed(F.when(F.col("_hit"), F.col("data_json")))}, kept)
 
     def marked(booking: Column) -> Column:
         booking_id = F.coalesce(text_of(F.try_variant_get(booking, "$.id", "variant")), F.lit(""))
@@ -222,19 +220,22 @@ def mark_sent(
             ).otherwise(booking)
         return booking
 
-    touched = F.lit(False)
-    for kind in BOOKING_MARKS:
-        touched = touched | (F.size(F.col(f"_{kind}")) > 0)
-    with_bookings = F.when(
-        touched & F.col("_bookings").isNotNull(),
-        with_path(doc, ["tabs", "serviceCall", "bookings"],
-                  F.to_variant_object(F.transform("_bookings", marked))),
-    ).otherwise(doc)
     listed = once(joined, {
         "_bookings": F.try_variant_get(doc, "$.tabs.serviceCall.bookings", "array<variant>")
     })
-    marked_jobs = once(listed, {"_doc": with_bookings}, jobs.columns).withColumns({
-        "data_json": F.coalesce(F.to_json(doc), F.col("data_json")),
-        "updated_at": F.current_timestamp() if now is None else now,
+    touched = F.lit(False)
+    for kind in BOOKING_MARKS:
+        touched = touched | (F.coalesce(F.size(F.col(f"_{kind}")), F.lit(0)) > 0)
+    changes = [
+        (path, F.coalesce(F.col(f"_{kind}"), F.lit(False)), mark) for kind, path in MARK_PATHS.items()
+    ] + [(
+        ["tabs", "serviceCall", "bookings"], touched & F.col("_bookings").isNotNull(),
+        F.to_variant_object(F.transform("_bookings", marked)),
+    )]
+    some = reduce(or_, [flag for _, flag, _ in changes])
+    rewritten = F.when(some, with_marked_paths(doc, changes)).otherwise(doc)
+    moment = F.current_timestamp() if now is None else now
+    return once(listed, {"_text": F.to_json(rewritten)}, [*jobs.columns, "_hit"]).withColumns({
+        "data_json": F.coalesce("_text", "data_json"),
+        "updated_at": F.when(F.col("_hit"), moment).otherwise(F.col("updated_at")),
     }).select(*jobs.columns)
-    return marked_jobs.unionByName(jobs.join(per_job.select("id"), "id", "left_anti"))

@@ -306,7 +306,7 @@ RESULTS_SQL = """
 
 def send_results(spark, sf):
     status = F.when(F.col("tenant_id") == 1, "Failed").when(F.col("tenant_id") == 2, "Throttled")
-    return S.jobs(spark, sf).select(
+    return S.bare_jobs(spark, sf).select(
         F.col("id").alias("job_id"), F.lit(None).cast("string").alias("booking_id"),
         F.explode(F.array(*[F.lit(k) for k in (R.INSTALL_WEEK, R.INSTALL_DAY, R.SURVEY_DAY)]))
         .alias("kind"), status.otherwise("Succeeded").alias("status"),

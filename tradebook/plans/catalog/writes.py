@@ -209,7 +209,7 @@ from job
 def mark_sent_nested(spark, sf):
     kinds = F.create_map(*[F.lit(x) for p in SENT_KINDS.items() for x in (int(p[0][0]), p[1])])
     jobs = S.jobs(spark, sf)
-    sent = jobs.select(
+    sent = S.bare_jobs(spark, sf).select(
         F.col("id").alias("job_id"), F.lit(None).cast("string").alias("booking_id"),
         kinds[F.col("tenant_id").cast("int")].alias("kind"),
     )
@@ -240,7 +240,7 @@ def mark_sent_array(spark, sf):
         F.struct(F.lit("b0").alias("booking_id"), F.lit(R.SERVICE_BOOKED).alias("kind")),
         F.struct(F.lit("b1").alias("booking_id"), F.lit(R.SERVICE_DAY).alias("kind")),
     ))
-    sent = jobs.select(F.col("id").alias("job_id"), about.alias("_a")).select("job_id", "_a.*")
+    sent = S.bare_jobs(spark, sf).select(F.col("id").alias("job_id"), about.alias("_a")).select("job_id", "_a.*")
     after = W.mark_sent(jobs, sent, F.lit(S.RUN_DATE).cast("date"))
     return after.select(
         F.col("id").alias("job_id"), F.posexplode(R.job_tabs()["serviceCall"]["bookings"])
