@@ -20,7 +20,7 @@ from ..operators.prefix import CHUNK_BITS, prefix_fold
 from ..operators.matching import customer_keys, job_keys, key_rows
 from ..operators.replay import Snapshot, replay_on
 from ..schemas import CUSTOMERS, DELIVERIES, JOBS, LINK, LinkFields
-from ..sources.tables import ChangingTable, complete_batches, stored, write_table
+from ..sources.tables import ChangingTable, complete_batches, write_table
 
 CAPTURED = (
     "seq long, tenant_id long, received_at timestamp, content_type string, is_json boolean, "
@@ -196,7 +196,7 @@ def transitions_batch(
     The state is laid out by a hash of the job, and a batch reads the buckets of its own jobs.
     """
     state = version_state(spark, state_dir, buckets)
-    versions = stored(versions, "versions")
+    # A batch is files already, so it is read again and not copied.
     ids = versions.select("id").distinct()
     known = state.current(batch_id, state.places(ids)).join(ids, "id", "left_semi").select(
         "id", F.col("data_json").alias("_stored"))
