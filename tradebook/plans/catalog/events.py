@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ...operators import deliveries as D, matching as M, replay as RP, reports as REP
+from ...sources.tables import stored
 from .. import standins as S
 from ..registry import query
 from .functions import PROJECT_EVENTS
@@ -240,9 +241,11 @@ def replay_events(spark, sf):
 
 @query("replay_deals", DEALS)
 def replay_deals(spark, sf):
-    jobs, customers = S.jobs(spark, sf), S.customers(spark, sf)
-    done = RP.replay(events(spark, sf), jobs, customers, now())
+    # All three are read several times over, so their documents are made and taken apart once.
+    jobs, customers = stored(S.jobs(spark, sf), "jobs"), stored(S.customers(spark, sf), "customers")
+    given = stored(events(spark, sf), "events")
+    done = RP.replay(given, jobs, customers, now())
     return deals(
-        events(spark, sf), jobs, customers, RP.merged(jobs, done.jobs),
-        RP.merged(customers, done.customers),
+        given, jobs, customers, RP.merged(jobs, stored(done.jobs, "changed-jobs")),
+        RP.merged(customers, stored(done.customers, "changed-customers")),
     )
