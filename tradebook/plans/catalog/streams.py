@@ -13,7 +13,7 @@ from ...sources.tables import ChangingTable
 from ...streaming import jobs as ST
 from .. import standins as S
 from ..registry import query
-from .events import DEALS, GUARD, deals, events
+from .events import DEALS, GUARD, deals
 from .messages import BOOKED
 
 
@@ -46,7 +46,7 @@ def stream_capture(spark, sf):
 
 
 def applied(spark, sf):
-    """Folder of tables to which all deliveries were applied in two batches."""
+    """Folder of the captured deliveries and of the tables to which all of them were applied in two batches."""
     folder = scratch_dir(spark, "apply")
     jobs, customers = ST.crm_tables(spark, f"{folder}/tables", FEW_BUCKETS)
     jobs.start(S.jobs(spark, sf))
@@ -56,18 +56,22 @@ def applied(spark, sf):
         ST.stream_apply(
             spark, f"{folder}/captured", f"{folder}/tables", f"{folder}/checkpoint", buckets=FEW_BUCKETS
         ).awaitTermination()
-    return f"{folder}/tables"
+    return folder
 
 
 @query("stream_apply", DEALS)
 def stream_apply(spark, sf):
-    jobs, customers = ST.published_tables(spark, applied(spark, sf), FEW_BUCKETS)
-    return deals(events(spark, sf), S.jobs(spark, sf), S.customers(spark, sf), jobs, customers)
+    folder = applied(spark, sf)
+    # What was captured, and the tables as the first batch found them, are there and not made again.
+    captured = spark.read.schema(ST.CAPTURED).parquet(f"{folder}/captured")
+    before = [table.current(0) for table in ST.crm_tables(spark, f"{folder}/tables", FEW_BUCKETS)]
+    after = ST.published_tables(spark, f"{folder}/tables", FEW_BUCKETS)
+    return deals(D.project_events(captured), *before, *after)
 
 
 @query("stream_staleness", GUARD + "select seq, not applied as stale from marked")
 def stream_staleness(spark, sf):
-    actions = spark.read.parquet(f"{applied(spark, sf)}/actions")
+    actions = spark.read.parquet(f"{applied(spark, sf)}/tables/actions")
     return actions.filter(F.col("action") != "skipped").select(
         "seq", (F.col("action") == "skipped-stale").alias("stale")
     )
