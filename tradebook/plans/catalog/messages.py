@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import bookings as B, outbox as O, reminders as R
 from ...session import scratch_dir
+from ...sources.tables import stored
 from .. import daily, standins as S
 from ..registry import query
 from .functions import REQUEST_SQL, send_requests
@@ -155,10 +156,12 @@ def due_from_schedule(spark, sf):
     )
 
 
-def kept_schedule(spark, sf):
+def kept_schedule(spark, sf, now=None):
     """A schedule of the jobs as they were before the last save, renewed by two batches of saves."""
     schedule = daily.schedule_table(spark, f"{scratch_dir(spark, 'kept')}/schedule")
-    before, now = S.jobs(spark, sf, before=True), S.jobs(spark, sf)
+    # Read by the start and by each batch, so that their documents are made once.
+    before = stored(S.jobs(spark, sf, before=True), "jobs-before")
+    now = S.jobs(spark, sf) if now is None else now
     schedule.start(daily.monthly_schedule(before))
     for batch_id in (0, 1):
         mine = F.col("id") % 2 == batch_id
@@ -375,8 +378,8 @@ where not exists (
 """)
 def scheduled_reminder_run(spark, sf):
     """What stays due of the day after its run from the schedule, whose results were marked."""
-    schedule = kept_schedule(spark, sf)
-    jobs = S.jobs(spark, sf)
+    jobs = stored(S.jobs(spark, sf), "jobs")
+    schedule = kept_schedule(spark, sf, jobs)
     outbox, _ = daily.daily_reminder_run(
         spark, jobs, S.customers(spark, sf), S.settings(spark, sf), S.RUN_DATE,
         scratch_dir(spark, "daily"), schedule=schedule,
