@@ -60,7 +60,8 @@ def recent_events(captured: DataFrame, keep: int = RETAINED) -> DataFrame:
 
 
 def _properties(payload: Column) -> Column:
-    return F.try_variant_get(payload, "$.json.infoProperties", "array<variant>")
+    """The property list, read in one go; what is no object in it has neither name nor value."""
+    return F.try_variant_get(payload, "$.json.infoProperties", "array<struct<name: string, value: variant>>")
 
 
 def project_payload_gate(captured: DataFrame) -> DataFrame:
@@ -82,10 +83,7 @@ def extract_project_fields(captured: DataFrame, keep: tuple = ("seq", "received_
     )
     # Last pair first, so that the first position of a name is the one that counts.
     latest_first = F.reverse("_items")
-    listed = once(gated, {
-        "_names": F.transform(latest_first, lambda p: F.try_variant_get(p, "$.name", "string")),
-        "_values": F.transform(latest_first, lambda p: F.try_variant_get(p, "$.value", "variant")),
-    }, [*kept, "_v"])
+    listed = once(gated, {"_names": latest_first["name"], "_values": latest_first["value"]}, [*kept, "_v"])
 
     def member(name: str) -> Column:
         return F.try_variant_get(F.col("_v"), f"$.json.{name}", "variant")
