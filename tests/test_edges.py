@@ -437,3 +437,35 @@ def test_calendar_goes_by_time(spark):
              visit("2026-08-03", "09:00"), visit("2026-08-03", "")), customers(spark, {})).collect()
     assert sorted((r.seq_in_day, r.start) for r in got) == [
         (1, ""), (2, "09:00"), (3, "9:30"), (4, "10:30")]
+
+
+def test_clock_texts(spark):
+    """Numbers are read from texts that begin with a time only, and no other text is cast."""
+    rows = {"": None, None: None, "9:30": (9, 30), "09:05": (9, 5), "10:30 am": (10, 30), "7:451": (7, 45), "99:99": (99, 99),
+            "a:30": None, "1:3": None, ":30": None, "100:30": None, " 9:30": None, "-1:30": None, "9:30:15": (9, 30), "12": None}
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select(
+        "t", DT.start_hour(F.col("t")).alias("hour"), DT.day_minute(F.col("t")).alias("minute"))
+    assert {r.t: (r.hour, r.minute) for r in df.collect()} == {
+        t: (v[0], v[0] * 60 + v[1]) if v else (None, -1) for t, v in rows.items()}
+    assert "regexp_extract" not in df._jdf.queryExecution().toString()
+
+
+def test_calendar_reads_what_it_shows(spark):
+    """Only the shown fields are read, once, and a visit that is not whole is left out."""
+    people = jobs(
+        spark,
+        tabs(survey={"date": "2026-08-03", "fitter": "A", "notes": {"a": 1}, "notifyEnabled": "yes", "emailSent": 3},
+             installation={"date": "2026-08-04", "fitters": ["B", "", None], "startTime": None, "deliveries": "none"},
+             serviceCall={"bookings": [{"id": "b0", "date": "2026-08-05", "fitter": "C"}, None, {"id": "b1", "date": "", "fitter": "C"},
+                                       {"id": "b2", "date": "2026-08-05", "fitter": ""}, {"id": "b3", "date": "soon", "fitter": "C"}]}),
+        tabs(survey={"date": "2026-08-03", "fitter": ""}, installation={"date": "", "fitters": ["B"]}, serviceCall={"bookings": None}),
+        tabs(survey={"date": "soon", "fitter": "A"}, installation={"date": "2026-08-04", "fitters": []}), {}, {"tabs": None})
+    entries = REP.calendar_entries(people)
+    got = sorted((r.job_id, r.kind, r.pos, r.fitter, r.event_date, r.start, r.booking_id) for r in entries.collect())
+    assert [(k, *x) for _, k, *x in got] == [
+        ("installation", 0, "B", "2026-08-04", "", None), ("installation", 1, "", "2026-08-04", "", None),
+        ("installation", 2, None, "2026-08-04", "", None), ("service call", 0, "C", "2026-08-05", "", "b0"),
+        ("survey", 0, "A", "2026-08-03", "", None)]
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "notifyEnabled" not in plan and "deliveries" not in plan
+    assert plan.count("transform(") == 2

@@ -36,12 +36,18 @@ def is_working_day(text: Column) -> Column:
     return F.weekday(as_date(text)) < 5
 
 
+def _clock(text: Column) -> Column:
+    """The text where it begins with `HH:MM`, else null; `try_cast` of other texts to numbers is slow."""
+    return F.when(text.rlike(r"^\d{1,2}:\d{2}"), text)
+
+
 def start_hour(text: Column) -> Column:
     """Hour of an `HH:MM` text, null where there is none."""
-    return F.regexp_extract(F.coalesce(text, F.lit("")), r"^(\d{1,2}):\d{2}", 1).try_cast("int")
+    return F.substring_index(_clock(text), ":", 1).try_cast("int")
 
 
 def day_minute(text: Column) -> Column:
     """Minute of the day of an `HH:MM` text, -1 where there is none."""
-    minute = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\d{1,2}:(\d{2})", 1).try_cast("int")
-    return F.coalesce(start_hour(text) * 60 + minute, F.lit(-1))
+    minute = F.substr(text, F.locate(":", text) + 1, F.lit(2)).try_cast("int")
+    hour = F.substring_index(text, ":", 1).try_cast("int")
+    return F.when(_clock(text).isNotNull(), hour * 60 + minute).otherwise(F.lit(-1))

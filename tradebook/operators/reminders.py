@@ -23,9 +23,9 @@ REQUEST_KINDS = {"week": INSTALL_WEEK, "day": INSTALL_DAY}
 MONTH = "yyyy-MM"
 
 
-def job_tabs() -> Column:
+def job_tabs(tabs: str = TABS) -> Column:
     """The tabs of the document alone; promoted columns play no part in messages."""
-    return F.from_json("data_json", f"tabs {TABS}")["tabs"]
+    return F.from_json("data_json", f"tabs {tabs}")["tabs"]
 
 
 def same_id(left: Column, right: Column) -> Column:

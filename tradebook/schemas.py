@@ -43,6 +43,12 @@ TABS = (
     f"deliveries: array<struct<id: string, supplier: string, date: string>>>, "
     f"serviceCall: struct<notes: string, notifyEnabled: boolean, bookings: array<{BOOKING}>>>"
 )
+# What the calendar shows of a job.
+CALENDAR_TABS = (
+    "struct<survey: struct<date: string, fitter: string>, "
+    "installation: struct<date: string, fitters: array<string>, startTime: string>, "
+    "serviceCall: struct<bookings: array<struct<id: string, date: string, fitter: string>>>>"
+)
 # What new bookings are told by. A mark blocks by being there, whatever it is, so it stays a VARIANT.
 BOOKED_TABS = (
     "struct<survey: struct<date: string, fitter: string, notifyEnabled: boolean, emailSent: variant>, "
