@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.documents import default_on_flag, is_booked, is_install_booked, is_truthy
 from ..functions.text import join_names
 from ..schemas import BOOKED_TABS
+from .joins import document_join
 from .once import once
 from .reminders import INSTALL_BOOKED, SERVICE_BOOKED, SURVEY_BOOKED, first_booking, same_id
 
@@ -22,8 +23,8 @@ def last_booking(bookings: Column, booking_id: Column) -> Column:
 def _pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     """Both versions of each saved job; a job without an earlier version is no save."""
     earlier = before.select("id", F.col("data_json").alias("_was"))
-    both = after.select("id", "customer_id", F.col("data_json").alias("_now")).join(earlier, "id")
-    return parsed_pairs(both, "_now", "_was")
+    saved = after.select("id", "customer_id", F.col("data_json").alias("_now"))
+    return parsed_pairs(document_join(saved, earlier, "id"), "_now", "_was")
 
 
 def parsed_pairs(saves: DataFrame, now: str, was: str) -> DataFrame:
