@@ -10,6 +10,7 @@ from ..functions.text import bcc_of_template, fill_template, first_nonempty, rec
 from ..schemas import SETTINGS_DOC
 from ..sources.tables import stored
 from . import reminders as R
+from .joins import document_join
 from .once import once
 
 # Kinds in the order they are listed, their group, the key of the template in the
@@ -112,7 +113,7 @@ def _with_customers(
     )
     to = recipient_list(F.col("_c.email"), F.col("_c.email2"), test_email)
     # Parsed after the join, so that only customers asked for are.
-    found = due.join(people, "customer_id", "left")
+    found = document_join(due, people, "customer_id", "left")
     document = F.from_json("_json", "name string, email string, email2 string, address string")
     joined = once(found, {"_c": document}, [c for c in found.columns if c != "_json"]).withColumn("to", to)
     reason = (

@@ -20,6 +20,7 @@ from ..functions.documents import (
 from ..functions.text import blank_to_null, first_nonempty
 from ..schemas import DEFAULT_STAGE, DEFAULT_STATUS, EMPTY_TABS
 from . import reminders as R
+from .joins import document_join
 from .once import once
 from .prefix import ranged_rank
 
@@ -103,7 +104,7 @@ def apply_changes(
     """
     values = [c for c in changes.columns if c not in key]
     incoming = changes.select(*key, F.struct(*values).alias("_new"))
-    joined = snapshot.join(incoming, key, "left")
+    joined = document_join(snapshot, incoming, key, "left")
 
     def column(name: str) -> Column:
         if name not in values:

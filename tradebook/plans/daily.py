@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import snapshots as W
 from ..operators.bookings import booking_transitions
+from ..operators.joins import document_join
 from ..operators.outbox import DEFAULT_COMPANY, build_outbox, default_templates, reconcile_send_results
 from ..operators.reminders import DUE_DAYS, due_from_schedule, due_reminders, reminder_schedule
 from ..sources.tables import ChangingTable, stored, write_table
@@ -117,9 +118,10 @@ def save_jobs(
     """
     after, not_found = W.replace_entities(jobs, changes, "job", now)
     key = ["id", "tenant_id"]
-    saved = after.join(changes.select(*key), key, "left_semi")
+    saved = document_join(after, changes.select(*key), key, "left_semi")
     if schedule is not None:
-        record_schedule(schedule, jobs.join(changes.select(*key), key, "left_semi"), saved, batch_id)
+        before = document_join(jobs, changes.select(*key), key, "left_semi")
+        record_schedule(schedule, before, saved, batch_id)
     outbox, rejects = build_outbox(
         booking_transitions(jobs, saved), customers, settings, default_templates(spark)
     )
