@@ -62,6 +62,12 @@ def test_installations(narrow, versions):
     assert found(B.booking_transitions(*versions, (B.INSTALL_BOOKED,))) == {INSTALL}
 
 
+def test_earlier_bookings(narrow, versions):
+    shown = B.booking_before_after(*versions).drop("job_id")
+    assert [tuple(r) for r in shown.groupBy(*shown.columns).count().collect()] == [
+        ("a", 0, "e", "h", True, "", "f", ROWS)]
+
+
 # ---- saving of jobs ---------------------------------------------------------------------------
 
 def now():
