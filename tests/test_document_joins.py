@@ -68,6 +68,10 @@ def test_earlier_bookings(narrow, versions):
         ("a", 0, "e", "h", True, "", "f", ROWS)]
 
 
+def test_all_kinds(narrow, versions):
+    assert found(B.booking_transitions(*versions)) == {SURVEY, INSTALL, SERVICE}
+
+
 # ---- saving of jobs ---------------------------------------------------------------------------
 
 def now():
