@@ -72,6 +72,10 @@ def test_all_kinds(narrow, versions):
     assert found(B.booking_transitions(*versions)) == {SURVEY, INSTALL, SERVICE}
 
 
+def test_service_visits(narrow, versions):
+    assert found(B.booking_transitions(*versions, (B.SERVICE_BOOKED,))) == {SERVICE}
+
+
 # ---- saving of jobs ---------------------------------------------------------------------------
 
 def now():
