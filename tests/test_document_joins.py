@@ -76,6 +76,10 @@ def test_service_visits(narrow, versions):
     assert found(B.booking_transitions(*versions, (B.SERVICE_BOOKED,))) == {SERVICE}
 
 
+def test_surveys(narrow, versions):
+    assert found(B.booking_transitions(*versions, (B.SURVEY_BOOKED,))) == {SURVEY}
+
+
 # ---- saving of jobs ---------------------------------------------------------------------------
 
 def now():
